@@ -28,6 +28,11 @@ STOP_WORDS = {
 }
 
 
+def stop_forms() -> list[str]:
+    """The stop words as they stand in a text: lower case, capitalised, upper case."""
+    return sorted({form for words in STOP_WORDS.values() for w in words for form in (w, w.capitalize(), w.upper())})
+
+
 @dataclass(frozen=True)
 class Rule:
     """Reject where `measure` lies outside [least, most]; None leaves a side open."""
@@ -95,7 +100,7 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, broken_rules and kept to the columns in `keep`.
     """
-    stops = sorted({form for words in STOP_WORDS.values() for w in words for form in (w, w.capitalize(), w.upper())})
+    stops = stop_forms()
     # Each step binds an array that the next one reads more than once; Spark keeps such projections apart.
     out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     out = out.select(

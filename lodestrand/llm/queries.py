@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, simhash, toxicity
+from . import bpe, decontaminate, pii, quality, simhash, toxicity, urls
 from .shared import table
 
 
@@ -19,6 +19,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("broken_rules")
 
 
+#: The rules of op2: host/path and action.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return urls.filtered(table(spark, sf_dir, "pages"), rules)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,6 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
@@ -50,4 +60,30 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": r"""
+        with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        parts as (select page_id, lower(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from cut),
+        rules(rule, action, h, p) as (values ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+        best as (select page_id, max_by(rule, length(rule)) as rule, max_by(action, length(rule)) as action
+                 from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+        select page_id, host, path, rule, coalesce(action, 'allow') as verdict from parts left join best using (page_id)""",
+    "op1_quality_rules": r"""
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words, coalesce(text, '') as text from documents),
+        pos as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+        win as (select doc_id, i, word || ' ' || lead(word, 1) over d || ' ' || lead(word, 2) over d as g from pos window d as (partition by doc_id order by i)),
+        rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win where g is not null) where n > 1),
+        cov as (select doc_id, count(distinct i + k) as n_repeat_words from rep cross join (values (0), (1), (2)) o(k) group by doc_id),
+        lines as (select doc_id, count(*) - count(distinct line) as n_dup_lines, count(*) as n_lines
+                  from (select doc_id, unnest(string_split(text, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+        stops as (select doc_id, count(*) as n_stop from pos where word in (STOPS) group by doc_id),
+        m as (select w.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+                     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, length(regexp_replace(text, '[^!]', '', 'g')) as n_bang,
+                     coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_stop, 0) as n_stop
+              from w left join cov using (doc_id) left join lines using (doc_id) left join stops using (doc_id)),
+        j as (select *, n_words < 50 or n_repeat_words * 100 > n_words * 50 as base_failed, greatest(n_words, 1) as d from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not base_failed and n_words <= 1000000 and word_chars / d >= 2.5 and word_chars / d <= 12.0 and n_symbols / d <= 0.10
+               and n_bang / d <= 0.10 and n_stop / d >= 0.02 and n_dup_lines / greatest(n_lines, 1) <= 0.40 as kept
+        from j""".replace("\\\\", "\\").replace("STOPS", ", ".join(f"'{w}'" for w in quality.stop_forms())),
+}
