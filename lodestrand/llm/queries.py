@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, simhash, toxicity, urls
-from .shared import table
+from . import bpe, decontaminate, html_text, pii, preferences, quality, simhash, token_shards, toxicity, urls
+from .shared import shared_folder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,6 +35,27 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preferences.formatted(preferences.swapped_responses(table(spark, sf_dir, "conversations")))
+    sha = lambda c: F.sha2(F.encode(F.col(c), "UTF-8"), 256).alias(f"{c}_sha256")
+    mask = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws(":", m["n_chars"].cast("string"), m["train"].cast("int").cast("string"))), ",").alias(c)
+    return pairs.select("conv_id", "n_prompt_turns", sha("prompt"), sha("chosen"), mask("chosen_mask"), sha("rejected"), mask("rejected_mask"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the shards, then read them back in slot order."""
+    import public_tokenizers
+
+    sequences = token_shards.materialised(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
+    token_shards.written_shards(sequences, path)
+    return spark.read.parquet(path).select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -54,7 +77,10 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_preference_format": op4_preference_format,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_token_shards": op7_token_shards,
     "op8_toxicity": op8_toxicity,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_pii": op10_pii,
@@ -68,6 +94,17 @@ ORACLES: dict[str, str] = {
         best as (select page_id, max_by(rule, length(rule)) as rule, max_by(action, length(rule)) as action
                  from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
         select page_id, host, path, rule, coalesce(action, 'allow') as verdict from parts left join best using (page_id)""",
+    "op4_preference_format": r"""
+        with t as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as i, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+        last as (select conv_id, max(i) as li, max_by(text, i) as answer from t where role = 'assistant' group by conv_id),
+        pair as (select a.conv_id, a.li, b.answer from last a join last b on b.conv_id = xor(a.conv_id, 1)),
+        both_sides as (select conv_id, i, role, text as chosen, case when i = li then answer else text end as rejected from t join pair using (conv_id)),
+        cut as (select *, coalesce(min(case when chosen <> rejected then i end) over (partition by conv_id) - 1, count(*) over (partition by conv_id)) as n from both_sides),
+        r as (select *, '<|' || role || '|>' || chr(10) || chosen || chr(10) as c, '<|' || role || '|>' || chr(10) || rejected || chr(10) as j, ':' || case when role = 'assistant' then '1' else '0' end as m from cut)
+        select conv_id, any_value(n)::int as n_prompt_turns, sha256(coalesce(string_agg(c, '' order by i) filter (i <= n), '')) as prompt_sha256,
+               sha256(coalesce(string_agg(c, '' order by i) filter (i > n), '')) as chosen_sha256, coalesce(string_agg(length(c) || m, ',' order by i) filter (i > n), '') as chosen_mask,
+               sha256(coalesce(string_agg(j, '' order by i) filter (i > n), '')) as rejected_sha256, coalesce(string_agg(length(j) || m, ',' order by i) filter (i > n), '') as rejected_mask
+        from r group by conv_id""",
     "op1_quality_rules": r"""
         with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words, coalesce(text, '') as text from documents),
         pos as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from w),
