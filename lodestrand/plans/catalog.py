@@ -1,4 +1,10 @@
 """Registered queries of the retrieval operators and their SQL counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from . import graph_queries, ingest_queries, operation_queries, search_queries
+
+QUERIES, ORACLES = {}, {}
+for part in (search_queries, ingest_queries, graph_queries, operation_queries):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
