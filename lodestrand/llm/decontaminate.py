@@ -28,7 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import as_bytes, slices
@@ -210,18 +210,17 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_BYTE
     yield Phrases(held)
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, block_bytes: int) -> DataFrame:
-    """docs with _n_words, _spans (merged [start, end) word numbers, flat) and _items, one pass per block of phrases."""
-    kept = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _n_words long, _spans array<long>, _items array<string>"
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
+def _scan(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> DataFrame:
+    """rows (row, text) with n_words, spans (merged [start, end) word numbers, flat) and items, one pass per block of phrases."""
+    out = rows.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = out.schema
 
     def pass_over(shared) -> Callable:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text):
-                texts = [words(t) for t in as_bytes(batch.column(text))]
+            for batch in slices(batches, "text"):
+                texts = [words(t) for t in as_bytes(batch.column("text"))]
                 starts, hit, items = search_shard(texts, shared.value)
-                spans, named = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
+                spans, named = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
                 touched = [k for k, found in enumerate(items) if found]
                 for k in touched:
                     own = hit[starts[k] : starts[k + 1]].copy()
@@ -229,24 +228,26 @@ def _scan(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_t
                         own[a:b] = True
                     spans[k] = [x for run in runs(own) for x in run]
                     named[k] = sorted(items[k] | set(named[k]))
-                columns = [batch.column(c) for c in kept] + [pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, [*kept, "_n_words", "_spans", "_items"])
+                columns = [batch.column("row"), batch.column("text"), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_words", "spans", "items"])
 
         return work
 
     for phrases in blocks(benchmark, item_id, item_text, block_bytes):
-        out = out.mapInArrow(pass_over(docs.sparkSession.sparkContext.broadcast(phrases)), schema)
+        out = out.mapInArrow(pass_over(rows.sparkSession.sparkContext.broadcast(phrases)), schema)
     return out
 
 
+def _n_hit() -> Column:
+    return F.aggregate(F.transform(F.col("spans"), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans): one row per document."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = _scan(narrow, benchmark, "text", item_id, item_text, block_bytes)
-    n_hit = F.aggregate(F.transform(F.col("_spans"), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    found = _scan(docs.select(F.col(doc_id).alias("row"), F.col(text).alias("text")), benchmark, item_id, item_text, block_bytes)
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.encode(F.array_join("_items", ","), "UTF-8"), 256).alias("items_sha256"), (F.size("_items") > 0).alias("contaminated"), F.col("_spans").alias("spans"),
+        F.col("row").alias("doc_id"), "n_words", _n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (_n_hit() > 0).alias("contaminated"), "spans",
     )
 
 
@@ -263,19 +264,15 @@ def without_words(text: str, spans: list[int]) -> str:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the removal spans cut out of their texts; a document of which no word is left goes."""
-    found = _scan(docs, benchmark, text, item_id, item_text, block_bytes)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+    found = _scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text")), benchmark, item_id, item_text, block_bytes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = batch.schema.get_field_index(text)
-            spans = batch.column("_spans").to_pylist()
+            spans = batch.column("spans").to_pylist()
             if any(spans):
-                texts = [without_words(t, s) if s else t for t, s in zip(batch.column(where).to_pylist(), spans)]
-                batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.column(where).type))
+                texts = [without_words(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
+                batch = batch.set_column(1, batch.schema.field(1), pa.array(texts, batch.column("text").type))
             yield batch
 
-    left = found.mapInArrow(work, schema)
-    n_hit = F.aggregate(F.transform(F.col("_spans"), lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return left.where((F.size("_items") == 0) | (n_hit < F.col("_n_words"))).select(*docs.columns)
-
+    left = found.mapInArrow(work, found.schema).where((F.size("items") == 0) | (_n_hit() < F.col("n_words")))
+    return left.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

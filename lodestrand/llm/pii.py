@@ -264,7 +264,6 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
 def redacted(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """docs with personal data masked in their texts."""
     model = model or train(docs, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,4 +271,4 @@ def redacted(docs: DataFrame, text: str = "text", model: Model | None = None) ->
             texts = [t and masked(t, spans(t, model)[1]) for t in batch.column(where).to_pylist()]
             yield batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.column(where).type))
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(work, docs.schema)

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import as_bytes, discard, slices, written
 
@@ -71,6 +72,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return source.mapInArrow(work, "doc_id long, fp long")
 
 
+def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        found = np.array([fingerprint(t) for t in as_bytes(batch.column("text"))], np.uint64).view(np.int64)
+        yield batch.append_column("fp", pa.array(found))
+
+
 def _counts(fp: np.ndarray) -> np.ndarray:
     """Bit counts of the segments of each fingerprint, one row each."""
     shifts = np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(WIDTH)
@@ -205,19 +212,34 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): one row per row of docs, with the smallest id of its near-duplicate component."""
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id, root): one row per row of docs; root, a fingerprint, tells components apart."""
     marked = written(fingerprints(docs, doc_id, text), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(near_links(nodes))
     linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = linked.withColumnRenamed("node", "fp").join(nodes, "fp")
-    named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(every, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return marked.join(every, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): one row per row of docs, with the smallest id of its near-duplicate component."""
+    return grouped(docs, doc_id, text).drop("root")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component; rows that repeat an id are one."""
-    names = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_name")).distinct()
-    return docs.join(names, F.col(doc_id).eqNullSafe(F.col("_name")), "left_semi").dropDuplicates([doc_id])
+    """One row of docs for each component: that of the smallest id (a null one last), of rows that share it one with the smallest fingerprint."""
+    found = written(grouped(docs, doc_id, text), "groups")
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("c")).select(F.col("c.doc_id").alias("_name"), F.col("c.fp").alias("_fp"))
+    # Ids that stand for several texts are rare; only for them the fingerprint has to say which row is meant.
+    several = found.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("several")).where("several").select(F.col("doc_id").alias("_many"))
+    if several.isEmpty():
+        return docs.join(chosen, docs[doc_id].eqNullSafe(chosen["_name"]), "left_semi").dropDuplicates([doc_id])
+    plain = chosen.join(several, chosen["_name"].eqNullSafe(several["_many"]), "left_anti")
+    single = docs.join(plain, docs[doc_id].eqNullSafe(plain["_name"]), "left_semi").dropDuplicates([doc_id])
+    rows = docs.join(several, docs[doc_id].eqNullSafe(several["_many"]), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    marked = rows.mapInArrow(_with_fingerprint, StructType([*rows.schema.fields, StructField("fp", LongType())]))
+    told = marked.join(chosen, marked["id"].eqNullSafe(chosen["_name"]) & (marked["fp"] == chosen["_fp"]), "left_semi").dropDuplicates(["id", "fp"])
+    return single.unionByName(told.select("row.*"))
