@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestrand.llm import bpe, decontaminate, html_text, pii, preferences, quality, queries, simhash, token_shards, toxicity, urls
 from lodestrand.llm.shared import table
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, LABELLED = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 LONG = "word " * 60_000
 AWKWARD = [(1, ""), (2, None), (None, "no id here at all"), (3, "   \n\t "), (4, LONG), (5, "same text twice over"), (5, "same text twice over"), (6, "a"), (7, "Ünïcödé İ ß \u00a0 x"), (8, "line\nline\nline\n")]
 CLASH = "doc_id long, text string, _row string, _t string, _name string, row string, spans string, items string, fp long, n_words long, kept string, score double, lang string"
@@ -295,7 +295,7 @@ def test_shards_round_trip(spark, tmp_path, awkward, empty):
 
 
 def test_toxicity_on_held_out_rows(spark, awkward, empty):
-    docs, labels = table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")
+    docs, labels = table(spark, LABELLED, "documents"), table(spark, LABELLED, "labels")
     sample = toxicity.training_sample(docs, labels)
     assert len(sample) > 100
     model = toxicity.train(docs, labels)
@@ -306,7 +306,7 @@ def test_toxicity_on_held_out_rows(spark, awkward, empty):
     auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
     right = sum((r.score >= 0.5) == bool(truth[r.doc_id]) for r in rows) / len(rows)
     print("held-out AUC", auc, "accuracy", right, len(pos), len(neg))
-    assert auc > 0.8 and all(r.predicted == int(r.score >= 0.5) for r in rows)
+    assert auc > 0.85 and all(r.predicted == int(r.score >= 0.5) for r in rows)
     odd = toxicity.scored(awkward, model).collect()
     assert len(odd) == len(AWKWARD) and all(0 <= r.score <= 1 for r in odd) and toxicity.scored(empty, model).count() == 0
     assert toxicity.train(empty, labels).gram_scores.max() == 0
