@@ -221,7 +221,8 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     linked = linked.withColumnRenamed("node", "fp").join(nodes, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
     every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return marked.join(every, "fp").select("doc_id", "fp", "component_id", "root")
+    # From a table both sides of the join are dealt by it alone, so Spark splits a fingerprint that many rows share.
+    return marked.join(written(every, "classes"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
