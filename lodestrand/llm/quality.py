@@ -144,4 +144,6 @@ def accepted(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
     """The rows of docs that no rule rejects, with their own columns."""
     own = docs.columns
     marked = judge(docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in own))), text, ("_row",), rules)
-    return marked.filter("kept").select("_row.*")
+    # Beside a field that is not deterministic the filter stays above the projections; pushed down, it would spell out every measure again at each of their uses.
+    held = marked.select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
+    return held.filter(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
