@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +108,15 @@ LABELERS = ("shape", "entropy", "gazetteer", "context", "plain")
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
     """Spans that the labelers vote on: values with a digit, and capitalised words that a name or a cue introduces."""
-    found, taken, last = [], [(a, b) for a, b, _ in base], 0
+    found, last = [], 0
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, b, _ in base), max))
+
+    def is_taken(low: int, high: int) -> bool:
+        """Whether a base span meets [low, high): of those that start before high, one ends after low."""
+        before = bisect_left(starts, high)
+        return before > 0 and reach[before - 1] > low
+
     for d in DIGIT.finditer(text) if DIGIT.search(text) else ():
         if d.start() < last:
             continue
@@ -117,7 +127,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
             low += 1
         m = VALUE.match(text, low)
         last = m.end()
-        if any(a < last and low < b for a, b in taken):
+        if is_taken(low, last):
             continue
         value = m.group().rstrip("=/+-_")
         before = ASSIGNED.search(text, max(0, low - 26), low)
@@ -144,7 +154,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
             before = text[max(0, m.start() - 24) : m.start()].lower().replace(":", " ").replace(".", " ").split()
             cue = not NAME_CUES.isdisjoint(before[-3:])
             end = follow.end() if surname else m.end()
-            if any(a < end and m.start() < b for a, b in taken):
+            if is_taken(m.start(), end):
                 continue
             votes = (1 if surname else -1, -1, 1, 1 if cue else 0, -1 if surname or cue else 0)
             found.append(Candidate(m.start(), end, "name", votes, (2, int(surname), int(cue), 0, 0)))
