@@ -58,15 +58,20 @@ def fuzzy_pairs(entities: DataFrame, least: float = 0.55) -> DataFrame:
     """(kind, left_name, right_name, score): distinct normalised names that are much alike.
 
     score = max(jaccard, 0.72 * containment, plus 0.08 where one begins the
-    other). It can reach 0.55 only if two names share at least 0.65 of the
-    smaller one's tokens, so one of its rarest tokens is in the other: the join is
-    on those alone, and frequent tokens are never a block.
+    other). For a threshold t, two names must share at least (t - 0.08) / 0.72 of
+    the smaller one's tokens (containment) or 2t / (1 + t) of them (jaccard), so
+    one of its rarest tokens is in the other: the join is on those alone, and
+    frequent tokens are never a block.
     """
+    if least <= 0.08:
+        raise ValueError("names without a common token reach 0.08; least must be above that")
     names = entities.select("kind", normal_name(F.col("name")).alias("name")).where("name <> ''").distinct().withColumn("tokens", F.array_distinct(F.split("name", " ")))
     tokens = names.select("kind", "name", F.explode("tokens").alias("token"))
     often = tokens.groupBy("kind", "token").agg(F.count("*").alias("df"))
     sorted_tokens = tokens.join(often, ["kind", "token"]).groupBy("kind", "name").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
-    need = F.ceil((F.lit(least) - 0.08) / 0.72 * F.size("by") - 1e-9)
+    t = least - 0.0005  # scores are rounded to three digits
+    share = min((t - 0.08) / 0.72, 2 * t / (1 + t))
+    need = F.least(F.greatest(F.ceil(F.lit(share) * F.size("by") - 1e-9), F.lit(1)), F.size("by"))
     rare = sorted_tokens.select("kind", F.col("name").alias("small"), F.size("by").alias("n_small"), F.explode(F.slice("by", F.lit(1), (F.size("by") - need + 1).cast("int"))).alias("t")).select("kind", "small", "n_small", "t.token")
     wide = tokens.join(names.select("kind", "name", F.size("tokens").alias("n_large")), ["kind", "name"]).select("kind", "token", F.col("name").alias("large"), "n_large")
     pairs = rare.join(wide, ["kind", "token"]).where("n_small <= n_large and small <> large").select("kind", F.least("small", "large").alias("left_name"), F.greatest("small", "large").alias("right_name")).distinct()

@@ -1,5 +1,6 @@
 """Operators on literal rows: semantics that the test tables do not reach."""
 
+import math
 from datetime import datetime
 
 import pytest
@@ -129,6 +130,23 @@ def test_fuzzy_pairs_lose_none(spark):
     assert {(r.left_name, r.right_name) for r in graph.fuzzy_pairs(e).collect()} == want
 
 
+@pytest.mark.parametrize("least", [0.55, 0.8, 0.85, 0.9])
+def test_fuzzy_pairs_of_long_names(spark, least):
+    names = {"x"}
+    for n in range(9, 21):
+        common = [f"c{k}" for k in range(n)]
+        names |= {" ".join([*common[:-d], *(f"r{n}v{v}k{k}" for k in range(d))]) for d in (1, 2, n // 3) for v in (1, 2)} | {" ".join(common)}
+    e = spark.createDataFrame([("k", n) for n in names], "kind string, name string")
+    want = set()
+    for a in names:
+        for b in names:
+            x, y = set(a.split()), set(b.split())
+            s = max(len(x & y) / len(x | y), 0.72 * (len(x & y) / min(len(x), len(y))) + (0.08 if a.startswith(b) or b.startswith(a) else 0))
+            if a < b and math.floor(s * 1000 + 0.5) / 1000 >= least:
+                want.add((a, b))
+    assert want and {(r.left_name, r.right_name) for r in graph.fuzzy_pairs(e, least).collect()} == want
+
+
 def test_events_and_their_stream_agree(spark, tmp_path):
     rows = [(1, "k", "a"), (2, "k", "a"), (3, "k", "b"), (4, "k", "a"), (5, "m", "a"), (6, "n", "z"), (7, "n", "z")]
     df = spark.createDataFrame(rows, "seq long, key string, payload_hash string")
