@@ -9,13 +9,14 @@ shares the vectors of the n-grams it keeps.
 With a linear output layer the score of a text is a mean of word scores, and
 every word has one number. Scoring tasks keep a bounded table of them, so a
 frequent word is hashed once. The corpus is neither shuffled nor gathered: the
-driver receives at most `SAMPLE_ROWS` labelled texts, cut from the label table
-by a hash order of ids that does not depend on partitions.
+driver receives at most `SAMPLE_ROWS` labelled texts, one of each id, cut from
+the labels that have a text to train on by a hash order of ids that does not
+depend on partitions.
 
 Training reads only rows outside the held-out fold. Defined cases: null and
 empty texts have no words and get the score of the bias; unlabelled rows are
 scored only; a doc_id with several label rows takes the largest; repeated rows
-are scored one by one; with no labels of either class every score is the base
+are scored one by one, and of several texts of a doc_id the smallest trains; with no labels of either class every score is the base
 rate; a null doc_id is not held out; other columns are not read.
 """
 
@@ -56,7 +57,8 @@ def grams(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owners, hashes = [], []
     rolled = np.zeros(len(chars), np.uint64)
     for k in range(max(GRAMS)):
-        rolled[: len(chars) - k] = rolled[: len(chars) - k] * np.uint64(0x100000001B3) + chars[k:] + np.uint64(k + 1)
+        left = max(0, len(chars) - k)
+        rolled[:left] = rolled[:left] * np.uint64(0x100000001B3) + chars[k:] + np.uint64(k + 1)
         if k + 1 in GRAMS:
             whole = at + k < ends
             owners.append(owner[whole])
@@ -67,6 +69,16 @@ def grams(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(tokens)))))
 
 
+def grams_by_parts(tokens: list[bytes], most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """grams() of many words, a part at a time: only the bucket numbers of all of them are held, as 32-bit numbers."""
+    found, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+    for k in range(0, len(tokens), most):
+        ids, starts = grams(tokens[k : k + most])
+        found.append(ids.astype(np.int32))
+        sizes.append(np.diff(starts))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+
 @dataclass
 class Model:
     gram_scores: np.ndarray
@@ -93,8 +105,8 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 700, batch: int = 64
     for t in texts:
         own = words(t)
         ids, n = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in own], return_counts=True)
-        bags.append((ids.astype(np.int64), n / max(1, len(own))))
-    ids, starts = grams(list(vocabulary)) if vocabulary else (np.empty(0, np.int64), np.zeros(1, np.int64))
+        bags.append((ids.astype(np.int32), n / max(1, len(own))))
+    ids, starts = grams_by_parts(list(vocabulary))
     for _ in range(-(-steps * batch // len(y))):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             doc = np.repeat(np.arange(len(part)), [len(bags[k][0]) for k in part])
@@ -131,20 +143,22 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[bytes, int]]:
-    """At most `most` labelled rows outside the held-out fold, half of them of each class where there are enough: the first in a hash order of ids."""
+    """At most `most` labelled rows outside the held-out fold, one of each id that has a text of at most TRAIN_BYTES, half of them of each class where there are enough: the first in a hash order of ids."""
     marked = (
         labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
         .where(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS != 0)
     )
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t")).where(F.octet_length("t") <= TRAIN_BYTES)
+    # Ids are made distinct within partitions before they are shuffled, so a repeated id is no hot key.
+    usable = marked.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = None
     for y in (0, 1):
-        some = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
+        some = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
         chosen = some if chosen is None else chosen.unionByName(some)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"))
     # The broadcast side is at most `most` rows of two numbers.
-    rows = texts.where(F.octet_length("t") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "t").collect()
-    return [(bytes(r.t), r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.t))[: 2 * most]]
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
+    return [(bytes(r.t), r.y) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def train(docs: DataFrame, labels: DataFrame, **columns) -> Model:

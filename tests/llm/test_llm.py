@@ -312,6 +312,24 @@ def test_toxicity_on_held_out_rows(spark, awkward, empty):
     assert toxicity.train(empty, labels).gram_scores.max() == 0
 
 
+def test_toxicity_sample_is_one_text_of_each_usable_id(spark):
+    ids = [d for d in range(200) if not toxicity.held_out(d)]
+    hot, long, gone, rest = ids[0], ids[1:11], ids[11:21], ids[21:61]
+    docs = [(hot, f"copy {k % 3}") for k in range(300)] + [(d, "x" * (toxicity.TRAIN_BYTES + 1)) for d in long] + [(d, f"text {d}") for d in rest]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in [hot, *long, *gone, *rest]], "doc_id long, toxic int")
+    everything = toxicity.training_sample(docs, labels, 100)
+    assert sorted(everything) == sorted([(b"copy 0", hot % 2), *((b"text %d" % d, d % 2) for d in rest)])
+    some = toxicity.training_sample(docs, labels, 20)
+    assert len(set(some)) == 20 and sum(y for _, y in some) == 10
+
+
+def test_toxicity_of_one_short_word():
+    for w in (b"a", b"ab", "é".encode()):
+        (ids, starts), (more, cuts) = toxicity.grams([w]), toxicity.grams([w, b"longer"])
+        assert ids.tolist() == more[: cuts[1]].tolist() and starts.tolist() == [0, len(ids)]
+
+
 # BPE
 
 
