@@ -50,10 +50,9 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the shards, then read them back in slot order."""
     import public_tokenizers
 
-    sequences = token_shards.materialised(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
-    token_shards.written_shards(sequences, path)
-    return spark.read.parquet(path).select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    rows = token_shards.materialised(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return rows.select("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

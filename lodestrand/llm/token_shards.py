@@ -1,22 +1,30 @@
 """Token ids in training order: fixed-stride shards under a keyed permutation.
 
-Texts are tokenised once into a table. Every document is cut into sequences of
-`length` ids, the last one padded. Tasks number their own sequences, and the
-totals of the tasks before turn that into a number 0..N-1 over the corpus, in
-the order of files and rows. A keyed Feistel network over the next even power of
-two, walked in cycles until it lands below N, maps each number to its slot in
-training order. Slot s lies in shard s // per_shard at byte
-(s % per_shard) * stride, so a reader finds any step with arithmetic alone and
-can resume there.
-
-Only one count per task reaches the driver. Sequences are shuffled
-once, to equal ranges of slots, whatever keys or copies the documents hold.
-Shards are rows of a table written by Spark in slot order, so they can lie in
-any store; the concatenated `ids` of a shard are its bytes.
+Every document is cut into sequences of `length` ids, the last one padded. A
+sequence is numbered by a hash of its document's id and text and of its part, so
+the order does not hang on how files or tasks hold the rows. A keyed Feistel
+network, walked in cycles until it lands below n_shards * 2**PLACE_BITS, takes
+that number to the sequence's place in training order. The high part of a place
+is its shard: places are dealt to ranges by arithmetic, without a sample, and
+one task writes the whole of a shard, in order, into one file of records of
+fixed stride (`record_type`). The slot of a sequence is its rank among all
+places. The length of a shard's file says how many records it holds, so a reader
+finds any slot with one table of lengths and a multiplication, reads on from
+there in sequence, and can resume anywhere (`resumed`).
+
+Texts are tokenised once and sequences shuffled once, unpadded, whatever keys or
+copies the documents hold; nothing else is written, and the driver receives a
+total of bytes and a length for each shard. A lost executor costs its tasks.
+
+Records end in a line feed, since Spark's text writer ends them so; readers skip
+it with the stride. Shards hold about `per_shard` sequences each, which must stay
+under 2 GB for `records`, which reads them whole; others can seek.
 
 Defined cases: null and empty texts are one sequence, an end mark and padding;
-rows with equal or null ids keep all their sequences; an empty table gives no
-sequences; other columns are not read.
+rows with equal or null ids keep all their sequences; equal rows have equal
+numbers and stand side by side; a text of any length is tokenised whole, its
+sequences spread over all shards; an empty table gives no sequences and no
+shards; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,13 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Reuse
-from .shared import as_bytes, slices, written
+from .shared import as_bytes, slices
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 512, 4096, 0x5EED, 4
+#: Places of a shard; far more than sequences, so that two seldom share one.
+PLACE_BITS = 40
+#: Bytes of text that one token takes, about; it sets the number of shards and nothing else.
+BYTES_PER_TOKEN = 3
 
 
 def feistel(index: Column, half_bits: int, key: int = KEY) -> Column:
@@ -47,32 +59,29 @@ def slots(sequences: DataFrame, n: int, index: str = "index", key: int = KEY) ->
     """sequences with column slot, a permutation of 0 .. n - 1: the Feistel image, walked on while it is n or more."""
     half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
     out = sequences.withColumn("slot", feistel(F.col(index).cast("long"), half, key))
-    # The domain is below 4n (8 at least): after 64 steps a walk that is still outside has a chance under 0.75 ** 64 each.
+    # The domain is below 4n (8 at least), so a walk that is still outside after 400 steps has a chance under 1e-49; it fails.
     step = lambda s: F.when(s["v"] >= n, F.struct(feistel(s["v"], half, key).alias("v"))).otherwise(s)
     walked = F.aggregate(F.when(F.col("slot") >= n, F.sequence(F.lit(1), F.lit(400))).otherwise(F.array().cast("array<int>")), F.struct(F.col("slot").alias("v")), lambda s, _: step(s), lambda s: s["v"])
-    return out.withColumn("slot", walked)
+    return out.withColumn("slot", walked).withColumn("slot", F.when(F.col("slot") < n, F.col("slot")).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long")))
 
 
-def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, length: int, doc_id: str, text: str) -> DataFrame:
-    """(task, first, doc_id, n_tokens, ids): byte-level BPE ids as little-endian unsigned 16-bit integers, an end mark last; first numbers the task's sequences."""
+def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, doc_id: str, text: str) -> DataFrame:
+    """(number, doc_id, n_tokens, ids): byte-level BPE ids as little-endian unsigned 16-bit integers, an end mark last; number is a hash of id and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import regex
         import tiktoken
-        from pyspark import TaskContext
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        pieces, table, end = regex.compile(pattern), Reuse(96 << 20), np.array([end_id], "<u2").tobytes()
-        task, first = TaskContext.get().partitionId(), 0
+        pieces, table, end = regex.compile(pattern), Reuse(48 << 20), np.array([end_id], "<u2").tobytes()
         for batch in slices(batches, "text"):
-            ids, firsts = [], []
+            ids = []
             for t in as_bytes(batch.column("text")):
-                data = t or b""
-                words = pieces.findall(data.decode())
+                words = pieces.findall((t or b"").decode())
                 found = list(map(table.young.get, words))
                 if None in found:
                     made = {w: table.old.get(w) for w, x in zip(words, found) if x is None}
@@ -82,40 +91,94 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, lengt
                         table.put(w, x, len(x) + 260)
                     found = [made[w] if x is None else x for w, x in zip(words, found)]
                 ids.append(b"".join(found) + end)
-                firsts.append(first)
-                first += -(-len(ids[-1]) // (2 * length))
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int32()), pa.array(firsts, pa.int64()), batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["task", "first", "doc_id", "n_tokens", "ids"])
-
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(work, "task int, first long, doc_id long, n_tokens long, ids binary")
-
-
-def materialised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 50256, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, part, n_tokens, ids) of every sequence; ids is length * 2 bytes, padded with the end mark."""
-    tokens = written(tokenised(docs, ranks_path, pattern, end_id, length, doc_id, text), "tokens")
-    n_seq = F.ceil(F.col("n_tokens") / length)
-    before, total = [], 0
-    for r in tokens.groupBy("task").agg(F.sum(n_seq).alias("n")).orderBy("task").collect():
-        before.append((r.task, total))
-        total += r.n
-    # One row per task of the scan.
-    numbered = tokens.join(F.broadcast(docs.sparkSession.createDataFrame(before, "task int, before long")), "task")
-    parts = numbered.select("doc_id", "n_tokens", "ids", (F.col("before") + F.col("first")).alias("first"), F.explode(F.sequence(F.lit(0), (n_seq - 1).cast("int"))).alias("part"))
-    cut = parts.select("doc_id", "part", (F.col("first") + F.col("part")).alias("index"), F.least(F.lit(length), F.col("n_tokens") - F.col("part") * length).cast("int").alias("n_tokens"), F.substring("ids", F.col("part") * (2 * length) + 1, F.lit(2 * length)).alias("ids"))
-    pad = F.unhex(F.lit(np.array([end_id], "<u2").tobytes().hex() * length))
-    filled = cut.withColumn("ids", F.concat("ids", F.substring(pad, F.lit(1), F.lit(2 * length) - F.octet_length("ids"))))
-    placed = slots(filled, total, key=key)
-    shard = F.floor(F.col("slot") / per_shard)
-    return placed.select("slot", shard.alias("shard"), ((F.col("slot") % per_shard) * (2 * length)).alias("byte_offset"), "doc_id", "part", "n_tokens", "ids")
+            yield pa.RecordBatch.from_arrays([batch.column("number"), batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["number", "doc_id", "n_tokens", "ids"])
+
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = own.select(F.xxhash64("doc_id", "text").alias("number"), "doc_id", "text")
+    return source.mapInArrow(work, "number long, doc_id long, n_tokens long, ids binary")
+
+
+def shards_for(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, text: str = "text") -> int:
+    """How many shards of about per_shard sequences the texts fill."""
+    row = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count("*").alias("rows")).first()
+    return max(1, round(((row.bytes or 0) / BYTES_PER_TOKEN / length + row.rows / 2) / per_shard))
 
 
-def written_shards(sequences: DataFrame, path: str, shards: int | None = None) -> None:
-    """Write sequences in slot order, one contiguous range of slots to a file."""
-    dealt = sequences.repartitionByRange(shards, "slot") if shards else sequences.repartitionByRange("slot")
-    dealt.sortWithinPartitions("slot").write.parquet(path)
+def placed(docs: DataFrame, ranks_path: str, pattern: str, shards: int, end_id: int = 50256, length: int = LENGTH, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(shard, place, doc_id, part, n_tokens, ids) of every sequence, not padded; places ascend in training order."""
+    tokens = tokenised(docs, ranks_path, pattern, end_id, doc_id, text)
+    parts = tokens.select("number", "doc_id", "n_tokens", "ids", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_tokens") / length) - 1).cast("int"))).alias("part"))
+    domain = shards << PLACE_BITS
+    cut = parts.select(
+        F.pmod(F.xxhash64("number", "part"), F.lit(domain)).alias("index"), "doc_id", "part", F.least(F.lit(length), F.col("n_tokens") - F.col("part") * length).cast("int").alias("n_tokens"),
+        F.substring("ids", F.col("part") * (2 * length) + 1, F.lit(2 * length)).alias("ids"),
+    )
+    return slots(cut, domain, key=key).select(F.shiftright("slot", PLACE_BITS).cast("int").alias("shard"), F.col("slot").alias("place"), "doc_id", "part", "n_tokens", "ids")
 
 
-def resumed(spark, path: str, from_slot: int) -> DataFrame:
-    """Sequences from a slot on, in order; row-group statistics skip the files before it."""
-    return spark.read.parquet(path).where(F.col("slot") >= from_slot).orderBy("slot")
+def record_type(length: int = LENGTH) -> np.dtype:
+    """A record of a shard as numpy reads it; `has_id` is 0 where doc_id is null."""
+    return np.dtype([("doc_id", ">i8"), ("part", ">i4"), ("n_tokens", ">u2"), ("has_id", "u1"), ("ids", "<u2", length), ("end", "u1")])
+
+
+def written_shards(sequences: DataFrame, path: str, shards: int, end_id: int = 50256, length: int = LENGTH, per_task: int = 1) -> None:
+    """Write one file of fixed-stride records for each shard, under path/shard=k; per_task shards, next to each other, share a task."""
+    number = lambda c, size: F.unhex(F.lpad(F.hex(c), 2 * size, "0"))
+    pad = F.unhex(F.lit(np.array([end_id], "<u2").tobytes().hex() * length))
+    record = F.concat(
+        number(F.coalesce("doc_id", F.lit(0).cast("long")), 8), number(F.col("part"), 4), number(F.col("n_tokens"), 2), number(F.col("doc_id").isNotNull().cast("int"), 1),
+        "ids", F.substring(pad, F.lit(1), F.lit(2 * length) - F.octet_length("ids")),
+    )
+    dealt = sequences.repartitionById(-(-shards // per_task), F.floor(F.col("shard") / per_task).cast("int"))
+    ordered = dealt.sortWithinPartitions("shard", "place", "doc_id", "part", "ids")
+    # Bytes pass through a string column untouched.
+    ordered.select("shard", record.cast("string").alias("value")).write.partitionBy("shard").text(path)
+
+
+def manifest(spark: SparkSession, path: str, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(shard, first slot, sequences) of every shard that has any, from the lengths of the files; the contents are not read."""
+    files = spark.read.format("binaryFile").schema(FILES).load(path).select("shard", "length").orderBy("shard").collect() if holds_files(spark, path) else []
+    out, first = [], 0
+    for r in files:
+        n = r.length // record_type(length).itemsize
+        out.append((r.shard, first, n))
+        first += n
+    return out
+
+
+FILES = "path string, modificationTime timestamp, length long, content binary, shard int"
+
+
+def holds_files(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return any("shard=" in f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
+
+
+def records(spark: SparkSession, path: str, length: int = LENGTH, from_slot: int = 0) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, part, n_tokens, ids) of the sequences from a slot on, read from the shards; shards before it are not opened."""
+    stride, ids_at = record_type(length).itemsize, record_type(length).fields["ids"][1]
+    starts = [x for x in manifest(spark, path, length) if x[1] + x[2] > from_slot]
+    if not starts:
+        return spark.createDataFrame([], "slot long, shard int, byte_offset long, doc_id long, part int, n_tokens int, ids binary")
+    # One row for each shard.
+    firsts = F.broadcast(spark.createDataFrame(starts, "shard int, first long, n int"))
+    files = spark.read.format("binaryFile").schema(FILES).load(path).where(F.col("shard") >= starts[0][0]).select("shard", "content")
+    at = files.join(firsts, "shard").select("shard", "first", "content", F.explode(F.sequence(F.greatest(F.lit(from_slot) - F.col("first"), F.lit(0)), F.col("n").cast("long") - 1)).alias("k"))
+    rows = at.select("shard", (F.col("first") + F.col("k")).alias("slot"), (F.col("k") * stride).alias("byte_offset"), F.substring("content", (F.col("k") * stride + 1).cast("int"), F.lit(stride)).alias("r"))
+    value = lambda start, size: F.conv(F.hex(F.substring("r", start + 1, size)), 16, -10).cast("long")
+    return rows.select(
+        "slot", "shard", "byte_offset", F.when(value(14, 1) == 1, value(0, 8)).alias("doc_id"), value(8, 4).cast("int").alias("part"), value(12, 2).cast("int").alias("n_tokens"),
+        F.substring("r", ids_at + 1, 2 * length).alias("ids"),
+    )
+
+
+def materialised(docs: DataFrame, path: str, ranks_path: str, pattern: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write the shards of docs under path, then give their records back."""
+    shards = shards_for(docs, length, per_shard, text)
+    written_shards(placed(docs, ranks_path, pattern, shards, length=length, key=key, doc_id=doc_id, text=text), path, shards, length=length)
+    return records(docs.sparkSession, path, length)
+
+
+def resumed(spark: SparkSession, path: str, from_slot: int, length: int = LENGTH) -> DataFrame:
+    """Sequences from a slot on, in order."""
+    return records(spark, path, length, from_slot).orderBy("slot")

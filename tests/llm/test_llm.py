@@ -276,19 +276,41 @@ def test_shards_round_trip(spark, tmp_path, awkward, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, SMALL, "documents").select("doc_id", "text").unionByName(awkward.where("doc_id is not null and doc_id <> 5").select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
-    made = token_shards.materialised(docs, path, public_tokenizers.PATTERN, length=64, per_shard=50)
-    token_shards.written_shards(made, str(tmp_path / "s"), 3)
-    rows = spark.read.parquet(str(tmp_path / "s")).collect()
-    assert sorted(r.slot for r in rows) == list(range(len(rows))) and all(len(r.ids) == 128 and r.shard == r.slot // 50 and r.byte_offset == r.slot % 50 * 128 for r in rows)
+    docs = docs.unionByName(spark.createDataFrame([(-7, "negative id"), (None, "no id")], "doc_id long, text string"))
+    at = str(tmp_path / "s")
+    rows = token_shards.materialised(docs, at, path, public_tokenizers.PATTERN, length=64, per_shard=50).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and len({r.shard for r in rows}) > 10
     with open(path, "rb") as f:
         coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
     own = defaultdict(dict)
     for r in rows:
+        assert len(r.ids) == 128
         own[r.doc_id][r.part] = np.frombuffer(bytes(r.ids), "<u2")[: r.n_tokens].tolist()
     for d, t in [tuple(r) for r in docs.collect()]:
         assert sum((own[d][k] for k in sorted(own[d])), []) == [*coder.encode_ordinary(t or ""), 50256]
-    assert [r.slot for r in token_shards.resumed(spark, str(tmp_path / "s"), 7).limit(3).collect()] == [7, 8, 9]
-    assert token_shards.materialised(empty, path, public_tokenizers.PATTERN).count() == 0
+    # Each shard is one file, and a record lies at its offset.
+    kind = token_shards.record_type(64)
+    files = {int(f.parent.name.split("=")[1]): f for f in (tmp_path / "s").glob("shard=*/part-*")}
+    assert len(files) == len(list((tmp_path / "s").glob("shard=*/part-*"))) == len({r.shard for r in rows})
+    for r in rows[::17]:
+        with open(files[r.shard], "rb") as f:
+            f.seek(r.byte_offset)
+            one = np.frombuffer(f.read(kind.itemsize), kind)[0]
+        assert one["ids"].tobytes() == bytes(r.ids) and (int(one["doc_id"]) if one["has_id"] else None) == r.doc_id and one["end"] == 10
+    assert [r.slot for r in token_shards.resumed(spark, at, 700, 64).limit(3).collect()] == [700, 701, 702]
+    # Other partitions, same order; another key, another order.
+    order = [(r.doc_id, r.part) for r in sorted(rows, key=lambda r: r.slot)]
+    again, other = (token_shards.materialised(docs.repartition(7), str(tmp_path / f"again{k}"), path, public_tokenizers.PATTERN, length=64, per_shard=50, key=k) for k in (token_shards.KEY, 1))
+    assert order == [(r.doc_id, r.part) for r in again.orderBy("slot").collect()] != [(r.doc_id, r.part) for r in other.orderBy("slot").collect()]
+    assert token_shards.materialised(empty, str(tmp_path / "none"), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_equal_rows_keep_all_their_sequences(spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(3, "twice"), (3, "twice"), (3, "other"), (None, None), (None, "")], "doc_id long, text string")
+    rows = token_shards.materialised(docs, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length=8).collect()
+    assert sorted(r.slot for r in rows) == [0, 1, 2, 3, 4] and [r.doc_id for r in rows].count(3) == 3 and [r.doc_id for r in rows].count(None) == 2
 
 
 # toxicity
