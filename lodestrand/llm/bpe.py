@@ -2,7 +2,7 @@
 
 A text is cut where a rolling hash of the last bytes meets a mask, so the same
 passage yields the same chunks in whatever document it stands. A chunk is
-encoded once per worker and then reused; the words of a new chunk go through a
+encoded once per worker process, whose tasks share the tables, and then reused; the words of a new chunk go through a
 second, finer reuse table, and only words that neither table holds reach the
 tokenizer, in one batch. A cut may fall inside a word: both sides then carry ids
 that the whole text would not have. Each such join is repaired by encoding the
@@ -39,7 +39,7 @@ from .shared import as_bytes, slices
 
 #: Chunks end where the lowest bits of the hash are zero: 2**11 bytes long on average.
 MASK_BITS, WINDOW = 11, 14
-WORD_TABLE_BYTES, CHUNK_TABLE_BYTES = 96 << 20, 24 << 20
+WORD_TABLE_BYTES, CHUNK_TABLE_BYTES = 40 << 20, 12 << 20
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -220,6 +220,17 @@ class Codec:
         return np.array(ids[0], "<u4").tobytes(), self.decoded(ids)[0].encode()
 
 
+CODECS: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """The codec of this worker process: tasks that follow one another share its tables."""
+    if path not in CODECS:
+        CODECS.clear()
+        CODECS[path] = Codec(path)
+    return CODECS[path]
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, decoded): ids as a binary column of little-endian unsigned 32-bit integers."""
     return _mapped(docs, tokenizer_path, doc_id, text, "doc_id long, ids binary, decoded binary", lambda i, t: (i, t))
@@ -236,7 +247,7 @@ def _mapped(docs: DataFrame, path: str, doc_id: str, text: str, schema: str, of)
     kinds = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in slices(batches, "text"):
             rows = [of(*x) for x in codec.encode_many([t or b"" for t in as_bytes(batch.column("text"))])]
             columns = [pa.array([r[k] for r in rows], kinds[k + 1]) for k in range(len(kinds) - 1)]

@@ -7,22 +7,27 @@ test phrases (10-word windows) are searched backward together through wavelet
 ranks; what is left of their intervals is located by stepping to a sampled
 position. The occurrences of a document are merged to removal spans.
 
-The test phrases travel in blocks of bounded size, one pass over the shards per
-block (`BLOCK_BYTES` of benchmark text each; a common benchmark is one block).
-Nothing is shuffled and a shard is the unit of recovery. Separators are ordered
-by position, so suffixes that many copies share end at the next unknown word.
+The test phrases travel in blocks of `BLOCK_BYTES` of benchmark text, held as
+arrays: the words as numbers, the starts of distinct windows and their items.
+A pass over the shards takes up to `PASS_BLOCKS` blocks; a benchmark beyond that
+takes more passes. Nothing is shuffled and a shard is the unit of recovery.
+Separators are ordered by position, so suffixes that many copies share end at
+the next unknown word.
 
 Defined cases: null or wordless documents have no words and no hits; null or
 wordless items have no windows; items of fewer than 10 words are one window;
 windows that several items share count for each; rows with one item_id are one
 item, a null item_id shows as an empty string; repeated document rows are
-judged one by one; an empty benchmark leaves every document clean; other
-columns pass through `cleaned` unchanged.
+judged one by one; an empty benchmark leaves every document clean; a text beyond
+the size of a shard is a shard of its own, searched whole; other columns pass
+through `cleaned` unchanged, whose texts hold no window any more, those included
+that cutting brought together.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -31,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, slices
+from .shared import as_bytes, discard, slices, written
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, PASS_BLOCKS = 16 << 20, 4
+#: So many patterns are searched at once.
+PATTERNS = 1 << 16
 SAMPLE = 16
 #: Separators become spaces and A-Z lower case; bytes of characters beyond ASCII are parts of words.
 FOLD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -45,20 +52,56 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
+def window_numbers(sequence: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window of `length` from the starts, equal for equal windows: numbers of halves are paired, as binary digits of the length ask."""
+    number, size, at, whole = sequence.astype(np.int64), 1, 0, np.zeros(len(starts), np.int64)
+    while True:
+        if length & size:
+            # Windows lie inside the sequence, so starts + at does too.
+            whole = np.unique(whole * (int(number.max(initial=0)) + 1) + number[starts + at], return_inverse=True)[1]
+            at += size
+        if (size := size * 2) > length:
+            return whole
+        half = size // 2
+        follows = np.concatenate((number[half:], np.zeros(min(half, len(number)), np.int64)))
+        number = np.unique(number * (int(number.max(initial=0)) + 1) + follows, return_inverse=True)[1]
+
+
 class Phrases:
-    """One block of test phrases: their words as symbols 1.., and the windows by length with the items that hold each."""
+    """One block of test phrases: words as symbols 1.., and by length the starts of the distinct windows with the items that hold each."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]):
+    def __init__(self, items: Iterator[tuple[str, list[bytes]]] | list[tuple[str, list[bytes]]]):
         self.symbols: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        names: dict[str, int] = {}
+        parts, owners, first, starts = [], [], 0, defaultdict(list)
         for item, own in items:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in own]
-            for k in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                owners.setdefault(tuple(ids[k : k + WINDOW]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for m in sorted({len(w) for w in owners}):
-            found = {w: sorted(o) for w, o in owners.items() if len(w) == m}
-            self.by_length[m] = np.array(list(found), np.int64).reshape(-1, m), list(found.values())
+            ids = np.fromiter((self.symbols.setdefault(w, len(self.symbols) + 1) for w in own), np.int32, len(own))
+            if len(ids):
+                m = min(len(ids), WINDOW)
+                begin = np.arange(first, first + len(ids) - m + 1)
+                starts[m].append((begin, np.full(len(begin), names.setdefault(item, len(names)), np.int32)))
+                parts.append(ids)
+                first += len(ids)
+        self.sequence, self.items = np.concatenate(parts) if parts else np.zeros(0, np.int32), list(names)
+        #: length -> (starts of distinct windows, where each one's items begin, their numbers)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for m, found in sorted(starts.items()):
+            begin, owner = (np.concatenate(x) for x in zip(*found))
+            number = window_numbers(self.sequence, begin, m)
+            pair, at = np.unique(number * len(names) + owner, return_index=True)
+            number = pair // len(names)
+            new = np.nonzero(np.diff(number, prepend=-1))[0]
+            self.by_length[m] = begin[at[new]], np.append(new, len(pair)), (pair % len(names)).astype(np.int32)
+
+    def patterns(self, m: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The distinct windows of length m, in parts: the number of the first, and one row of symbols each."""
+        begin = self.by_length[m][0]
+        for k in range(0, len(begin), PATTERNS):
+            yield k, self.sequence[begin[k : k + PATTERNS, None] + np.arange(m)].astype(np.int64)
+
+    def holders(self, m: int, pattern: int) -> list[str]:
+        _, where, owners = self.by_length[m]
+        return [self.items[k] for k in owners[where[pattern] : where[pattern + 1]]]
 
 
 class WaveletMatrix:
@@ -175,19 +218,20 @@ def search_shard(texts: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray
         place = np.zeros(len(text), np.int64)
         place[at] = here
         index = FMIndex(text, len(phrases.symbols))
-        for m, (patterns, owners) in phrases.by_length.items():
-            found, lo, hi = index.search(patterns)
-            if not len(found):
-                continue
-            sizes = hi - lo
-            which = np.repeat(found, sizes)
-            rows = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)
-            word = place[index.locate(rows)]
-            np.add.at(marks, word, 1)
-            np.add.at(marks, word + m, -1)
-            doc = np.searchsorted(starts, word, "right") - 1
-            for d, p in np.unique(np.stack((doc, which), axis=1), axis=0).tolist():
-                items[d].update(owners[p])
+        for m in phrases.by_length:
+            for low, patterns in phrases.patterns(m):
+                found, lo, hi = index.search(patterns)
+                if not len(found):
+                    continue
+                sizes = hi - lo
+                which = np.repeat(found, sizes)
+                rows = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)
+                word = place[index.locate(rows)]
+                np.add.at(marks, word, 1)
+                np.add.at(marks, word + m, -1)
+                doc = np.searchsorted(starts, word, "right") - 1
+                for d, p in np.unique(np.stack((doc, which), axis=1), axis=0).tolist():
+                    items[d].update(phrases.holders(m, low + p))
     return starts, np.cumsum(marks)[:-1] > 0, items
 
 
@@ -198,43 +242,66 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_BYTES) -> Iterator[Phrases]:
-    """The benchmark as blocks of phrases of at most `most` bytes of text (or one item)."""
-    held, size = [], 0
-    for row in benchmark.select(F.col(item_id).cast("string"), F.encode(F.col(text), "UTF-8")).toLocalIterator():
-        item, data = row[0] or "", bytes(row[1] or b"")
-        if held and size + len(data) > most:
-            yield Phrases(held)
-            held, size = [], 0
-        held.append((item, words(data)))
-        size += len(data)
-    yield Phrases(held)
-
-
-def _scan(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> DataFrame:
-    """rows (row, text) with n_words, spans (merged [start, end) word numbers, flat) and items, one pass per block of phrases."""
+    """The benchmark as blocks of phrases of about `most` bytes of text (or one item). Rows come one partition of the benchmark at a time."""
+    rows = ((r[0] or "", bytes(r[1] or b"")) for r in benchmark.select(F.col(item_id).cast("string"), F.encode(F.col(text), "UTF-8")).toLocalIterator())
+    ended = False
+
+    def of_one_block() -> Iterator[tuple[str, list[bytes]]]:
+        nonlocal ended
+        size = 0
+        for item, data in rows:
+            yield item, words(data)
+            size += len(data)
+            if size >= most:
+                return
+        ended = True
+
+    while not ended:
+        yield Phrases(of_one_block())
+
+
+def passes(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[list]:
+    """Broadcast blocks of phrases, grouped as one pass takes them."""
+    sent = [benchmark.sparkSession.sparkContext.broadcast(p) for p in blocks(benchmark, item_id, text, block_bytes)]
+    return [sent[k : k + PASS_BLOCKS] for k in range(0, len(sent), PASS_BLOCKS)]
+
+
+def search_all(texts: list[list[bytes]], shared: list) -> tuple[list[np.ndarray], list[set[str]]]:
+    """Hit marks of the words and items found, of each document of a shard, over some blocks."""
+    every, named = None, [set() for _ in texts]
+    for block in shared:
+        starts, hit, items = search_shard(texts, block.value)
+        every = hit if every is None else every | hit
+        for own, more in zip(named, items):
+            own |= more
+    return [every[a:b] for a, b in zip(starts, starts[1:])], named
+
+
+def _scan(rows: DataFrame, groups: list[list]) -> DataFrame:
+    """rows (row, text) with n_words, spans (merged [start, end) word numbers, flat) and items. The text goes on to a next pass only."""
     out = rows.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
 
-    def pass_over(shared) -> Callable:
+    def pass_over(shared: list, last: bool) -> Callable:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 texts = [words(t) for t in as_bytes(batch.column("text"))]
-                starts, hit, items = search_shard(texts, shared.value)
+                hits, items = search_all(texts, shared)
                 spans, named = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-                touched = [k for k, found in enumerate(items) if found]
-                for k in touched:
-                    own = hit[starts[k] : starts[k + 1]].copy()
+                for k in [k for k, found in enumerate(items) if found]:
+                    own = hits[k].copy()
                     for a, b in zip(spans[k][::2], spans[k][1::2]):
                         own[a:b] = True
                     spans[k] = [x for run in runs(own) for x in run]
                     named[k] = sorted(items[k] | set(named[k]))
-                columns = [batch.column("row"), batch.column("text"), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))]
+                text = pa.nulls(len(texts), batch.column("text").type) if last else batch.column("text")
+                columns = [batch.column("row"), text, pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_words", "spans", "items"])
 
         return work
 
-    for phrases in blocks(benchmark, item_id, item_text, block_bytes):
-        out = out.mapInArrow(pass_over(rows.sparkSession.sparkContext.broadcast(phrases)), schema)
+    for k, shared in enumerate(groups):
+        out = out.mapInArrow(pass_over(shared, k == len(groups) - 1), schema)
     return out
 
 
@@ -244,7 +311,7 @@ def _n_hit() -> Column:
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans): one row per document."""
-    found = _scan(docs.select(F.col(doc_id).alias("row"), F.col(text).alias("text")), benchmark, item_id, item_text, block_bytes)
+    found = _scan(docs.select(F.col(doc_id).alias("row"), F.col(text).alias("text")), passes(benchmark, item_id, item_text, block_bytes))
     return found.select(
         F.col("row").alias("doc_id"), "n_words", _n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (_n_hit() > 0).alias("contaminated"), "spans",
@@ -262,17 +329,39 @@ def without_words(text: str, spans: list[int]) -> str:
     return b"".join([*out, data[last:]]).decode()
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with the removal spans cut out of their texts; a document of which no word is left goes."""
-    found = _scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text")), benchmark, item_id, item_text, block_bytes)
+def _cut(docs: DataFrame, shared: list, text: str) -> DataFrame:
+    """docs without the windows of some blocks, cut until none is left; a document that loses its last word goes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            if any(spans):
-                texts = [without_words(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
-                batch = batch.set_column(1, batch.schema.field(1), pa.array(texts, batch.column("text").type))
+        for batch in slices(batches, text):
+            where = batch.schema.get_field_index(text)
+            own = [words(t) for t in as_bytes(batch.column(where))]
+            todo, made = list(range(len(own))), {}
+            while todo:
+                hits, _ = search_all([own[k] for k in todo], shared)
+                todo = [(k, hit) for k, hit in zip(todo, hits) if hit.any()]
+                for k, hit in todo:
+                    made[k] = without_words(made[k] if k in made else batch.column(where)[k].as_py(), [x for run in runs(hit) for x in run])
+                    own[k] = words(made[k].encode())
+                todo = [k for k, _ in todo if own[k]]
+            if made:
+                texts = [made.get(k, x) for k, x in enumerate(batch.column(where).to_pylist())]
+                batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.column(where).type))
+                batch = batch.filter(pa.array([k not in made or bool(own[k]) for k in range(len(own))]))
             yield batch
 
-    left = found.mapInArrow(work, found.schema).where((F.size("items") == 0) | (_n_hit() < F.col("n_words")))
-    return left.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
+    return docs.mapInArrow(work, docs.schema)
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the removal spans cut out of their texts, until no window is left; a document that loses its last word goes."""
+    groups = passes(benchmark, item_id, item_text, block_bytes)
+    if len(groups) == 1:
+        return _cut(docs, groups[0], text)
+    # A cut for one group may bring together a window of another: go round until a whole round finds nothing.
+    while True:
+        for shared in groups:
+            docs, before = written(_cut(docs, shared, text), "cut"), docs
+            discard(before)
+        if _scan(docs.select(F.lit(0).alias("row"), F.col(text).alias("text")), groups).where(F.size("items") > 0).isEmpty():
+            return docs

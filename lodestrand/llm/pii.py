@@ -3,11 +3,14 @@
 Base spans (email, ip, card, phone) come from fixed patterns and always stand.
 Beyond them, three families of labelers vote on candidate spans: patterns
 (shapes of ids and secrets), a gazetteer (first names, key names) and context
-(cue words just before). The votes of the whole corpus are counted by pattern
-of votes and features, a table whose size is bounded by the product of their
-values; expectation-maximisation on it estimates each labeler's reliability
-without labels, and its posteriors train a logistic span classifier. A second
-pass extracts the spans and lets the classifier accept candidates.
+(cue words just before). Candidates are all values that hold a digit or are
+assigned to a key, and all runs of capitalised words that hold a first name or
+follow a cue, so each labeler can vote either way or abstain. The votes of the
+whole corpus are counted by pattern of votes and features, a table whose size is
+bounded by the product of their values; expectation-maximisation on it
+estimates each labeler's reliability without labels, for values and for names
+apart, and its posteriors train a logistic span classifier. A second pass
+extracts the spans and lets the classifier accept candidates.
 
 Both passes are local to a row; only the count table is shuffled.
 
@@ -32,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import slices
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("name", "id", "secret")
 KINDS = BASE + ADDED
@@ -50,9 +55,14 @@ KEY_NAMES = frozenset("token password passwd pwd secret key apikey api_key acces
 ID_NAMES = frozenset("ssn passport iban license account nif dni id tax insurance".split())
 NAME_CUES = frozenset("mr mrs ms dr name called contact dear monsieur madame herr frau señor señora".split())
 VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_/+=-]*")
-ASSIGNED = re.compile(r"([A-Za-z_]{2,20})[\x20]?[:=][\x20]?[\"']?\Z")
+ASSIGNED = re.compile(r"([A-Za-z_]{2,20})[\x20]?([:=])[\x20]?[\"']?\Z")
+#: Where a candidate value may begin: at a digit, or after a sign of assignment.
+ANCHOR = re.compile(r"[0-9]|(?<=[A-Za-z_])[\x20]?[:=][\x20]?[\"']?(?=[A-Za-z])")
 SHAPES = (re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"), re.compile(r"(?=.*[0-9])[A-Za-z0-9_/+=-]{12,}"))
-CAPITAL = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Up to four words with a Latin capital, one space apart.
+RUN = re.compile(r"(?<![^\W_])[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:\x20[A-ZÀ-ÖØ-Þ][^\W\d_]+){0,3}")
+NAME_SIGNS = FIRST_NAMES | {form for w in NAME_CUES for form in (w, w.capitalize(), w.upper())}
 
 
 def luhn(digits: str) -> bool:
@@ -107,7 +117,7 @@ LABELERS = ("shape", "entropy", "gazetteer", "context", "plain")
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
-    """Spans that the labelers vote on: values with a digit, and capitalised words that a name or a cue introduces."""
+    """Spans that the labelers vote on: values with a digit or a key, and runs of capitalised words with a first name or after a cue."""
     found, last = [], 0
     starts = [a for a, _, _ in base]
     reach = list(accumulate((b for _, b, _ in base), max))
@@ -117,10 +127,10 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
         before = bisect_left(starts, high)
         return before > 0 and reach[before - 1] > low
 
-    for d in DIGIT.finditer(text) if DIGIT.search(text) else ():
-        if d.start() < last:
+    for d in ANCHOR.finditer(text):
+        low = d.start() if d.group().isdigit() else d.end()
+        if low < last:
             continue
-        low = d.start()
         while low > last and text[low - 1].isascii() and (text[low - 1].isalnum() or text[low - 1] in "_/+-"):
             low -= 1
         while low < d.start() and not text[low].isalnum():
@@ -132,38 +142,44 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[Candidate]:
         value = m.group().rstrip("=/+-_")
         before = ASSIGNED.search(text, max(0, low - 26), low)
         key = before.group(1).lower() if before else ""
+        known = key in KEY_NAMES or key in ID_NAMES
         digits, letters = sum(map(str.isdigit, value)), sum(map(str.isalpha, value))
         shape = next((k for k, p in enumerate(SHAPES) if p.fullmatch(value)), -1)
         mixed = digits >= 3 and letters >= 2 and len(value) >= 10
         votes = (
             1 if shape >= 0 else -1,
             1 if mixed else 0 if len(value) < 8 else -1,
-            1 if key in KEY_NAMES or key in ID_NAMES else -1,
-            1 if before else 0,
-            0 if len(value) <= 5 or not letters and len(value) < 9 else -1,
+            1 if known else 0 if before else -1,
+            0 if not before else 1 if digits or before.group(2) == "=" else -1,
+            0 if len(value) <= 5 or not letters and len(value) < 9 or not digits and not known else -1,
         )
-        kind = "secret" if shape not in (0, 1) and (mixed or key in KEY_NAMES) else "id"
-        found.append(Candidate(low, low + len(value), kind, votes, (1, min(len(value), 40) // 4, min(9, 10 * digits // max(1, len(value))), int(bool(before)), shape + 1)))
-    words = text.split()
-    if not FIRST_NAMES.isdisjoint(words):
-        for m in CAPITAL.finditer(text):
-            if m.group() not in FIRST_NAMES:
+        kind = "secret" if shape not in (0, 1) and (mixed or key in KEY_NAMES or not digits) else "id"
+        found.append(Candidate(low, low + len(value), kind, votes, (1, min(len(value), 40) // 4, min(9, 10 * digits // max(1, len(value))), bool(before) + known, shape + 1)))
+    if not NAME_SIGNS.isdisjoint(LETTERS.findall(text)):
+        for m in RUN.finditer(text):
+            low, own = m.start(), m.group().split(" ")
+            said = LETTERS.findall(text[max(0, low - 24) : low].lower())[-2:]
+            cue = not NAME_CUES.isdisjoint(said)
+            while own and own[0].lower() in NAME_CUES:
+                low, cue = low + len(own.pop(0)) + 1, True
+            first = next((k for k, w in enumerate(own) if w in FIRST_NAMES), -1)
+            if not own or first < 0 and not cue:
                 continue
-            follow = CAPITAL.match(text, m.end() + 1) if text[m.end() : m.end() + 1] == " " else None
-            surname = bool(follow and follow.group()[0].isupper())
-            before = text[max(0, m.start() - 24) : m.start()].lower().replace(":", " ").replace(".", " ").split()
-            cue = not NAME_CUES.isdisjoint(before[-3:])
-            end = follow.end() if surname else m.end()
-            if is_taken(m.start(), end):
+            low += sum(len(w) + 1 for w in own[: max(first, 0)])
+            own = own[max(first, 0) :][:3]
+            end = low + len(" ".join(own))
+            if is_taken(low, end):
                 continue
-            votes = (1 if surname else -1, -1, 1, 1 if cue else 0, -1 if surname or cue else 0)
-            found.append(Candidate(m.start(), end, "name", votes, (2, int(surname), int(cue), 0, 0)))
+            full, ends_clause = len(own) > 1, text[end : end + 1] in (",", ".", ";", ":", ")", "")
+            votes = (1 if full else -1, 0 if full and len(set(own)) == 1 else -1, int(first >= 0), int(cue), -1 if full or cue else 0)
+            found.append(Candidate(low, end, "name", votes, (2, int(full), int(cue), int(first >= 0), int(ends_clause))))
     return sorted(found, key=lambda c: (c.start, c.end))
 
 
 @dataclass(frozen=True)
 class Model:
     weights: tuple[float, ...]
+    #: By labeler, for values and for names ("name " before it): how often it is right on personal data, and on other spans.
     reliability: dict[str, tuple[float, float]]
 
     def accepts(self, c: Candidate) -> bool:
@@ -172,7 +188,7 @@ class Model:
 
 def vector(features: tuple[int, ...]) -> np.ndarray:
     """One-hot values of the coarse features, and a constant."""
-    out = np.zeros(38)
+    out = np.zeros(39)
     out[0] = 1.0
     family, a, b, c, d = features
     if family == 1:
@@ -180,24 +196,20 @@ def vector(features: tuple[int, ...]) -> np.ndarray:
         out[2 + min(a, 10)] = 1.0
         out[13 + b] = 1.0
         out[23 + c] = 1.0
-        out[25 + d] = 1.0
+        out[26 + d] = 1.0
     else:
         out[30] = 1.0
         out[31 + a] = 1.0
         out[33 + b] = 1.0
+        out[35 + c] = 1.0
+        out[37 + d] = 1.0
     return out
 
 
-def fit(counts: list[tuple[tuple[int, ...], tuple[int, ...], int]], rounds: int = 50) -> Model:
-    """EM over the vote patterns, then logistic regression on the features against its posteriors."""
-    if not counts:
-        return Model((), {})
-    votes = np.array([v for v, _, _ in counts])
-    n = np.array([c for _, _, c in counts], float)
-    x = np.stack([vector(f) for _, f, _ in counts])
+def estimated(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM over vote patterns that occur n times: each pattern's posterior, and each labeler's reliability on either class."""
     cast = votes >= 0
-    share = np.where(cast, votes, 0).sum(1) / np.maximum(cast.sum(1), 1)
-    posterior = np.clip(share, 0.05, 0.95)
+    posterior = np.clip(np.where(cast, votes, 0).sum(1) / np.maximum(cast.sum(1), 1), 0.05, 0.95)
     hit = miss = np.full(votes.shape[1], 0.5)
     for _ in range(rounds):
         yes, no = n * posterior, n * (1 - posterior)
@@ -208,12 +220,24 @@ def fit(counts: list[tuple[tuple[int, ...], tuple[int, ...], int]], rounds: int
         log_yes = np.where(votes == 1, np.log(hit), np.where(votes == 0, np.log(1 - hit), 0)).sum(1) + np.log(prior)
         log_no = np.where(votes == 0, np.log(miss), np.where(votes == 1, np.log(1 - miss), 0)).sum(1) + np.log(1 - prior)
         posterior = 1 / (1 + np.exp(np.clip(log_no - log_yes, -50, 50)))
-    w = np.zeros(x.shape[1])
-    weight = np.sqrt(n) / np.sqrt(n).sum()
+    return posterior, hit, miss
+
+
+def fit(counts: list[tuple[tuple[int, ...], tuple[int, ...], int]]) -> Model:
+    """EM over the vote patterns of values and of names, then one logistic regression on the features against the posteriors."""
+    if not counts:
+        return Model((), {})
+    votes, n, family = np.array([v for v, _, _ in counts]), np.array([c for _, _, c in counts], float), np.array([f[0] for _, f, _ in counts])
+    x, posterior, reliability = np.stack([vector(f) for _, f, _ in counts]), np.zeros(len(counts)), {}
+    for k, name in ((1, ""), (2, "name ")):
+        if (own := family == k).any():
+            posterior[own], hit, miss = estimated(votes[own], n[own])
+            reliability |= {name + who: (float(a), float(b)) for who, a, b in zip(LABELERS, hit, miss)}
+    w, weight = np.zeros(x.shape[1]), np.sqrt(n) / np.sqrt(n).sum()
     for _ in range(600):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         w += 4.0 * (x.T @ (weight * (posterior - p)) - 1e-4 * w)
-    return Model(tuple(w.tolist()), {k: (float(a), float(b)) for k, a, b in zip(LABELERS, hit, miss)})
+    return Model(tuple(w.tolist()), reliability)
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
@@ -221,7 +245,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches, text):
             for t in batch.column(0).to_pylist():
                 if t:
                     found.update(",".join(map(str, c.votes + c.features)) for c in candidates(t, base_spans(t)))
@@ -249,7 +273,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: M
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [spans(t, model) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in BASE]
             shas = pa.array([hashlib.sha256(shown(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -276,7 +300,7 @@ def redacted(docs: DataFrame, text: str = "text", model: Model | None = None) ->
     model = model or train(docs, text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             where = batch.schema.get_field_index(text)
             texts = [t and masked(t, spans(t, model)[1]) for t in batch.column(where).to_pylist()]
             yield batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.column(where).type))

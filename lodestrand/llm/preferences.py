@@ -11,7 +11,9 @@ conversations of other pairs do not meet there, so frequent ones are no hot key.
 Defined cases: null roles or texts are empty; turns with equal numbers are
 ordered by role and text; rows without a conversation id belong to none; a pair
 whose sides are equal has a full prompt and empty completions; conversations
-without an assistant turn on either side make no pair; other columns are ignored.
+without an assistant turn on either side make no pair; repeated rows are repeated
+turns; texts of any length are compared and rendered whole; ids of the whole
+range of a long pair exactly; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def formatted(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejecte
 def swapped_responses(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """(conv_id, chosen, rejected): each conversation against itself with the last assistant turn of its neighbour (id 2k and 2k + 1) in place of its own."""
     clean = turns.where(F.col(conv_id).isNotNull()).select(
-        F.floor(F.col(conv_id) / 2).alias("pair"), F.struct(F.col(conv_id).alias("id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
+        F.shiftright(F.col(conv_id).cast("long"), 1).alias("pair"), F.struct(F.col(conv_id).alias("id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
     )
     both = clean.groupBy("pair").agg(F.sort_array(F.collect_list("t")).alias("all"))
     side = lambda k: F.filter("all", lambda t: F.pmod(t["id"], F.lit(2)) == k)

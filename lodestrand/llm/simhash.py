@@ -18,7 +18,8 @@ Defined cases: a null or empty text, or one of white space, has fingerprint 0
 and is linked like any other. Fewer than three words form one shingle. Repeated
 rows and equal ids give one row each. A null id is never the smallest of its
 component; a component with no other id has a null component_id. An empty table
-gives no rows. Columns besides id and text are not read.
+gives no rows. A text of any length is hashed whole, in blocks. Columns besides
+id and text are not read, but for the choice of one row among several.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import as_bytes, discard, slices, written
 
@@ -60,22 +60,16 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row, as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *also): the fingerprint of every row, as a signed long, beside columns of longs that go along."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(t) for t in as_bytes(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), *map(batch.column, also)], ["doc_id", "fp", *also])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(work, "doc_id long, fp long")
-
-
-def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        found = np.array([fingerprint(t) for t in as_bytes(batch.column("text"))], np.uint64).view(np.int64)
-        yield batch.append_column("fp", pa.array(found))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *also)
+    return source.mapInArrow(work, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in also)]))
 
 
 def _counts(fp: np.ndarray) -> np.ndarray:
@@ -192,37 +186,43 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over the undirected edges (a, b), for every node that has one.
 
     Alternating large-star and small-star steps: each replaces edges by edges to
-    the smallest neighbour, in one shuffle, and stops when a round changes none.
+    the smallest neighbour, and stops when a round changes none. Smallest
+    neighbours are written before they are joined, so that both sides of a join
+    are dealt by it alone and Spark can split the edges of a hub.
     """
     least = lambda e: e.groupBy("a").agg(F.min("b").alias("m"))
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = least(both).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.join(least(large), "a")
-        small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least(large).select("a", F.col("m").alias("b")))
+        low = written(least(both).select("a", F.least("a", "m").alias("m")), "low")
+        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        first = written(least(large), "first")
+        small = large.join(first, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(first.select("a", F.col("m").alias("b")))
         after = written(small.distinct(), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        discard(edges)
+        for used in (edges, low, large, first):
+            discard(used)
         edges = after
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id, root): one row per row of docs; root, a fingerprint, tells components apart."""
-    marked = written(fingerprints(docs, doc_id, text), "fingerprints")
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root, *also): one row per row of docs; root, a fingerprint, tells components apart."""
+    marked = written(fingerprints(docs, doc_id, text, also), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(near_links(nodes))
-    linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = linked.withColumnRenamed("node", "fp").join(nodes, "fp")
-    named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    edges = components(near_links(nodes))
+    roots = written(edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    linked = written(roots.withColumnRenamed("node", "fp").join(nodes, "fp"), "linked")
+    # Both sides of each join are tables, dealt by it alone: Spark splits the largest component, and a fingerprint that many rows share.
+    named = linked.join(written(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "named"), "root").select("fp", "root", "component_id")
     every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    # From a table both sides of the join are dealt by it alone, so Spark splits a fingerprint that many rows share.
-    return marked.join(written(every, "classes"), "fp").select("doc_id", "fp", "component_id", "root")
+    classes = written(every, "classes")
+    for used in (nodes, edges, roots, linked):
+        discard(used)
+    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "root", *also)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,16 +231,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each component: that of the smallest id (a null one last), of rows that share it one with the smallest fingerprint."""
-    found = written(grouped(docs, doc_id, text), "groups")
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("c")).select(F.col("c.doc_id").alias("_name"), F.col("c.fp").alias("_fp"))
-    # Ids that stand for several texts are rare; only for them the fingerprint has to say which row is meant.
-    several = found.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("several")).where("several").select(F.col("doc_id").alias("_many"))
-    if several.isEmpty():
-        return docs.join(chosen, docs[doc_id].eqNullSafe(chosen["_name"]), "left_semi").dropDuplicates([doc_id])
-    plain = chosen.join(several, chosen["_name"].eqNullSafe(several["_many"]), "left_anti")
-    single = docs.join(plain, docs[doc_id].eqNullSafe(plain["_name"]), "left_semi").dropDuplicates([doc_id])
-    rows = docs.join(several, docs[doc_id].eqNullSafe(several["_many"]), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    marked = rows.mapInArrow(_with_fingerprint, StructType([*rows.schema.fields, StructField("fp", LongType())]))
-    told = marked.join(chosen, marked["id"].eqNullSafe(chosen["_name"]) & (marked["fp"] == chosen["_fp"]), "left_semi").dropDuplicates(["id", "fp"])
-    return single.unionByName(told.select("row.*"))
+    """One row of docs for each component: that of the smallest id (a null one last), of rows that share it the one with the smallest fingerprint, then the smallest hash of the row.
+
+    Rows are chosen by narrow columns first; the texts of docs are shuffled once,
+    to meet the choice. Rows that are equal in all columns count as one; columns
+    of maps do not tell rows apart.
+    """
+    hashed = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row_hash, name = F.xxhash64(*hashed), F.coalesce(F.col(doc_id).cast("string"), F.lit("none"))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_hash.alias("_hash"))
+    found = written(grouped(narrow, also=("_hash",)), "groups")
+    counted = found.groupBy("root", "doc_id", "fp", "_hash").agg(F.count("*").alias("n"))
+    best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "_hash", "n")).alias("c"))
+    chosen = written(best.select(F.coalesce(F.col("c.doc_id").cast("string"), F.lit("none")).alias("_name"), F.col("c._hash").alias("_hash"), F.col("c.n").alias("_n")), "chosen")
+    discard(found)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), name.alias("_name"), row_hash.alias("_hash"))
+    # The choice is the narrow side, and hashed there, so that texts are not sorted.
+    single = rows.join(chosen.where("_n = 1").hint("shuffle_hash"), ["_name", "_hash"], "left_semi")
+    if not chosen.where("_n > 1").isEmpty():
+        single = single.unionByName(rows.join(chosen.where("_n > 1").hint("shuffle_hash"), ["_name", "_hash"], "left_semi").dropDuplicates(["_name", "_hash"]))
+    return single.select("_row.*")

@@ -9,12 +9,12 @@ shares the vectors of the n-grams it keeps.
 With a linear output layer the score of a text is a mean of word scores, and
 every word has one number. Scoring tasks keep a bounded table of them, so a
 frequent word is hashed once. The corpus is neither shuffled nor gathered: the
-driver receives at most `SAMPLE_ROWS` labelled texts, one of each id, cut from
-the labels that have a text to train on by a hash order of ids that does not
-depend on partitions.
+driver receives at most `SAMPLE_ROWS` labelled texts, one of each id, as their
+distinct words and counts, cut from the labels that have a document by a hash
+order of ids that does not depend on partitions.
 
-Training reads only rows outside the held-out fold. Defined cases: null and
-empty texts have no words and get the score of the bias; unlabelled rows are
+Training reads only rows outside the held-out fold. Defined cases: texts of any
+length train and are scored whole; null and empty texts have no words and get the score of the bias; unlabelled rows are
 scored only; a doc_id with several label rows takes the largest; repeated rows
 are scored one by one, and of several texts of a doc_id the smallest trains; with no labels of either class every score is the base
 rate; a null doc_id is not held out; other columns are not read.
@@ -23,6 +23,7 @@ rate; a null doc_id is not held out; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .bpe import Reuse
 from .shared import as_bytes, slices
 
-#: Training takes so many labelled rows at most, of texts of so many bytes at most, which bounds the sample; scoring reads every text whole.
-SAMPLE_ROWS, TRAIN_BYTES = 6000, 1 << 16
+#: Training takes so many labelled rows at most, each a whole text; so does scoring.
+SAMPLE_ROWS = 6000
 #: The model's size.
 BUCKETS, DIM, GRAMS = 1 << 17, 6, (3, 4, 5, 6)
 FOLDS = 5
@@ -90,8 +91,8 @@ class Model:
         return (sums[starts[1:]] - sums[starts[:-1]]) / np.diff(starts)
 
 
-def fit(texts: list[bytes], labels: list[int], steps: int = 700, batch: int = 64, rate: float = 0.05) -> Model:
-    """Joint training of n-gram embeddings and softmax by Adagrad on shuffled batches."""
+def fit(counted: list[tuple[list[bytes], np.ndarray]], labels: list[int], steps: int = 700, batch: int = 64, rate: float = 0.05) -> Model:
+    """Joint training of n-gram embeddings and softmax by Adagrad on shuffled batches of texts, given as distinct words and counts."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         base = (y.sum() + 0.5) / (len(y) + 1)
@@ -100,12 +101,8 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 700, batch: int = 64
     vectors = rng.uniform(-0.5, 0.5, (BUCKETS, DIM)) / DIM
     weights, bias = rng.uniform(-0.5, 0.5, DIM), 0.0
     seen_v, seen_w, seen_b = np.full(BUCKETS, 1e-8), np.full(DIM, 1e-8), 1e-8
-    # Each text as its distinct words and their shares.
-    bags, vocabulary = [], {}
-    for t in texts:
-        own = words(t)
-        ids, n = np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in own], return_counts=True)
-        bags.append((ids.astype(np.int32), n / max(1, len(own))))
+    vocabulary: dict[bytes, int] = {}
+    bags = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in own], np.int32), n / max(1, n.sum())) for own, n in counted]
     ids, starts = grams_by_parts(list(vocabulary))
     for _ in range(-(-steps * batch // len(y))):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
@@ -142,14 +139,14 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[bytes, int]]:
-    """At most `most` labelled rows outside the held-out fold, one of each id that has a text of at most TRAIN_BYTES, half of them of each class where there are enough: the first in a hash order of ids."""
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(doc_id, y, text) of at most `most` labelled rows outside the held-out fold, one of each id, half of them of each class where there are enough: the first in a hash order of ids."""
     marked = (
         labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
         .where(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS != 0)
     )
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t")).where(F.octet_length("t") <= TRAIN_BYTES)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # Ids are made distinct within partitions before they are shuffled, so a repeated id is no hot key.
     usable = marked.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = None
@@ -157,13 +154,25 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS,
         some = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
         chosen = some if chosen is None else chosen.unionByName(some)
     # The broadcast side is at most `most` rows of two numbers.
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
-    return [(bytes(r.t), r.y) for r in sorted(rows, key=lambda r: r.doc_id)]
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def bagged(sample: DataFrame) -> list[tuple[int, int, list[bytes], np.ndarray]]:
+    """(doc_id, y, distinct words, counts) of a sample, by doc_id. Tasks count, so a long text reaches the driver as its vocabulary."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            counted = [Counter(words(t)) for t in as_bytes(batch.column("text"))]
+            columns = [pa.array([list(c) for c in counted], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *columns], ["doc_id", "y", "words", "counts"])
+
+    rows = sample.mapInArrow(work, "doc_id long, y int, words array<binary>, counts array<int>").collect()
+    return [(r.doc_id, r.y, list(map(bytes, r.words)), np.array(r.counts, np.int64)) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def train(docs: DataFrame, labels: DataFrame, **columns) -> Model:
-    sample = training_sample(docs, labels, **columns)
-    return fit([t for t, _ in sample], [y for _, y in sample])
+    sample = bagged(training_sample(docs, labels, **columns))
+    return fit([(w, n) for _, _, w, n in sample], [y for _, y, _, _ in sample])
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
