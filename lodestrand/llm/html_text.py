@@ -9,11 +9,15 @@ is kept. The weights are trained on labelled pages by maximum likelihood, with e
 
 Pages are independent: no shuffle, one pass, time and memory linear in a page.
 The labelled pages come from `labelled_pages`, layouts filled with random words,
-so the model never reads the corpus it is applied to.
+so the model never reads the corpus it is applied to; `trained` adds pages of a
+table with their main texts.
 
 Defined cases: null or empty html gives an empty text and 0 characters; markup
-that is not closed, closed twice or cut off is read as far as it goes; text
-outside any element belongs to the page's root; repeated rows are independent;
+that is not closed, closed twice or cut off is read as far as it goes, and of an
+embedded object or form list without an end tag only the tag is left out; a tag
+cut off by the page's end has no text; formulas are text; text outside any
+element belongs to the page's root; pages of any length are read whole; repeated
+rows are independent;
 white space is what str.split() splits at, a line break inside a block counts
 as such; other columns are not read.
 """
@@ -24,6 +28,7 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,13 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+from .shared import slices
+
+#: A quote opens a value only after `=`, as in `title="a > b"`; elsewhere it is a character of its own.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|[^<]+|<", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Kinds of elements.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source br".split())
+INLINE = frozenset("math mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded semantics option optgroup a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img picture source br".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea select option svg iframe object canvas math".split())
-HEAD = frozenset("title head".split())
+#: Their text is none of the page's: up to the first end tag, or to the one that matches.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+NESTED = frozenset("noscript template select datalist svg object canvas audio video annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 LIMITS = frozenset("ul ol dl table article section div main body nav aside".split())
@@ -60,10 +69,32 @@ class Page:
     linked: list[int] = field(default_factory=lambda: [0])
 
 
+class Ends:
+    """Where the elements of one name end that hold no text of the page. Tags are looked up once for a page, so unclosed ones cost no search each."""
+
+    def __init__(self, source: str, name: str):
+        self.pairs, self.tags, open_at = {}, [], []
+        for m in re.finditer(rf"<(/?){re.escape(name)}(?![\w:-])[^>]*(?:>|\Z)", source, re.I):
+            if not m.group(1):
+                open_at.append(m.start())
+                continue
+            self.tags.append(m.span())
+            if open_at:
+                self.pairs[open_at.pop()] = m.end()
+        self.nested = name in NESTED
+
+    def after(self, start: int, body: int) -> int | None:
+        """The end of the element whose start tag begins at `start` and ends at `body`; None if it has no end tag."""
+        if self.nested:
+            return self.pairs.get(start)
+        k = bisect_left(self.tags, (body, 0))
+        return self.tags[k][1] if k < len(self.tags) else None
+
+
 def parse(source: str) -> Page:
-    """Read a page leniently; scripts, styles, comments and the head leave no text."""
+    """Read a page leniently; scripts, styles, comments, embedded objects and form lists leave no text, an unclosed one only its tag."""
     page, stack, links, fresh, at = Page(), [0], 0, True, 0
-    n = len(source)
+    n, closed = len(source), {}
     while at < n:
         m = TOKEN.match(source, at)
         if m is None:
@@ -84,10 +115,13 @@ def parse(source: str) -> Page:
             page.linked[here] += len(piece) if links else 0
             continue
         name, closing = name.lower(), bool(m.group(1))
-        if name in RAW or name in HEAD and name != "head":
+        if name in RAW or name in NESTED:
             if not closing and not m.group(3).endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
+                if name not in closed:
+                    closed[name] = Ends(source, name)
+                end = closed[name].after(m.start(), at)
+                # An unclosed script or style goes on to the end of the page, as browsers have it.
+                at = end or (n if name in ("script", "style") else at)
             continue
         if name == "br":
             if not fresh and page.blocks:
@@ -244,6 +278,25 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[Page, list[int]]]:
     return out
 
 
+def labels_of(page: Page, article: str) -> list[int]:
+    """Labels of a page's elements from its main text, one block a line: an element is content if more characters under it belong to that text than do not."""
+    lines, n = set(article.split("\n")), len(page.tag)
+    balance = [0] * n
+    for element, pieces in page.blocks:
+        t = " ".join("".join(pieces).split())
+        balance[element] += len(t) if t in lines else -len(t)
+    for k in range(n - 1, 0, -1):
+        balance[page.parent[k]] += balance[k]
+    return [int(b > 0) for b in balance]
+
+
+def trained(labelled: DataFrame, source: str = "html", article: str = "text", most: int = 2000) -> Model:
+    """A model from labelled pages: `most` of them at most, the first in a hash order, beside the generated layouts."""
+    rows = labelled.where(F.col(source).isNotNull() & F.col(article).isNotNull()).select(F.col(source).alias("s"), F.col(article).alias("a"))
+    pages = [(parse(r.s), r.a) for r in rows.orderBy(F.xxhash64("s"), "s", "a").limit(most).collect()]
+    return train(labelled_pages() + [(p, labels_of(p, a)) for p, a in pages])
+
+
 def main_text(source: str | None, model: Model) -> str:
     """The blocks of content elements, in page order, one per line."""
     if not source:
@@ -259,7 +312,7 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", sour
     model = model or train(labelled_pages())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "html"):
             texts = [main_text(h, model) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

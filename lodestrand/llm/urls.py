@@ -4,24 +4,28 @@ A host written backwards by labels (`www.example.net` -> `net.example.www.`)
 makes every rule host a prefix, and the hosts under it the interval
 [`net.example.`, `net.example/`), because `/` follows `.`. Two such intervals
 nest or are disjoint. Urls and the starts of rule intervals are dealt to ranges
-of keys and sorted; a sweep keeps a stack of the rules whose interval is open,
-and a url looks only at that stack.
+of keys and sorted; a sweep keeps a stack of the hosts whose interval is open,
+each with its paths, and a url looks only at that stack: once for each length
+that a path of an open host has, however many paths it has.
 
-Range bounds come from a bounded sample of keys; a rule is repeated in each
-range that its interval meets. Keys end in a hash of url and row, so one host
-with a third of all rows spreads over many ranges. Nothing is broadcast: the
-rules may be as many as the urls.
+Range bounds come from a sample of about `SAMPLE_PER_RANGE` keys a range, taken
+row by row; a rule is repeated in each range that its interval meets. Keys end
+in a hash of url and row, so one host with a third of all rows spreads over many
+ranges. Nothing is broadcast but the bounds: the rules may be as many as the
+urls.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and
 no rule; repeated rows are judged one by one; a rule host matches whole labels
 only; of rules that fit, the longest rule string wins, and of equally long ones
 the smallest string; rows without a rule get `default`; a null or empty rule is
-ignored; other columns than id and url are not read.
+ignored; urls and rules of any length are read whole; empty tables give no rows
+or no rules; other columns than id and url are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,35 +49,73 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit("."))
 
 
+class OpenHost:
+    """A rule host whose interval is open: its paths, each with the smallest rule, and their lengths, longest first."""
+
+    def __init__(self, end: str):
+        self.end, self.paths, self.lengths = end, {}, []
+
+    def add(self, path: str, rule: str, action: str) -> None:
+        if path not in self.paths or (rule, action) < self.paths[path]:
+            self.paths[path] = rule, action
+        self.lengths = []
+
+    def best(self, path: str) -> tuple[str, str] | None:
+        self.lengths = self.lengths or sorted(set(map(len, self.paths)), reverse=True)
+        return next((found for n in self.lengths if n <= len(path) and (found := self.paths.get(path[:n]))), None)
+
+
 def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (range, key, rules first, longer interval first): each url with the best rule of the open stack."""
-    stack: list[tuple[str, str, str, str]] = []  # (end, path, rule, action)
+    stack: list[OpenHost] = []
     at = None
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("page_id", "url", "rule", "action")}
-        for part, key, end, path, rule, action, page_id, url in zip(*(batch.column(k).to_pylist() for k in ("part", "key", "end", "path", "rule", "action", "page_id", "url"))):
+        for part, key, end, path, rule, action, page_id, url in zip(*(batch.column(k).to_pylist() for k in COLUMNS)):
             if part != at:
                 stack, at = [], part
-            while stack and stack[-1][0] <= key:
+            while stack and stack[-1].end <= key:
                 stack.pop()
             if end is not None:
-                stack.append((end, path, rule, action))
+                if not stack or stack[-1].end != end:
+                    stack.append(OpenHost(end))
+                stack[-1].add(path, rule, action)
                 continue
-            fits = [s for s in stack if path.startswith(s[1])]
-            best = min(fits, key=lambda s: (-len(s[2]), s[2])) if fits else (None, None, None, None)
-            for k, v in zip(out, (page_id, url, best[2], best[3])):
+            fits = [found for s in stack if (found := s.best(path))]
+            best = min(fits, key=lambda f: (-len(f[0]), f[0])) if fits else (None, None)
+            for k, v in zip(out, (page_id, url, *best)):
                 out[k].append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), *(pa.array(out[k], pa.string()) for k in ("url", "rule", "action"))], list(out))
 
 
+COLUMNS = ("part", "key", "end", "path", "rule", "action", "page_id", "url")
+
+
 def _bounds(keys: DataFrame, ranges: int) -> list[str]:
-    """ranges - 1 keys at most that split a sample of the keys evenly."""
-    if ranges < 2:
+    """ranges - 1 keys at most that split a sample of the keys evenly. Each row is sampled by itself, so no task gathers more than its share."""
+    n = keys.count() if ranges > 1 else 0
+    if not n:
         return []
-    sample = sorted(r.key for r in keys.orderBy(F.xxhash64("key")).limit(SAMPLE_PER_RANGE * ranges).collect())
+    sample = sorted(r.key for r in keys.sample(min(1.0, SAMPLE_PER_RANGE * ranges / n), seed=5).collect())
     return sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
 
 
+def dealer(bounds: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Gives rows the number of their range; a rule's row is repeated in every range that its interval meets, open from the start of the later ones."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ends = batch.column("key").to_pylist(), batch.column("end").to_pylist()
+            first = [bisect_right(bounds, k) for k in keys]
+            last = [f if e is None else bisect_right(bounds, e) for f, e in zip(first, ends)]
+            row = pa.array([k for k, (f, t) in enumerate(zip(first, last)) for _ in range(f, t + 1)], pa.int64())
+            part = [p for f, t in zip(first, last) for p in range(f, t + 1)]
+            key = [k if p == f else "" for k, f, t in zip(keys, first, last) for p in range(f, t + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(key, pa.string()), *(batch.column(c).take(row) for c in COLUMNS[2:])], list(COLUMNS))
+
+    return work
+
+
 def filtered(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", ranges: int | None = None, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page. `rules`: columns rule (`host/path`) and action (block or allow)."""
     spark = pages.sparkSession
@@ -84,8 +126,6 @@ def filtered(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url:
         F.concat(reversed_host(host), F.lit("\u0001"), F.hex(F.xxhash64("url", "page_id"))).alias("key"), path.alias("path"), "page_id", "url"
     )
     bounds = _bounds(keyed.select("key"), ranges)
-    edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<string>")
-    range_of = lambda k: F.size(F.filter(edges, lambda b: b <= k))
 
     own = rules.where("rule is not null and rule <> ''").select("rule", "action", F.substring_index("rule", "/", 1).alias("h"))
     low = reversed_host(F.translate("h", UPPER, LOWER))
@@ -93,12 +133,11 @@ def filtered(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url:
         "rule", "action", low.alias("low"), F.regexp_replace(low, "\\.$", "/").alias("end"),
         F.expr("substring(rule, length(h) + 1)").alias("path"),
     )
-    spread = own.select("*", F.explode(F.sequence(range_of(F.col("low")), range_of(F.col("end")))).alias("part"))
-    # In a later range than its own, a rule is open from the range's start on.
-    starts = spread.select("part", F.when(F.col("part") == range_of(F.col("low")), F.col("low")).otherwise(F.lit("")).alias("key"), "end", "path", "rule", "action", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"))
-    none = F.lit(None).cast("string")
-    urls = keyed.select(range_of(F.col("key")).alias("part"), "key", none.alias("end"), "path", none.alias("rule"), none.alias("action"), "page_id", "url")
-    dealt = starts.unionByName(urls).repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "key", F.col("end").desc_nulls_last())
+    none, no_id = F.lit(None).cast("string"), F.lit(None).cast("long")
+    starts = own.select(F.col("low").alias("key"), "end", "path", "rule", "action", no_id.alias("page_id"), none.alias("url"))
+    urls = keyed.select("key", none.alias("end"), "path", none.alias("rule"), none.alias("action"), "page_id", "url")
+    numbered = starts.unionByName(urls).mapInArrow(dealer(bounds), "part int, key string, end string, path string, rule string, action string, page_id long, url string")
+    dealt = numbered.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "key", F.col("end").desc_nulls_last())
     swept = dealt.mapInArrow(sweep, "page_id long, url string, rule string, action string")
     host, path = host_and_path(F.col("url"))
     return swept.select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("action", F.lit(default)).alias("verdict"))

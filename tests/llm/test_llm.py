@@ -84,6 +84,11 @@ def test_urls_against_brute_force(spark):
             assert g.rule == plain_rule(g.host, g.path, rules), g
             assert g.verdict == ("block" if g.rule else "allow")
     assert urls.filtered(pages.limit(0), frame).count() == 0
+    # Many paths of one host, a long url, repeated rows.
+    many = spark.createDataFrame([(f"a.net/p{k}/", "block") for k in range(3000)] + [("a.net/" + "x" * 50_000, "allow")], "rule string, action string")
+    far = spark.createDataFrame([(1, "http://www.a.net/p2999/q"), (1, "http://www.a.net/p2999/q"), (2, "http://a.net/" + "x" * 200_000), (3, "http://a.net/q")], "page_id long, url string")
+    got = sorted((r.page_id, r.rule or "", r.verdict) for r in urls.filtered(far, many, ranges=3).collect())
+    assert got == [(1, "a.net/p2999/", "block"), (1, "a.net/p2999/", "block"), (2, "a.net/" + "x" * 50_000, "allow"), (3, "", "allow")]
     assert {g.verdict for g in urls.filtered(pages, frame.limit(0)).collect()} == {"allow"}
 
 
@@ -255,12 +260,50 @@ def test_html_on_held_out_layouts_and_awkward_pages(spark):
                 total += 1
     assert right / total > 0.97
     page = "<html><body><nav><a href=x>menu</a></nav><article><h1>A &amp; B</h1><p>first\n  <b>bold</b> text</p><p>second text of the article, long enough<p>third</article><footer>foot</footer><script>var x = '</p>'</script></body></html>"
+    for odd_part, left in (
+        ("<datalist><option value=x>a<option>b</datalist>", ""), ("<option>", ""), ("<svg>", ""), ("<object>", ""), ("<object data=x>old</object>", ""), ("<svg><g><svg><text>in</text></svg><![CDATA[x]]></g> out</svg>", ""),
+        ("<p title=it's>Now it's here, and 'there' too.</p>", "\nNow it's here, and 'there' too."), ('<p title="a > b">Signs stay.</p>', "\nSigns stay."), ("<!-- <script> --><script>x()</script>", ""), ("<select><option>a<option>b</select>", ""), ("<p>Take <math><mi>x</mi><mo>+</mo><mn>1</mn></math> apples.</p>", "\nTake x+1 apples."),
+    ):
+        body = f"<html><body><nav><a href=x>menu</a></nav><article><h1>Title</h1><p>The first paragraph is long enough to be a paragraph of the article.</p>{odd_part}<p>The last paragraph comes after it, and must not be lost either.</p></article></body></html>"
+        assert html_text.main_text(body, model) == f"Title\nThe first paragraph is long enough to be a paragraph of the article.{left}\nThe last paragraph comes after it, and must not be lost either.", odd_part
     assert html_text.main_text(page, model) == "A & B\nfirst bold text\nsecond text of the article, long enough\nthird"
     odd = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<"), (3, "u", "<p>" * 3000 + "x"), (4, "u", "plain <a href='")], "page_id long, url string, html string")
     got = html_text.extracted(odd, model=model).collect()
+    twice = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (2, "u", "<article>" + "<p>many words stand here</p>" * 40_000 + "</article>", "x")], "page_id long, url string, html string, text string")
+    rows = sorted(html_text.extracted(twice, model=model).collect())
+    assert rows[0] == rows[1] and rows[2].text.count("\n") == 39_999
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got) and html_text.extracted(odd.limit(0), model=model).count() == 0
 
 
+LAYOUTS = [
+    ("<body><div id=wrap><div class=top-bar><a href=/>Home</a> <a href=/b>Blog</a></div><div class=post-body><h2>Baking bread</h2><p>Mix the flour with water and salt, then wait for an hour or two.</p><p>Bake it until the crust is brown and firm.</p></div><div class='related-posts'><h4>More</h4><a href=1>Cakes</a><a href=2>Rolls and buns</a></div><div class=footer>Copyright 2024 by the bakers</div></div></body>",
+     "Baking bread\nMix the flour with water and salt, then wait for an hour or two.\nBake it until the crust is brown and firm."),
+    ("<body><header><h1>The Daily</h1><nav><a href=x>World</a><a href=y>Sport</a></nav></header><main><article><h1>Rain expected</h1><p class=byline>By a reporter</p><p>Heavy rain is expected in the north over the next days, officials said.</p><aside class=promo><p>Subscribe now for more of this.</p></aside><p>Roads may be closed where rivers rise above their banks.</p></article></main><section id=comments><h3>Comments</h3><div class=comment><p>I saw it too, it rained all night at our place.</p></div></section><footer><p>All rights reserved by the paper</p></footer></body>",
+     "Rain expected\nBy a reporter\nHeavy rain is expected in the north over the next days, officials said.\nRoads may be closed where rivers rise above their banks."),
+    ("<body><div class=sidebar-left><ul><li><a href=1>Install</a><li><a href=2>Usage</a></ul></div><div role=main class=document><h1>Usage</h1><p>Call the function with a table and the name of a column.</p><pre>f(table, 'name')</pre><ul><li>It returns a table.<li>It never changes its input.</ul></div><div class='cookie-banner'><p>We use cookies on this site.</p><button>Accept</button></div></body>",
+     "Usage\nCall the function with a table and the name of a column.\nf(table, 'name')\nIt returns a table.\nIt never changes its input."),
+    ("<body><form class=search><input name=q><button>Go</button></form><section class=story><h1>A walk</h1><p>We left the village early in the morning and went up along the stream.</p><figure><img src=x><figcaption>The stream in spring</figcaption></figure><p>At noon we reached the pass, and saw the sea.</p></section><div class=share-buttons><a href=1>Share</a></div><footer>Contact us</footer></body>",
+     "A walk\nWe left the village early in the morning and went up along the stream.\nThe stream in spring\nAt noon we reached the pass, and saw the sea."),
+]
+
+
+def test_html_on_real_layouts_beats_unconnected_nodes(spark):
+    model = html_text.train(html_text.labelled_pages())
+    bare = html_text.Model(model.unary, 0.0, 0.0, 0.0)
+    right = [sum(html_text.main_text(source, m) == text for source, text in LAYOUTS) for m in (model, bare)]
+    lines = lambda m: sum(len(set(html_text.main_text(s, m).split("\n")) ^ set(t.split("\n"))) for s, t in LAYOUTS)
+    print("whole pages right", right, "wrong lines", lines(model), lines(bare))
+    assert lines(model) <= 3 and lines(model) < lines(bare)
+    # Labelled pages teach a layout of their own.
+    odd = lambda k: f"<body><div class=zone-a><p>{'offer ' * (k % 7 + 3)}{k}</p></div><div class=zone-b><p>{'prose ' * (k % 5 + 3)}{k}</p></div></body>"
+    pages = spark.createDataFrame([(odd(k), f"{'prose ' * (k % 5 + 3)}{k}") for k in range(40)] + [(s, t) for s, t in LAYOUTS] + [(None, "x"), ("<p>x", None)], "html string, text string")
+    taught = html_text.trained(pages)
+    assert lines(taught) <= lines(model)
+    page = html_text.parse(LAYOUTS[1][0])
+    own = html_text.labels_of(page, LAYOUTS[1][1])
+    assert {page.tag[k] for k in range(len(own)) if own[k]} >= {"article", "main", "h1", "p"} and not own[page.tag.index("footer")] and not own[page.tag.index("aside")]
+
+
 def test_html_marginals_are_exact():
     model = html_text.Model(tuple(np.random.default_rng(2).normal(size=html_text.N_FEATURES)), 0.7, 0.4, -0.3)
     page = html_text.parse("<div><p>a</p><nav><a href=x>b</a></nav></div>")
