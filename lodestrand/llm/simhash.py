@@ -38,6 +38,8 @@ SEED, SHINGLE, RADIUS, SEGMENTS, WIDTH = 42, 3, 2, 16, 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Up to so many fingerprints of a cell are compared pair by pair.
 DENSE = 1024
+#: Rows of two numbers that a file of a table of links holds, about, where there are more than FEWEST_FILES of them.
+LINKS_A_FILE, FEWEST_FILES = 500_000, 8
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -192,14 +194,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     least = lambda e: e.groupBy("a").agg(F.min("b").alias("m"))
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    # Every table of a round has at most twice the first one's rows; files are few where links are few.
+    files = max(FEWEST_FILES, edges.count() // LINKS_A_FILE)
+    kept = lambda df, name: written(df.coalesce(files), name)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(least(both).select("a", F.least("a", "m").alias("m")), "low")
-        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        first = written(least(large), "first")
+        low = kept(least(both).select("a", F.least("a", "m").alias("m")), "low")
+        large = kept(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        first = kept(least(large), "first")
         small = large.join(first, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(first.select("a", F.col("m").alias("b")))
-        after = written(small.distinct(), "edges")
+        after = kept(small.distinct(), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         for used in (edges, low, large, first):
             discard(used)
