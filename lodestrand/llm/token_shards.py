@@ -77,7 +77,7 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, doc_i
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        pieces, table, end = regex.compile(pattern), Reuse(48 << 20), np.array([end_id], "<u2").tobytes()
+        pieces, table, end = regex.compile(pattern), Reuse(80 << 20), np.array([end_id], "<u2").tobytes()
         for batch in slices(batches, "text"):
             ids = []
             for t in as_bytes(batch.column("text")):
