@@ -58,11 +58,12 @@ def round_robin(candidates: DataFrame, group: str = "source_id") -> DataFrame:
     return turns.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("_turn", "_first"))).drop("_turn", "_first")
 
 
-def rejections(candidates: DataFrame, namespace: Column, now: Column, most_age_days: int, tiers: list[str]) -> DataFrame:
-    """Candidates with the first reason that keeps them out of the context; null where they may enter."""
+def rejections(candidates: DataFrame, namespace: Column, now: Column, most_age_days: int, tiers: list[str], require_captured: bool = False) -> DataFrame:
+    """Candidates with the first reason that keeps them out of the context; null where they may enter. Where no time of capture is required, that of ingest stands in for it."""
+    at = F.coalesce("captured_at", "ingested_at") if "ingested_at" in candidates.columns and not require_captured else F.col("captured_at")
     reason = (
         F.when(F.col("namespace") != namespace, "namespace_mismatch").when(~F.col("trust_tier").isin(tiers), "disallowed_trust_tier")
-        .when(F.col("captured_at").isNull(), "missing_capture_time").when(F.unix_micros(now) - F.unix_micros("captured_at") > most_age_days * 86_400_000_000, "stale_source")
+        .when(at.isNull(), "missing_capture_time").when(F.unix_micros(now) - F.unix_micros(at) > most_age_days * 86_400_000_000, "stale_source")
         .when(F.array_contains("safety_flags", "possible_prompt_injection"), "unsafe_prompt_injection").when(F.array_contains("safety_flags", "secret_like_text"), "unsafe_secret")
     )
     return candidates.withColumn("rejection", reason)

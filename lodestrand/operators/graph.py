@@ -47,6 +47,47 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int =
     return reached
 
 
+def relations(edges: DataFrame, nodes: DataFrame, kinds: list[str] | None = None, direction: str = "any", limit: int = 20) -> DataFrame:
+    """(node, other, kind, direction) of the first `limit` edges of each of `nodes` (column node), of some kinds or one direction."""
+    own = both_ways(edges)
+    if kinds is not None:
+        own = own.where(F.col("kind").isin(kinds))
+    if direction != "any":
+        own = own.where(F.col("direction") == direction)
+    order = Window.partitionBy("node").orderBy("kind", "other", "direction")
+    return own.join(nodes.select("node").distinct(), "node", "left_semi").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+
+
+def graph_candidates(matches: DataFrame, edges: DataFrame, evidence: DataFrame, depth: int = 2, limit: int = 8, graph_first: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score, depth, path): the chunks of matched entities (query_id, entity_id, score) and of those that a bounded walk reaches from them.
+
+    `evidence` has (entity_id, chunk_id). Scores fall with each hop to three
+    quarters, not below 0.05; with graph_first a walk's chunks score 1 at least
+    and a match's own chunks less. A chunk keeps its best score, the shorter
+    path and then the first. Matches are a few for each request.
+    """
+    reached = bounded_bfs(matches.select(F.col("entity_id").alias("node")).distinct(), edges, depth, limit)
+    walks = matches.select("query_id", F.col("entity_id").alias("seed"), "score").join(reached, "seed")
+    score, hops = F.col("score"), F.col("depth")
+    own = F.greatest(F.lit(0.05), score * 0.65) if graph_first else score
+    far = F.greatest(F.lit(1.0), score + F.lit(0.1) / (hops + 1)) if graph_first else F.greatest(F.lit(0.05), score * F.pow(F.lit(0.75), hops))
+    scored = walks.select("query_id", F.col("node").alias("entity_id"), F.when(hops == 0, own).otherwise(far).alias("score"), "depth", "path")
+    found = scored.join(evidence.select("entity_id", "chunk_id"), "entity_id")
+    best = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "depth", "path")).alias("b"))
+    return best.select("query_id", "chunk_id", half_up(-F.col("b.low"), 6).alias("score"), "b.depth", "b.path")
+
+
+def with_graph(base: DataFrame, graph_rows: DataFrame, k: int = 10, graph_first: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score, origin, rank): base candidates (query_id, chunk_id, score) and graph candidates, each chunk once with its better score; with graph_first walks stand before matches and those before the rest."""
+    place = F.when(F.col("depth") > 0, 2).otherwise(1)
+    both = base.select("query_id", "chunk_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("priority")).unionByName(graph_rows.select("query_id", "chunk_id", "score", place.alias("priority")))
+    merged = both.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max("priority").alias("priority"), F.min("priority").alias("_least"))
+    order = ([F.desc("priority")] if graph_first else []) + [F.desc("score"), F.col("chunk_id")]
+    out = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    origin = F.when(F.col("priority") == 0, "base").when(F.col("_least") == 0, "both").otherwise("graph")
+    return out.select("query_id", "chunk_id", "score", origin.alias("origin"), "rank")
+
+
 def resolved(entities: DataFrame) -> DataFrame:
     """(entity_id, canonical_id, group_size): entities of one kind and normalised name are one, named by the smallest id."""
     named = entities.select("entity_id", "kind", normal_name(F.col("name")).alias("key"))

@@ -12,7 +12,6 @@ from ..functions.text import safety_flags
 from .access import trust_rank
 
 MOST_CHARS, OVERLAP, LEAST_CHARS = 1800, 180, 120
-SPACE = r"[\t\n\x0B\f\r ]"
 #: What short windows look like that carry no information.
 FURNITURE = [
     r"^[0-9\t\n\x0B\f\r .()-]+$", r"^[_\-=\t\n\x0B\f\r ]{3,}$", r"(?i)^page[\t\n\x0B\f\r ]+[0-9]+(?:[\t\n\x0B\f\r ]+of[\t\n\x0B\f\r ]+[0-9]+)?$",
@@ -36,18 +35,41 @@ TYPES = [
 ]
 
 
+def pieces(text: Column, size: int) -> Column:
+    """The text cut into runs of `size` characters, in one pass over it; the last may be shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
+
+
 def char_chunks(docs: DataFrame, most: int = MOST_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """One row per window of `most` characters that overlaps the one before; the last ends with the body. Empty bodies have none."""
+    """One row per window of `most` characters that overlaps the one before; the last ends with the body. Empty bodies have none.
+
+    A body is cut once into runs of the step between windows, and a window is put
+    together from the runs it covers, so the time is linear in the body.
+    """
     step = max(1, most - overlap)
     n = F.length("text")
     last = F.greatest(F.ceil((n - most) / step), F.lit(0)).cast("int")
-    rows = docs.where(n > 0).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.withColumns({"start": F.col("chunk_index") * step, "_body": F.col("text")})
-    rows = rows.withColumns({"end": F.least(F.col("start") + most, n), "text": F.substring("_body", F.col("start") + 1, F.lit(most))}).drop("_body")
-    rows = rows.withColumn("text_hash", F.sha2(F.encode("text", "UTF-8"), 256))
+    rest = [c for c in docs.columns if c != "text"]
+    cut = docs.where(n > 0).select(*rest, last.alias("_last"), pieces(F.col("text"), step).alias("_runs"))
+    follow = lambda i: [F.substring(F.coalesce(F.get("_runs", i + k), F.lit("")), 1, min(step, most - k * step)) for k in range(1, -(-most // step))]
+    made = F.transform(F.slice("_runs", 1, F.col("_last") + 1), lambda run, i: F.concat(run, *follow(i)))
+    rows = cut.select(*rest, F.posexplode(made).alias("chunk_index", "text"))
+    rows = rows.withColumn("start", F.col("chunk_index") * step).withColumn("end", F.col("start") + F.length("text")).withColumn("text_hash", F.sha2(F.encode("text", "UTF-8"), 256))
     return rows.withColumn("chunk_id", F.concat(F.lit("chunk_"), F.sha2(F.encode(F.concat_ws(":", "doc_id", "chunk_index", "text_hash"), "UTF-8"), 256)))
 
 
+def line_locators(chunks: DataFrame, most: int = MOST_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, chunk_index, locator): the 1-based lines that the windows of char_chunks begin and end in.
+
+    Line feeds are counted within each window and added up over a document's
+    windows, of which only numbers are shuffled; no window looks at the body again.
+    """
+    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    counted = chunks.select("doc_id", "chunk_index", feeds(F.substring("text", 1, max(1, most - overlap))).alias("_step"), feeds(F.col("text")).alias("_own"))
+    before = F.coalesce(F.sum("_step").over(Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    return counted.select("doc_id", "chunk_index", F.concat(F.lit("lines:"), before, F.lit("-"), before + F.col("_own")).alias("locator"))
+
+
 def furniture(text: Column, least: int = LEAST_CHARS) -> Column:
     """Whether a window is short and only a page number, a rule, a contents line or the like."""
     flat = F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\f\x0B]+", " "), r"\n+", " "))
@@ -57,12 +79,6 @@ def furniture(text: Column, least: int = LEAST_CHARS) -> Column:
     return (F.length(F.trim(text)) < least) & like
 
 
-def line_range(body: Column, start: Column, end: Column) -> Column:
-    """Locator of a character range by 1-based lines."""
-    lines = lambda upto: F.length(F.substring(body, F.lit(1), upto)) - F.length(F.replace(F.substring(body, F.lit(1), upto), F.lit("\n"), F.lit(""))) + 1
-    return F.concat(F.lit("lines:"), lines(start), F.lit("-"), lines(end))
-
-
 def packed(docs: DataFrame, separator: str = "\n\n", most: int = MOST_CHARS, overlap: int = OVERLAP, least: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, chunk_index, start, end, text): parts between separators packed to windows; a part beyond `most` is cut by characters.
 
@@ -123,8 +139,8 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_type, confidence, signals) from the patterns above."""
-    low = F.lower(F.col("text"))
+    """(doc_id, doc_type, confidence, signals) from the patterns above, in title and body."""
+    low = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
     shown = docs.select("doc_id", low.alias("_low"), F.array_compact(F.array(*(F.when(F.rlike(low, F.lit(p)), F.lit(s)) for s, p in SIGNALS.items()))).alias("signals"))
     kind = None
     for name, signal, pattern in TYPES:

@@ -1,20 +1,23 @@
 """Scored retrieval of chunks for a stated set of requests, and the fusion of rankings.
 
-Requests are few and known before the scan (`requests_of` refuses more than a
-block of them), so their terms become literals of one projection: every chunk is
-read once and scored for all requests, and only scored pairs go on. Rankings
-keep the best k with row_number() <= k, which Spark prunes in each partition
-before it shuffles.
+Requests are stated before the scan. For keyword search the terms of a block of
+them become literals of one projection: every chunk is read once and scored for
+the whole block, and only scored pairs go on; more requests take more passes.
+BM25 joins the tokens of chunks to the wanted terms, however many requests there
+are. Rankings keep the best k with row_number() <= k, which Spark prunes in each
+partition before it shuffles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from ..functions.text import half_up, occurrences, terms
 from ..functions.vectors import hashed_counts, unit
 
 BLOCK = 64
+#: Vectors that are compared to a block of queries at once.
+PART = 1024
 ORDER = ("doc_id", "chunk_index", "chunk_id")
 #: Trust weights of the reranker.
 TRUST_WEIGHT = {"trusted_internal": 1.0, "verified_partner": 0.9, "user_provided": 0.7, "generated_or_derived": 0.45, "external_untrusted": 0.25, "unknown": 0.0}
@@ -35,10 +40,8 @@ class Request:
 
 
 def requests_of(queries: DataFrame) -> list[Request]:
-    """The requests (query_id, query) with their terms; at most one block."""
-    rows = queries.select("query_id", "query", terms(F.col("query")).alias("terms")).limit(BLOCK + 1).collect()
-    if len(rows) > BLOCK:
-        raise ValueError(f"more than {BLOCK} requests: search them in blocks")
+    """The requests (query_id, query) with their terms, by query_id."""
+    rows = queries.select("query_id", "query", terms(F.col("query")).alias("terms")).collect()
     return [Request(r.query_id, r.query, tuple(r.terms)) for r in sorted(rows, key=lambda r: r.query_id)]
 
 
@@ -60,7 +63,9 @@ def term_weights(chunks: DataFrame, requests: list[Request]) -> tuple[int, dict[
 
 
 def keyword_scores(chunks: DataFrame, requests: list[Request]) -> DataFrame:
-    """chunks x requests that share a term: matched weight, capped occurrences, phrase and title."""
+    """chunks x requests that share a term: matched weight, capped occurrences, phrase and title. One pass for weights and one for scores for each block of requests."""
+    if len(requests) > BLOCK:
+        return reduce(DataFrame.unionByName, (keyword_scores(chunks, requests[k : k + BLOCK]) for k in range(0, len(requests), BLOCK)))
     _, weight = term_weights(chunks, requests)
     hay, title = F.col("_h"), F.lower(F.col("title"))
     found = []
@@ -88,38 +93,39 @@ def neighbour_boost(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_best", best).withColumn("score", F.when((lines >= 2) & (F.col("_best") > F.col("score")), half_up(F.col("score") + F.least(F.lit(0.75), F.col("_best") * 0.4), 3)).otherwise(F.col("score"))).drop("_best")
 
 
-def freshness_boost(scored: DataFrame, at: str = "captured_at", most: float = 0.2) -> DataFrame:
-    """Newer candidates of a request gain up to `most`, in proportion to their age range."""
+def freshness_boost(scored: DataFrame, at: str = "captured_at", most: float = 0.2, asked: Column | None = None) -> DataFrame:
+    """Newer candidates of a request gain up to `most`, in proportion to their age range. `asked`: which requests are about freshness; None: all are. One candidate alone gains nothing."""
+    asked = F.lit(True) if asked is None else asked
     t = F.unix_micros(at).cast("double")
     ends = scored.groupBy("query_id").agg(F.min(F.unix_micros(at)).cast("double").alias("_old"), F.max(F.unix_micros(at)).cast("double").alias("_new"))
     span = F.col("_new") - F.col("_old")
     # One row per request.
-    return scored.join(F.broadcast(ends), "query_id").withColumn("score", F.when(span > 0, half_up(F.col("score") + (t - F.col("_old")) / span * most, 3)).otherwise(F.col("score"))).drop("_old", "_new")
+    return scored.join(F.broadcast(ends), "query_id").withColumn("score", F.when(asked & (span > 0), half_up(F.col("score") + (t - F.col("_old")) / span * most, 3)).otherwise(F.col("score"))).drop("_old", "_new")
 
 
 def bm25(chunks: DataFrame, requests: list[Request], k1: float = 1.2, b: float = 0.75, title_weight: float = 2.0) -> DataFrame:
-    """(query_id, chunk_id, doc_id, chunk_index, score) by BM25 with weighted title and body fields. Two passes, no shuffle of tokens."""
-    every = sorted({t for r in requests for t in r.terms})
+    """(query_id, chunk_id, doc_id, chunk_index, score) by BM25 with weighted title and body fields.
+
+    A chunk keeps only the tokens that some request wants, once each with their
+    weighted count; these postings are joined to the requests by term.
+    """
+    wanted = sorted({t for r in requests for t in r.terms})
     split = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit("([a-z0-9]+)"), F.lit(1))
-    count = lambda c, t: F.size(F.filter(c, lambda x: x == t))
     rows = chunks.select(*ORDER, split("text").alias("_b"), split("title").alias("_t"))
-    tf = F.array(*(count("_b", t) + title_weight * count("_t", t) for t in every)).cast("array<double>")
-    rows = rows.select(*ORDER, tf.alias("_tf"), (F.size("_b") + title_weight * F.size("_t")).alias("_len"))
-    seen = rows.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *(F.count_if(F.get("_tf", k) > 0).alias(f"df{k}") for k in range(len(every)))).first()
-    found = []
-    for r in requests:
-        score = F.lit(0.0)
-        for t in r.terms:
-            k = every.index(t)
-            idf = float(np.log(1 + (seen.n - seen[f"df{k}"] + 0.5) / (seen[f"df{k}"] + 0.5)))
-            f = F.get("_tf", k)
-            score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_len") / (seen.avg or 1.0)))
-        found.append(F.when(score > 0, F.struct(F.lit(r.query_id).alias("query_id"), half_up(score, 6).alias("score"))))
-    return rows.select(*ORDER, F.explode(F.array_compact(F.array(*found))).alias("_s")).select("_s.query_id", *ORDER, "_s.score")
+    sized = rows.select(*ORDER, (F.size("_b") + title_weight * F.size("_t")).alias("_len"), *(F.filter(c, lambda x: x.isin(wanted)).alias(c) for c in ("_b", "_t")))
+    seen = rows.agg(F.count("*").alias("n"), F.avg(F.size("_b") + title_weight * F.size("_t")).alias("avg")).first()
+    count = lambda c, t: F.size(F.filter(c, lambda x: x == t))
+    tf = F.transform(F.array_distinct(F.concat("_b", "_t")), lambda t: F.struct(t.alias("term"), (count("_b", t) + title_weight * count("_t", t)).alias("f")))
+    postings = sized.select(*ORDER, "_len", F.explode(tf).alias("p")).select(*ORDER, "_len", "p.*")
+    often = {r.term: r.df for r in postings.groupBy("term").agg(F.count("*").alias("df")).collect()}  # one row for each wanted term
+    idf = [(q, t, float(np.log(1 + (seen.n - often[t] + 0.5) / (often[t] + 0.5)))) for q, t in ((r.query_id, t) for r in requests for t in r.terms) if t in often]
+    asked = chunks.sparkSession.createDataFrame(idf, "query_id long, term string, _idf double")
+    part = F.col("_idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("_len") / (seen.avg or 1.0)))
+    return postings.join(asked, "term").groupBy("query_id", *ORDER).agg(half_up(F.sum(part), 6).alias("score"))
 
 
 def hashed_vector_scores(chunks: DataFrame, requests: list[Request], dimensions: int = 64) -> DataFrame:
-    """(query_id, chunk keys, score): cosine of hashed-token embeddings, in Arrow batches beside the scan."""
+    """(query_id, chunk keys, score): cosine of hashed-token embeddings, in Arrow batches beside the scan. A token's slot is computed once for each worker."""
     matrix = np.stack([unit(hashed_counts(r.text, dimensions)) for r in requests])
     ids = np.array([r.query_id for r in requests])
 
@@ -142,26 +148,32 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
     """(query_id, vec_id, score, rank): exact cosine neighbours.
 
     Queries travel in blocks of bounded size, one pass over the vectors each. A
-    batch of vectors keeps its k best for each query, so what is shuffled does
-    not grow with their product. Vectors of another length than the query's are
+    task keeps its k best for each query, so what is shuffled does not grow with
+    the vectors but with the tasks. Vectors of another length than the query's are
     not compared; null vectors and ids are left out.
     """
 
     def pass_over(shared):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
+            n = len(ids)
+            best, owner = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
             for batch in batches:
-                rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and v is not None and len(v) == matrix.shape[1]]
-                if not rows:
-                    continue
-                own, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                scores = np.floor(matrix @ x.T * 1e6 + 0.5) / 1e6
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                best = scores[q, order.ravel()]
-                keep = best >= min_score
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q][keep]), pa.array(own[order.ravel()][keep]), pa.array(best[keep])], ["query_id", "vec_id", "score"])
+                for part in (batch.slice(at, PART) for at in range(0, batch.num_rows, PART)):
+                    part = part.filter(pc.fill_null(pc.and_(pc.is_valid(part.column(0)), pc.equal(pc.list_value_length(part.column(1)), matrix.shape[1])), False))
+                    own, flat = part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten()
+                    if not len(own) or flat.null_count:
+                        rows = [(i, v) for i, v in zip(own.tolist(), part.column(1).to_pylist()) if None not in v]
+                        own, flat = np.array([i for i, _ in rows], np.int64), [x for _, v in rows for x in v]
+                    x = np.asarray(flat, np.float64).reshape(len(own), matrix.shape[1])
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    scores = np.concatenate((best, np.floor(matrix @ x.T * 1e6 + 0.5) / 1e6), axis=1)
+                    owners = np.concatenate((owner, np.broadcast_to(own, (n, len(own)))), axis=1)
+                    order = np.lexsort((owners, -scores), axis=1)[:, :k]
+                    best, owner = np.take_along_axis(scores, order, 1), np.take_along_axis(owners, order, 1)
+            keep = (best >= min_score).ravel()
+            q = np.repeat(np.arange(n), best.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q][keep]), pa.array(owner.ravel()[keep]), pa.array(best.ravel()[keep])], ["query_id", "vec_id", "score"])
 
         return work
 
@@ -194,9 +206,27 @@ def rrf(rankings: list[tuple[DataFrame, float]], key: tuple[str, ...] = ("query_
     """Reciprocal rank fusion: the rounded terms weight / (k + rank) of all rankings, added and rounded."""
     every = None
     for ranking, weight in rankings:
-        part = ranking.select(*key, half_up(F.lit(float(weight)) / (F.lit(k) + F.col("rank")), 6).alias("part"), "rank")
+        part = ranking.select(*key, F.lit(float(weight)).alias("weight"), "rank")
         every = part if every is None else every.unionByName(part)
-    return every.groupBy(*key).agg(half_up(F.sum("part"), 6).alias("score"), F.min("rank").alias("best_rank"))
+    return rrf_weighted(every, key, k)
+
+
+def rrf_weighted(ranked_rows: DataFrame, key: tuple[str, ...] = ("query_id", *ORDER), k: int = 60) -> DataFrame:
+    """The same of rows that carry their ranking's weight."""
+    part = half_up(F.col("weight") / (F.lit(k) + F.col("rank")), 6)
+    return ranked_rows.groupBy(*key).agg(half_up(F.sum(part), 6).alias("score"), F.min("rank").alias("best_rank"))
+
+
+def planned_retrieval(chunks: DataFrame, branches: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, *ORDER, score, rank): each planned branch (query_id, branch, query, weight, top_k) is searched by keyword, and the branches of a question are fused by their weights."""
+    rows = sorted(branches.select("query_id", "branch", "query", "weight", "top_k").collect(), key=lambda r: (r.query_id, r.branch))
+    spark = chunks.sparkSession
+    asked = spark.createDataFrame([(i, r.query) for i, r in enumerate(rows)], "query_id long, query string")
+    plan = spark.createDataFrame([(i, r.query_id, r.weight, r.top_k) for i, r in enumerate(rows)], "query_id long, question long, weight double, top_k int")
+    found = ranked(keyword_scores(chunks, requests_of(asked)), max((r.top_k for r in rows), default=0)).select("query_id", *ORDER, "rank")
+    # One row for each branch.
+    own = found.join(F.broadcast(plan), "query_id").where(F.col("rank") <= F.col("top_k")).select(F.col("question").alias("query_id"), *ORDER, "weight", "rank")
+    return ranked(rrf_weighted(own), k, order=("best_rank", *ORDER)).drop("best_rank")
 
 
 def normalised_sum(rankings: list[tuple[DataFrame, float]], key: tuple[str, ...] = ("query_id", *ORDER)) -> DataFrame:
@@ -234,7 +264,7 @@ def reranked(candidates: DataFrame, requests: list[Request]) -> DataFrame:
 
 
 def diversified(candidates: DataFrame, k: int = 10, same_text: float = 0.18, same_doc: float = 0.08, same_source: float = 0.04, score: str = "rerank_score") -> DataFrame:
-    """Greedy choice per request: each pick lowers what shares its text, document or source. Candidates are a ranked pool, at most 5000 a request."""
+    """Greedy choice per request: each pick lowers what shares its text, document or source. Candidates are a ranked pool, which the caller bounds."""
     schema = candidates.withColumn("position", F.lit(0)).schema
 
     def choose(pdf):
@@ -248,7 +278,7 @@ def diversified(candidates: DataFrame, k: int = 10, same_text: float = 0.18, sam
             texts.add(pick["text_hash"]), docs.add(pick["doc_id"]), sources.add(pick["source_id"])
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    return candidates.where("rank <= 5000").groupBy("query_id").applyInPandas(choose, schema)
+    return candidates.groupBy("query_id").applyInPandas(choose, schema)
 
 
 def diagnosed(results: DataFrame, queries: DataFrame, k: int = 10, weak: float = 0.5) -> DataFrame:

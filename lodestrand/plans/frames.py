@@ -45,6 +45,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return char_chunks(documents(spark, sf_dir))
 
 
+def entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, chunk_id): the first chunk of a document stands for a nation, and of every third one for a region too."""
+    first = chunks(spark, sf_dir).where("chunk_index = 0").select("doc_id", "chunk_id")
+    nation = first.select(F.concat(F.lit("nation:"), (F.col("doc_id") % 25).cast("string")).alias("entity_id"), "chunk_id")
+    return nation.unionByName(first.where("doc_id % 3 = 0").select(F.concat(F.lit("region:"), (F.col("doc_id") % 5).cast("string")).alias("entity_id"), "chunk_id"))
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, kind, name) of the property graph in the order tables."""
     parts = None
@@ -103,4 +110,6 @@ EDGES = """edges as (select 'nation:' || n_nationkey as source, 'region:' || n_r
   union all select 'customer:' || c_custkey, 'nation:' || c_nationkey, 'registered_in' from customer
   union all select 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'registered_in' from supplier
   union all select distinct 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies' from lineitem)"""
+ENTITY_CHUNKS = """entity_chunks as (select 'nation:' || doc_id % 25 as entity_id, chunk_id from chunks where chunk_index = 0
+  union all select 'region:' || doc_id % 5, chunk_id from chunks where chunk_index = 0 and doc_id % 3 = 0)"""
 BOTH_WAYS = "both_ways as (select source as node, target as other, kind, 'outgoing' as direction from edges union all select target, source, kind, 'incoming' from edges)"

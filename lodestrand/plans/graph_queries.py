@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, retrieval
-from . import frames
+from . import frames, search_queries
 
 #: Fixed requests that name entities.
 NAMES = [(0, "red widget"), (1, "small plate ring"), (2, "supplier 000000001"), (3, "asia"), (4, "customer 12")]
 
 
+#: Fixed requests that name places.
+PLACES = [(0, "nation_3 note"), (1, "asia"), (2, "the europe and"), (3, "nowhere at all")]
+
+
 def graph_entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = retrieval.requests_of(spark.createDataFrame(NAMES, "query_id long, query string"))
     return graph.entity_matches(frames.entities(spark, sf_dir), requests)
@@ -52,6 +56,22 @@ def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.recall(items.where("l_returnflag = 'R'"), items.where("l_discount < 0.05"), items.where("l_returnflag = 'A'"), ["source", "target"])
 
 
+def graph_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword results of requests that name nations and regions, with the chunks of these entities and of those two hops away."""
+    requests = retrieval.requests_of(spark.createDataFrame(PLACES, "query_id long, query string"))
+    base = retrieval.ranked(retrieval.keyword_scores(frames.chunks(spark, sf_dir), requests), 10)
+    places = frames.entities(spark, sf_dir).where("kind in ('nation', 'region')")
+    links = frames.edges(spark, sf_dir).where("kind = 'registered_in'")
+    reached = graph.graph_candidates(graph.entity_matches(places, requests), links, frames.entity_chunks(spark, sf_dir))
+    return graph.with_graph(base, reached, 20)
+
+
+def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is registered in each nation, the first five."""
+    nations = frames.table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.relations(frames.edges(spark, sf_dir), nations, ["registered_in"], "incoming", 5)
+
+
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of orders after a cursor; the page size is the feature."""
     from datetime import datetime
@@ -60,10 +80,23 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.page_after(orders, (datetime(1995, 6, 1), 100), 50)
 
 
-QUERIES = {f.__name__: f for f in (graph_entity_match, graph_one_hop, graph_degrees, graph_bfs2, entity_resolution, fuzzy_pairs, graph_integrity, graph_recall, keyset_page)}
+QUERIES = {f.__name__: f for f in (graph_entity_match, graph_augmented, graph_relations, graph_one_hop, graph_degrees, graph_bfs2, entity_resolution, fuzzy_pairs, graph_integrity, graph_recall, keyset_page)}
 
 _NAMED = r"""regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), '( (inc|llc|ltd|gmbh|corp|co|company|limited|incorporated|corporation))+$', '')"""
+_KEYWORD = search_queries._KEYWORD.replace(frames.QUERY_ROWS, f"requests(query_id, query) as (values {frames._values(PLACES)})")
 ORACLES = {
+    "graph_augmented": f"""with {_KEYWORD}, {frames.ENTITIES}, {frames.EDGES}, {frames.BOTH_WAYS}, {frames.ENTITY_CHUNKS},
+        share as (select query_id, entity_id, floor(count(*)::double / len(any_value(terms)) * 1000 + 0.5) / 1000 as score from (select a.query_id, a.terms, w.term, e.entity_id from asked a join wanted w using (query_id) join entities e on e.kind in ('nation', 'region') and contains(lower(e.name), w.term)) group by all),
+        matched as (select * from share qualify row_number() over (partition by query_id order by score desc, entity_id) <= 4),
+        steps as (select distinct node, other from (select * from both_ways where kind = 'registered_in' qualify row_number() over (partition by node order by kind, other, direction) <= 8)),
+        d0 as (select distinct entity_id as seed, entity_id as node, 0 as depth from matched), d1 as (select distinct seed, other as node, 1 as depth from d0 join steps using (node) where other <> seed),
+        d2 as (select distinct d1.seed, s.other as node, 2 as depth from d1 join steps s using (node) where s.other <> d1.seed and not exists (select 1 from d1 x where x.seed = d1.seed and x.node = s.other)),
+        walk as (select m.query_id, w.node as entity_id, case when depth = 0 then score else greatest(0.05, score * pow(0.75, depth)) end as score, depth from matched m join (select * from d0 union all select * from d1 union all select * from d2) w on w.seed = m.entity_id),
+        g as (select query_id, chunk_id, floor(max(score) * 1e6 + 0.5) / 1e6 as score from walk join entity_chunks using (entity_id) group by all),
+        u as (select query_id, chunk_id, score, 0 as p from ranked where rank <= 10 union all select query_id, chunk_id, score, 1 from g),
+        m as (select query_id, chunk_id, max(score) as score, case when max(p) = 0 then 'base' when min(p) = 0 then 'both' else 'graph' end as origin from u group by all)
+        select query_id, chunk_id, score, origin, (row_number() over (partition by query_id order by score desc, chunk_id))::int as rank from m qualify rank <= 20""",
+    "graph_relations": f"with {frames.EDGES}, {frames.BOTH_WAYS} select node, other, kind, direction from both_ways where starts_with(node, 'nation:') and kind = 'registered_in' and direction = 'incoming' qualify row_number() over (partition by node order by kind, other, direction) <= 5",
     "graph_entity_match": f"""with {frames.ENTITIES}, w(query_id, term, n) as (values (0::bigint, 'red', 2), (0, 'widget', 2), (1, 'small', 3), (1, 'plate', 3), (1, 'ring', 3), (2, 'supplier', 2), (2, '000000001', 2), (3, 'asia', 1), (4, 'customer', 2), (4, '12', 2)),
         s as (select query_id, entity_id, floor(count(*)::double / any_value(n) * 1000 + 0.5) / 1000 as score from w join entities on contains(lower(name), term) group by all)
         select query_id, entity_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, entity_id) as rank from s) where rank <= 4""",

@@ -32,9 +32,7 @@ def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line locators of all windows."""
-    docs = frames.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    chunks = frames.chunks(spark, sf_dir).select("doc_id", "chunk_index", "start", "end")
-    return chunks.join(docs, "doc_id").select("doc_id", "chunk_index", ingest.line_range(F.col("body"), F.col("start"), F.col("end")).alias("locator"))
+    return ingest.line_locators(frames.chunks(spark, sf_dir))
 
 
 def furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +101,7 @@ ORACLES = {
     "redact_pii": f"""with a as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '{_EMAIL}', '[REDACTED:email]', 'g') as e from documents)
         select doc_id, sha256(regexp_replace(e, '{_PHONE}', '[REDACTED:phone]', 'g')) as redacted_sha256, (len(regexp_extract_all(t, '{_EMAIL}')) + len(regexp_extract_all(e, '{_PHONE}')))::bigint as n_redacted from a""",
     "index_stats": f"with {frames.CHUNKS} select namespace, trust_tier, count(*) as n_chunks, count(distinct doc_id) as n_documents, count(distinct source_id) as n_sources, count(*) filter ({_FLAGS} <> '') as n_flagged from chunks group by all",
-    "doc_classify": f"""with l as (select doc_id, lower(text) as low from documents), s as (select *, list_filter([{_SIGNALS}], lambda x: x is not null) as s from l), k as (select *, case {_TYPES} else 'generic_document' end as doc_type from s)
+    "doc_classify": f"""with {frames.DOCS}, l as (select doc_id, lower(title || chr(10) || coalesce(text, '')) as low from docs), s as (select *, list_filter([{_SIGNALS}], lambda x: x is not null) as s from l), k as (select *, case {_TYPES} else 'generic_document' end as doc_type from s)
         select doc_id, doc_type, floor((case when doc_type = 'generic_document' then 0.45 else least(0.95, 0.65 + 0.06 * len(s)) end)::double * 100 + 0.5) / 100 as confidence, array_to_string(s, ',') as signals from k""",
     "corpus_normalize": f"""with {frames.DOCS} select doc_id, sha256(coalesce(text, '')) as checksum, case when trim(coalesce(source_id, '')) = '' then 'missing_source' when trim(coalesce(text, '')) = '' then 'empty_body'
         when namespace not in ('en', 'fr', 'de') then 'namespace_not_declared' when trust_tier in ('external_untrusted', 'unknown') then 'trust_tier_not_allowed' else 'accepted' end as reason from docs""",

@@ -67,7 +67,8 @@ def neighbour_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def freshness_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.freshness_boost(_keyword(spark, sf_dir, 50)).select("query_id", "chunk_id", "score")
+    """Requests with even ids are taken to be about freshness."""
+    return retrieval.freshness_boost(_keyword(spark, sf_dir, 50), asked=F.col("query_id") % 2 == 0).select("query_id", "chunk_id", "score")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +107,13 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(fused, 10, order=("best_rank", *retrieval.ORDER)).select("query_id", "doc_id", "chunk_index", "score", "rank")
 
 
+def planned_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions' planned branches, each searched with its own top_k, and fused by their weights."""
+    plans = planning.planned(frames.questions(spark))
+    branches = planning.budgeted(planning.branches(plans).join(plans.select("query_id", "route"), "query_id"), F.col("route"))
+    return retrieval.planned_retrieval(frames.chunks(spark, sf_dir), branches).select("query_id", "chunk_id", "score", "rank")
+
+
 def score_norm_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, vectors = _hybrid(spark, sf_dir)
     return retrieval.ranked(retrieval.normalised_sum([(words, 0.6), (vectors, 0.4)]), 10).select("query_id", "doc_id", "chunk_index", "score", "rank")
@@ -150,7 +158,7 @@ def evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.gated(context.evidence(_keyword(spark, sf_dir, 5), frames.requests(spark), 3, 3))
 
 
-QUERIES = {f.__name__: f for f in (access_filter, visible_documents, trust_resolution, query_terms, planned_queries, intent_classify, keyword_topk, bm25_topk, neighbour_boost, freshness_boost, vector_topk, maxsim, hash_embedding, rrf_hybrid, score_norm_hybrid, connected_chunks, rerank, diverse_rerank, retrieval_diagnosis, round_robin_sources, context_pack, context_rejections, evidence_status)}
+QUERIES = {f.__name__: f for f in (access_filter, visible_documents, trust_resolution, query_terms, planned_queries, intent_classify, keyword_topk, bm25_topk, neighbour_boost, freshness_boost, vector_topk, maxsim, hash_embedding, rrf_hybrid, planned_fusion, score_norm_hybrid, connected_chunks, rerank, diverse_rerank, retrieval_diagnosis, round_robin_sources, context_pack, context_rejections, evidence_status)}
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _TERMS = lambda c: f"""(select case when len(k) > 0 then k else e end from (select e, list_filter(e, lambda t: length(t) > 1 and not list_contains({_STOPS}, t)) as k from (select (select coalesce(list(w order by i), []::varchar[]) from (select w, min(i) as i from (select unnest(a) as w, generate_subscripts(a, 1) as i from (select regexp_extract_all(lower({c}), '[a-z0-9]+') as a)) group by w)) as e)))"""
@@ -185,7 +193,7 @@ ORACLES = {
     "query_terms": f"select conv_id, turn, array_to_string({_TERMS('text')}, ' ') as terms from conversations",
     "keyword_topk": f"with {_KEYWORD} select query_id, chunk_id, score, rank::int as rank from ranked where rank <= 10",
     "freshness_boost": f"""with {_KEYWORD}, top as (select r.*, epoch_us(captured_at)::double as t from ranked r join chunks using (chunk_id) where rank <= 50), e as (select *, min(t) over (partition by query_id) as o, max(t) over (partition by query_id) as n from top)
-        select query_id, chunk_id, case when n > o then floor((score + (t - o) / (n - o) * 0.2) * 1000 + 0.5) / 1000 else score end as score from e""",
+        select query_id, chunk_id, case when query_id % 2 = 0 and n > o then floor((score + (t - o) / (n - o) * 0.2) * 1000 + 0.5) / 1000 else score end as score from e""",
     "neighbour_boost": f"""with {_KEYWORD}, near as (select s.*, c.text, max(s.score) over (partition by s.query_id, s.doc_id order by s.chunk_index range between 1 preceding and 1 following) as best from scored s join chunks c using (chunk_id)),
         b as (select query_id, chunk_id, doc_id, chunk_index, case when len(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 2)) >= 2 and best > score then floor((score + least(0.75, best * 0.4)) * 1000 + 0.5) / 1000 else score end as score from near)
         select query_id, chunk_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id, chunk_index, chunk_id) as rank from b) where rank <= 20""",
