@@ -9,6 +9,7 @@ from ..functions.text import STOP_WORDS, half_up, safety_flags, terms
 from ..functions.vectors import hashed_embedding, max_sim
 from ..operators import access, context, planning, retrieval
 from . import frames
+from .ingest_queries import _FLAGS
 
 PRINCIPAL = access.Principal("u1", "t1", ("en", "fr"), tags=("internal",))
 
@@ -184,7 +185,52 @@ _VECTOR = """
               from cvec join qvec using (d) join cn using (chunk_id) join qn using (query_id) group by all having any_value(cn.n) > 0),
   vranked as (select *, row_number() over (partition by query_id order by score desc, doc_id, chunk_index, chunk_id) as rank from vscored where score > 0)"""
 
+_SQL_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_ASKS = lambda p: f"regexp_matches(q, '(?i){p}')".replace("can't", "can''t")
+_HINTS = ", ".join(f"case when {_ASKS(p)} then {_SQL_LIST(h)}::varchar[] else []::varchar[] end" for _, h, p in planning.INTENTS)
+#: Plans of asked_q(key, q), as planning.planned() makes them.
+_PLANS = rf"""
+  words as (select *, list_filter(list_transform(list_concat(regexp_extract_all(q, '"([^"]{{2,80}})"', 1), regexp_extract_all(q, '(\b[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*){{0,4}}\b)', 1),
+      regexp_extract_all(q, '(\b[A-Za-z]+[-_][A-Za-z0-9_-]+|\b[A-Z]{{2,}}\b|\b[A-Za-z]*\d[A-Za-z0-9._-]*\b)', 1)), lambda t: trim(t)), lambda t: length(t) > 1 and not list_contains({_SQL_LIST(planning.NO_ENTITIES)}, t)) as w,
+      regexp_extract_all(lower(q), '[a-z0-9][a-z0-9_-]*') as t,
+      list_filter([{", ".join(f"case when {_ASKS(p)} then '{k}' end" for k, p in planning.RELATIONS.items())}], lambda x: x is not null) as relation_kinds, {_ASKS(planning.GRAPH_NEEDED)} as needed from asked_q),
+  low_words as (select *, list_slice(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), 1, 8) as low from words),
+  high_words as (select *, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i and length(x) > 2 and not list_contains({_SQL_LIST(planning.QUESTION_STOP_WORDS)}, x) and not list_contains(list_transform(low, lambda y: lower(y)), x)), 1, 8) as high,
+      case when needed then 'graph_required' when len(relation_kinds) > 0 then 'graph_optional' else 'none' end as route,
+      case when not needed and len(relation_kinds) = 0 then 'any' when {_ASKS(planning.INCOMING)} then 'incoming' when {_ASKS(planning.OUTGOING)} then 'outgoing' else 'any' end as direction from low_words),
+  plans as (select *, list_filter([case when route <> 'none' then 'relationship' end, {", ".join(f"case when {_ASKS(p)} then '{n}' end" for n, _, p in planning.INTENTS)}], lambda x: x is not null) as intents,
+      list_sort(list_distinct(flatten([case when route <> 'none' then ['graph']::varchar[] else []::varchar[] end, {_HINTS}]))) as hints from high_words)"""
+_BRANCHES = r"""
+  variants as (select key, route, unnest([1, 2, 3, 4]) as ix, unnest(['original', 'low_level', 'high_level', 'graph']) as kind,
+      unnest([trim(regexp_replace(q, '\s+', ' ', 'g')), array_to_string(low, ' '), array_to_string(high, ' '), case when route <> 'none' then array_to_string(relation_kinds, ' ') || ' ' || array_to_string(low, ' ') else '' end]) as query,
+      unnest([1.0, 0.9, 0.75, case when route = 'graph_required' then 0.95 else 0.8 end])::double as weight from plans),
+  first_ones as (select * from variants where trim(query) <> '' qualify row_number() over (partition by key, lower(query) order by ix) = 1),
+  numbered as (select *, row_number() over (partition by key order by ix) as branch from first_ones),
+  branches as (select key as query_id, branch::int as branch, kind, query, weight, least(ceil(10 * case when kind in ('low_level', 'high_level', 'hyde') then 0.75 when kind = 'graph' and route = 'graph_required' then 1.25 else 1.0 end), 100)::int as top_k from numbered where branch <= 3)"""
+_BLOCKS = f"""pool as (select r.query_id, r.chunk_id, c.text, r.rank, floor((r.score + case trust_tier when 'trusted_internal' then 0.3 when 'verified_partner' then 0.2 when 'user_provided' then 0.05 else 0.0 end + case when contains(c.text, '|') then 0.15 else 0.0 end)::double * 1000 + 0.5) / 1000 as context_score
+      from ranked r join chunks c using (chunk_id) where rank <= 30),
+  placed as (select query_id, chunk_id, row_number() over (partition by query_id order by context_score desc, rank) as place, greatest(1, ceil(length(text) / 4.0))::bigint as tokens,
+      list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 3)) as own from pool),
+  walk(query_id, place, sets, used, n, chunk_id, tokens, taken) as (
+      select query_id, 0::bigint, []::varchar[][], 0::bigint, 0::bigint, ''::varchar, 0::bigint, false from (select distinct query_id from placed)
+      union all select query_id, ix, case when fresh then list_append(sets, own) else sets end, used + case when fits then more else 0 end, n + case when fits then 1 else 0 end, chunk, more, fits
+      from (select *, fresh and used + more <= 2000 and n < 8 as fits from (select w.query_id, p.place as ix, w.sets, w.used, w.n, p.own, p.chunk_id as chunk, p.tokens as more,
+            len(list_filter(w.sets, lambda s: len(list_intersect(p.own, s)) >= 0.9 * len(list_distinct(list_concat(p.own, s))))) = 0 as fresh from walk w join placed p on p.query_id = w.query_id and p.place = w.place + 1)))"""
+
 ORACLES = {
+    "planned_queries": f"with {frames.QUESTION_ROWS}, asked_q as (select query_id as key, question as q from questions), {_PLANS}, {_BRANCHES} select *, least(greatest(top_k * 4, 20), 5000)::int as pool from branches",
+    "intent_classify": f"""with {frames.QUESTION_ROWS}, asked_q as (select -1::bigint as conv_id, query_id as turn, question as q from questions union all select conv_id, turn, coalesce(text, '') from conversations), {_PLANS}
+        select conv_id, turn, coalesce(intents[1], 'general') as intent, route, direction, case when len(hints) = 0 then 'docs' else array_to_string(hints, ',') end as source_hints,
+          floor((case when len(intents) = 0 then 0.35 else least(0.95, 0.6 + 0.1 * len(intents)) end)::double * 100 + 0.5) / 100 as confidence from plans""",
+    "planned_fusion": f"""with {frames.QUESTION_ROWS}, asked_q as (select query_id as key, question as q from questions), {_PLANS}, {_BRANCHES}, {_KEYWORD.replace(frames.QUERY_ROWS, "requests as (select query_id * 10 + branch as query_id, query from branches)")},
+        parts as (select b.query_id, doc_id, chunk_index, chunk_id, rank, floor(weight / (60 + rank) * 1e6 + 0.5) / 1e6 as part from ranked r join branches b on r.query_id = b.query_id * 10 + b.branch where rank <= top_k),
+        fused as (select query_id, doc_id, chunk_index, chunk_id, floor(sum(part) * 1e6 + 0.5) / 1e6 as score, min(rank) as best from parts group by all)
+        select query_id, chunk_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, best, doc_id, chunk_index, chunk_id) as rank from fused) where rank <= 10""",
+    "context_rejections": f"""with {_KEYWORD}, top as (select r.query_id, c.* from ranked r join chunks c using (chunk_id) where rank <= 50)
+        select query_id, chunk_id, case when namespace <> 'en' then 'namespace_mismatch' when trust_tier not in ('trusted_internal', 'verified_partner', 'user_provided', 'generated_or_derived') then 'disallowed_trust_tier'
+          when epoch_us(timestamp '2026-06-23') - epoch_us(captured_at) > 600 * 86400000000 then 'stale_source' when contains(f, 'possible_prompt_injection') then 'unsafe_prompt_injection' when contains(f, 'secret_like_text') then 'unsafe_secret' else 'none' end as rejection
+        from (select *, {_FLAGS} as f from top)""",
+    "context_pack": f"with recursive {_KEYWORD}, {_BLOCKS} select query_id, chunk_id, n::int as position, tokens from walk where taken",
     "access_filter": f"""with {frames.DOCS} select doc_id, case when namespace is null then 'missing_resource_scope' when tenant <> 't1' then 'tenant_mismatch' when namespace not in ('en', 'fr') then 'namespace_not_granted'
         when tag_class = 2 then 'tag_not_granted' else 'granted' end as decision from docs""",
     "visible_documents": f"with {frames.DOCS} select doc_id, trust_tier from docs where tenant = 't1' and namespace = 'en' and tag_class < 2 and trust_tier in ('verified_partner', 'generated_or_derived')",
