@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +92,21 @@ class Model:
         return (sums[starts[1:]] - sums[starts[:-1]]) / np.diff(starts)
 
 
-def fit(counted: list[tuple[list[bytes], np.ndarray]], labels: list[int], steps: int = 700, batch: int = 64, rate: float = 0.05) -> Model:
-    """Joint training of n-gram embeddings and softmax by Adagrad on shuffled batches of texts, given as distinct words and counts."""
-    y = np.array(labels, np.float64)
+@dataclass
+class Sample:
+    """Labelled texts as counts of words: text k has the words ids[starts[k] : starts[k + 1]] of the vocabulary."""
+
+    doc_ids: list[int]
+    labels: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    vocabulary: list[bytes]
+
+
+def fit(sample: Sample, steps: int = 700, batch: int = 64, rate: float = 0.05) -> Model:
+    """Joint training of n-gram embeddings and softmax by Adagrad on shuffled batches of texts."""
+    y = sample.labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
         base = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(base / (1 - base))))
@@ -101,9 +114,8 @@ def fit(counted: list[tuple[list[bytes], np.ndarray]], labels: list[int], steps:
     vectors = rng.uniform(-0.5, 0.5, (BUCKETS, DIM)) / DIM
     weights, bias = rng.uniform(-0.5, 0.5, DIM), 0.0
     seen_v, seen_w, seen_b = np.full(BUCKETS, 1e-8), np.full(DIM, 1e-8), 1e-8
-    vocabulary: dict[bytes, int] = {}
-    bags = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in own], np.int32), n / max(1, n.sum())) for own, n in counted]
-    ids, starts = grams_by_parts(list(vocabulary))
+    bags = [(sample.ids[a:b], sample.counts[a:b] / max(1, sample.counts[a:b].sum())) for a, b in zip(sample.starts, sample.starts[1:])]
+    ids, starts = grams_by_parts(sample.vocabulary)
     for _ in range(-(-steps * batch // len(y))):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             doc = np.repeat(np.arange(len(part)), [len(bags[k][0]) for k in part])
@@ -157,8 +169,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS,
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def bagged(sample: DataFrame) -> list[tuple[int, int, list[bytes], np.ndarray]]:
-    """(doc_id, y, distinct words, counts) of a sample, by doc_id. Tasks count, so a long text reaches the driver as its vocabulary."""
+def bagged(sample: DataFrame) -> Sample:
+    """The sample by doc_id. Tasks count, so a long text reaches the driver as its vocabulary, in Arrow columns, where each word is held once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -166,13 +178,18 @@ def bagged(sample: DataFrame) -> list[tuple[int, int, list[bytes], np.ndarray]]:
             columns = [pa.array([list(c) for c in counted], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *columns], ["doc_id", "y", "words", "counts"])
 
-    rows = sample.mapInArrow(work, "doc_id long, y int, words array<binary>, counts array<int>").collect()
-    return [(r.doc_id, r.y, list(map(bytes, r.words)), np.array(r.counts, np.int64)) for r in sorted(rows, key=lambda r: r.doc_id)]
+    rows = sample.mapInArrow(work, "doc_id long, y int, words array<binary>, counts array<int>").toArrow()
+    rows = rows.take(pc.sort_indices(rows.column("doc_id")))
+    sizes = pc.list_value_length(rows.column("words")).to_numpy()
+    own = pc.list_flatten(rows.column("words")).combine_chunks().dictionary_encode()
+    return Sample(
+        rows.column("doc_id").to_pylist(), rows.column("y").to_numpy(), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64),
+        own.indices.to_numpy().astype(np.int32), pc.list_flatten(rows.column("counts")).to_numpy(), own.dictionary.to_pylist(),
+    )
 
 
 def train(docs: DataFrame, labels: DataFrame, **columns) -> Model:
-    sample = bagged(training_sample(docs, labels, **columns))
-    return fit([(w, n) for _, _, w, n in sample], [y for _, y, _, _ in sample])
+    return fit(bagged(training_sample(docs, labels, **columns)))
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -402,11 +402,11 @@ def test_toxicity_sample_is_one_text_of_each_usable_id(spark):
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(d, d % 2) for d in [hot, *long, *gone, *rest]], "doc_id long, toxic int")
     everything = toxicity.bagged(toxicity.training_sample(docs, labels, 100))
-    assert [(d, y) for d, y, _, _ in everything] == sorted((d, d % 2) for d in [hot, *long, *rest])
-    by = {d: (w, n.tolist()) for d, _, w, n in everything}
-    assert by[hot] == ([b"copy", b"0"], [1, 1]) and by[long[0]] == ([b"x"], [100_000])
+    assert list(zip(everything.doc_ids, everything.labels.tolist())) == sorted((d, d % 2) for d in [hot, *long, *rest])
+    bag = lambda k: {everything.vocabulary[i]: int(n) for a, b in [everything.starts[k : k + 2]] for i, n in zip(everything.ids[a:b], everything.counts[a:b])}
+    assert bag(everything.doc_ids.index(hot)) == {b"copy": 1, b"0": 1} and bag(everything.doc_ids.index(long[0])) == {b"x": 100_000}
     some = toxicity.bagged(toxicity.training_sample(docs, labels, 20))
-    assert len({d for d, *_ in some}) == 20 and sum(y for _, y, _, _ in some) == 10
+    assert len(set(some.doc_ids)) == 20 and some.labels.sum() == 10
 
 
 def test_toxicity_of_one_short_word():
