@@ -533,3 +533,26 @@ def test_pipeline_against_its_parts(spark):
         if k == 3:
             assert not any(plain_spans(r.text) for r in stage.select("text").collect())
     assert {r.doc_id for r in stage.collect()} <= set(first.values()) and pipeline.run(spark, SMALL).count() == stage.count()
+
+
+def test_pipeline_on_awkward_rows(spark, awkward, empty, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    r = random.Random(2)
+    prose = lambda n: " ".join(r.choice(("the", "of", "in")) if k % 4 == 0 else "".join(r.choice("aeilnorst") for _ in range(r.randint(3, 8))) for k in range(n))
+    one, two, three = prose(80), prose(90), prose(70_000)
+    rows = [(50, one), (51, one), (51, one), (None, two), (52, three), (None, one + " write to me@mail.example.com")]
+    docs = awkward.unionByName(spark.createDataFrame([(d, t, *["z"] * 6, 9, 9, None, None, None) for d, t in rows], CLASH))
+    bench = spark.createDataFrame([(1, " ".join(one.split()[20:35])), (2, None), (3, "")], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stage = docs
+    for k, (_, f) in enumerate(pipeline.STAGES[:4]):
+        stage = f(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns
+    left = {r.doc_id: r.text for r in stage.collect()}
+    assert {50, 52, None} == set(left) and left[52] == three and len(left[50].split()) == 65 and "@" not in (left[None] or "")
+    assert pipeline.run(spark, str(tmp_path)).count() == len(stage.collect())
+    stage = docs.limit(0)
+    for _, f in pipeline.STAGES:
+        stage = f(spark, stage, str(tmp_path))
+    assert stage.count() == 0
