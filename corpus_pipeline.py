@@ -4,6 +4,12 @@ Each stage is one operator of lodestrand.llm over all rows that the stage before
 it kept. The four first return the columns of documents; the last returns the
 digests of the encoding. Stages are separate jobs with a Parquet table between
 them, so a lost executor costs tasks of one stage only.
+
+Defined cases: a null, empty or short text fails the quality rules and goes;
+rows with a null id are judged like others, and stand for their group only where
+it has no id; of repeated rows one stays; texts of any length pass whole; other
+columns, whatever their names, pass unchanged up to the last stage; an empty
+table gives no rows. n_chars, where there is one, follows the text.
 """
 
 from __future__ import annotations
