@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,7 +53,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about most_bytes of text each; a longer text stands alone."""
     for batch in batches:
-        sizes = [len(x) if x is not None else 0 for x in as_bytes(batch.column(text))]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > most_bytes:

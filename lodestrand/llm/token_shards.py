@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Reuse
-from .shared import as_bytes, slices
+from .shared import slices
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 512, 4096, 0x5EED, 4
 #: Places of a shard; far more than sequences, so that two seldom share one.
@@ -77,11 +77,11 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, doc_i
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        pieces, table, end = regex.compile(pattern), Reuse(80 << 20), np.array([end_id], "<u2").tobytes()
+        pieces, table, end = regex.compile(pattern), Reuse(96 << 20), np.array([end_id], "<u2").tobytes()
         for batch in slices(batches, "text"):
             ids = []
-            for t in as_bytes(batch.column("text")):
-                words = pieces.findall((t or b"").decode())
+            for t in batch.column("text").to_pylist():
+                words = pieces.findall(t or "")
                 found = list(map(table.young.get, words))
                 if None in found:
                     made = {w: table.old.get(w) for w, x in zip(words, found) if x is None}
