@@ -63,3 +63,13 @@ def hashed_embedding(rows: DataFrame, text: str = "text", dimensions: int = 64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], [*batch.schema.names, "embedding"])
 
     return rows.mapInArrow(work, f"{fields}, embedding array<double>")
+
+
+#: The fields of an embedding's identity, in order; the last four matter for the index only.
+IDENTITY = ["provider", "modelName", "dimensions", "adapterId", "configId", "preprocessingVersion", "chunkingPolicyId", "chunkingPolicyVersion", "chunkerVersion"]
+
+
+def identity_hash(fields: dict[str, Column], whole_index: bool = False) -> Column:
+    """SHA-256 of the JSON of an embedding's identity; null fields are left out, and so are those of the index unless asked for."""
+    names = IDENTITY if whole_index else IDENTITY[:5]
+    return F.sha2(F.encode(F.to_json(F.struct(*[fields[n].alias(n) for n in names if n in fields])), "UTF-8"), 256)

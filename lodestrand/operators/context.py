@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -95,3 +96,41 @@ def draft_problems(drafts: DataFrame, blocks: DataFrame, least_citations: int =
     known = cited.join(blocks.select("query_id", "chunk_id").distinct().withColumn("_k", F.lit(1)), ["query_id", "chunk_id"], "left")
     counts = known.groupBy("query_id").agg(F.count("_k").alias("good"), F.count_if(F.col("chunk_id").isNotNull() & F.col("_k").isNull()).alias("unknown"))
     return drafts.join(counts, "query_id").select("query_id", F.array_compact(F.array(F.when(F.trim("answer") == "", F.lit("empty_answer")), F.when(F.col("unknown") > 0, F.lit("unknown_citation")), F.when(F.col("good") < least_citations, F.lit("insufficient_citations")))).alias("problems"))
+
+
+#: Words that mark a statement as qualified or withdrawn.
+CONTRADICTION_TERMS = ["not", "never", "except", "unless", "deprecated", "superseded"]
+
+
+def tag_matches(tags: Column, wanted: list[str]) -> Column:
+    """How many distinct wanted tags a row carries; no tags: none."""
+    none = F.array().cast("array<string>")
+    return F.size(F.array_intersect(F.coalesce(tags, none), F.array(*map(F.lit, wanted)).cast("array<string>")))
+
+
+def ordered(candidates: DataFrame, prefer: list[str] | None = None, avoid: list[str] | None = None, trusted: bool = False, recent: Column | None = None) -> DataFrame:
+    """Candidates with their place in the context: more preferred tags, fewer avoided ones, the better trust tier, the later capture, the rank.
+
+    Each key counts only where it is asked for: tags by their lists, trust by
+    `trusted`, and time where `recent` holds, a condition that is the same for
+    all rows of a request. Rows without a time come after the others.
+    """
+    keys = []
+    if prefer:
+        keys.append(F.desc(tag_matches(F.col("tags"), prefer)))
+    if avoid:
+        keys.append(F.asc(tag_matches(F.col("tags"), avoid)))
+    if trusted:
+        keys.append(F.asc(trust_rank(F.col("trust_tier"))))
+    if recent is not None:
+        keys.append(F.when(recent, F.col("captured_at")).desc_nulls_last())
+    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys, "rank", "chunk_id")))
+
+
+def contradictions(candidates: DataFrame) -> DataFrame:
+    """(query_id, doc_id, n_chunks, chunk_ids): the candidates of a document that hold a marker between spaces, in order of rank."""
+    low = F.lower(F.col("text"))
+    marked = [F.contains(low, F.lit(f" {term} ")) for term in CONTRADICTION_TERMS]
+    hit = candidates.where(reduce(Column.__or__, marked))
+    own = F.array_sort(F.collect_list(F.struct("rank", "chunk_id")))
+    return hit.groupBy("query_id", "doc_id").agg(F.count("*").alias("n_chunks"), F.transform(own, lambda c: c["chunk_id"]).alias("chunk_ids"))

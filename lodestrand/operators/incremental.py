@@ -84,3 +84,38 @@ def rate_limited(requests: DataFrame, client: str, ts: str, seconds: int, most:
     start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds) * seconds).cast(requests.schema[ts].dataType)
     counts = requests.groupBy(client, start.alias("window_start")).agg(F.count("*").alias("n"))
     return counts.select(client, "window_start", F.least("n", F.lit(most)).cast("long").alias("n_passed"), F.greatest(F.col("n") - most, F.lit(0)).cast("long").alias("n_refused"))
+
+
+#: Secrets that an event's key must not carry; what stands before the secret stays.
+EVENT_SECRETS = [r"(?i)\b(bearer\s+)[a-z0-9._-]{8,}", r"(?i)\b(api[_-]?key\s*[:=]\s*)[^\s,;]+", r"(?i)\b(token\s*[:=]\s*)[^\s,;]+"]
+
+
+def key_part(value: Column, allowed: str = "0-9a-z._:-") -> Column:
+    """A part of a key: lower case, runs of other characters as one underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(value), f"[^{allowed}]+", "_"), "^_+|_+$", "")
+
+
+def event_key(system: Column, event_id: Column, ticket_id: Column, run_id: Column, trace_id: Column, event_type: Column, version: Column) -> Column:
+    """The idempotency key of a support event: its own id, else its ticket, else its run and trace, else unknown."""
+    trace = F.concat_ws(":", F.nullif(run_id, F.lit("")), F.nullif(trace_id, F.lit("")))
+    subject = F.coalesce(F.nullif(F.coalesce(event_id, ticket_id, trace), F.lit("")), F.lit("unknown"))
+
+    def safe(part: Column) -> Column:
+        plain = F.trim(F.regexp_replace(part, r"\s+", " "))
+        for pattern in EVENT_SECRETS:
+            plain = F.regexp_replace(plain, pattern, "$1[REDACTED]")
+        return key_part(F.substring(plain, 1, 1000))
+
+    return F.concat_ws(":", F.lit("rag_support_event"), *map(safe, (system, subject, event_type, F.coalesce(version, F.lit("v1")))))
+
+
+def alert_key(rule: Column, category: Column, severity: Column, signal: Column, threshold: Column) -> Column:
+    """The key by which repeated alerts are one; whole thresholds are written without a fraction."""
+    written = F.when(threshold == F.floor(threshold), F.floor(threshold).cast("string")).otherwise(threshold.cast("string"))
+    parts = [F.coalesce(F.nullif(key_part(F.coalesce(p, F.lit("")), "0-9a-z._-"), F.lit("")), F.lit("unknown")) for p in (rule, category, severity, signal, written)]
+    return F.concat_ws(":", F.lit("rag_slo_alert"), *parts)
+
+
+def first_alerts(alerts: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, the columns of `order` of its first alert, n_alerts): what a sink delivers once."""
+    return alerts.groupBy(key).agg(F.min(F.struct(*order)).alias("f"), F.count("*").alias("n_alerts")).select(key, "f.*", "n_alerts")

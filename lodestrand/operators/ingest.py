@@ -238,3 +238,51 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     kind = F.when(F.rlike("text", F.lit("^#{1,6} ")), "heading").when(rule, "table_rule").when(F.contains("text", F.lit("|")), "table_row").otherwise("paragraph")
     cells = F.array_join(F.transform(F.split(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)), " | ")
     return lines.select("doc_id", "line", kind.alias("kind"), F.when(kind == "table_row", cells).otherwise(F.trim(F.regexp_replace("text", "^#{1,6} ", ""))).alias("text"))
+
+
+#: Types that need a layout, types whose commas are syntax, texts that speak of tables or pictures, marks of pictures.
+LAYOUT_TYPES = ["application/pdf", "application/vnd.openxmlformats-officedocument.presentationml.presentation", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"]
+MARKUP_TYPES = ["application/json", "application/x-ndjson", "application/yaml", "application/xml", "text/xml"]
+TABLE_WORDS = r"(?i)\b(cap table|capitalization table|balance sheet|income statement|row total|column total)\b"
+PICTURE_WORDS = r"(?i)\b(fig\.?|figure|chart|diagram|screenshot)\s*\d*\b|\b(see|shown|pictured|displayed)\s+(below|above|in|as)\b|\b(see|shown)\s+(the\s+)?(figure|chart|diagram|screenshot|image)\b"
+PICTURE_MARKS = [r"(?i)<!--\s*(?:image|figure|picture|page image|diagram|chart)?\s*-->", r"(?i)<img\b[^>]*>", r"!\[[^\]]*\]\([^)]+\)", r"(?i)&nbsp;"]
+#: What each risk costs of 100 points.
+RISK_COSTS = {"empty_body": 50, "layout_missing_for_complex_document": 20, "table_structure_missing": 15, "visual_assets_missing": 15, "ocr_likely_needed": 35, "low_page_text_coverage": 15}
+
+
+def parse_quality(parsed: DataFrame, least_coverage: float = 0.8) -> DataFrame:
+    """Parser results with body_chars, risks and quality (0 to 100).
+
+    `parsed` has body, content_type, has_layout, n_tables, n_visuals, n_pages
+    and n_pages_with_text; a null body is an empty one, a null count is 0.
+    """
+    body = F.coalesce(F.col("body"), F.lit(""))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    layout, kind = F.coalesce(F.col("has_layout"), F.lit(False)), F.coalesce(F.col("content_type"), F.lit(""))
+    plain = body
+    for mark in PICTURE_MARKS:
+        plain = F.regexp_replace(plain, mark, " ")
+    chars = F.length(F.regexp_replace(plain, r"^\s+|\s+$", ""))
+    lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda line: F.trim(line)), lambda line: line != "")
+    parts = F.transform(F.filter(lines, lambda line: F.contains(line, F.lit("|"))), lambda line: F.size(F.split(line, "[|]")))
+    piped = (F.size(parts) >= 2) & (F.size(F.array_distinct(parts)) <= 2)
+    listed = F.size(F.filter(lines, lambda line: F.size(F.split(line, ",")) >= 3)) >= 3
+    tabular = piped | (~kind.isin(MARKUP_TYPES) & (listed | F.rlike(body, F.lit(TABLE_WORDS))))
+    pages, with_text = count("n_pages"), count("n_pages_with_text")
+    found = {
+        "empty_body": F.col("body_chars") == 0,
+        "layout_missing_for_complex_document": kind.isin(LAYOUT_TYPES) & ~layout,
+        "table_structure_missing": tabular & (count("n_tables") == 0),
+        "visual_assets_missing": F.rlike(body, F.lit(PICTURE_WORDS)) & (count("n_visuals") == 0),
+        "ocr_likely_needed": (pages > 0) & (with_text == 0),
+        "low_page_text_coverage": (pages > 0) & (with_text / F.nullif(pages, F.lit(0)) < least_coverage),
+    }
+    risks = F.array_compact(F.array(*[F.when(condition, F.lit(risk)) for risk, condition in found.items()]))
+    cost = F.aggregate(F.col("risks"), F.lit(0), lambda total, risk: total + F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in RISK_COSTS.items() for v in pair]), risk), F.lit(0)))
+    bonus = F.when(layout, 5).otherwise(0) + F.when(count("n_tables") > 0, 5).otherwise(0) + F.when(count("n_visuals") > 0, 5).otherwise(0) + F.when(pages > 0, 2).otherwise(0)
+    return parsed.withColumn("body_chars", chars).withColumn("risks", risks).withColumn("quality", F.greatest(F.lit(0), F.least(F.lit(100), 100 - cost + bonus)))
+
+
+def parse_summary(judged: DataFrame, by: list[str]) -> DataFrame:
+    """For each group of judged parser results: how many, their mean quality, the worst, and how many have a risk."""
+    return judged.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("quality"), 3).alias("mean_quality"), F.min("quality").alias("worst"), F.count_if(F.size("risks") > 0).alias("n_at_risk"))

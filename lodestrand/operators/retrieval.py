@@ -289,3 +289,82 @@ def diagnosed(results: DataFrame, queries: DataFrame, k: int = 10, weak: float =
     return joined.select("query_id", what.alias("diagnosis"), F.when(what == "sufficient", "none").otherwise("expanded_pool").alias("retry"))
 
 
+#: The largest top_k and pool of a request.
+MOST_TOP_K, MOST_POOL = 100, 5000
+
+
+def request_problem(mode: str) -> Column:
+    """The first fault of a request (query, mode, namespace, tenant, principal_tenant, principal_namespaces, top_k, pool), null for none.
+
+    A null mode or pool is one that was not stated; any other null is a fault.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    top_k, pool = F.col("top_k"), F.col("pool")
+    granted = F.coalesce(F.array_contains("principal_namespaces", F.col("namespace")), F.lit(False))
+    return (
+        F.when(blank("query"), "query_required")
+        .when(F.col("mode").isNotNull() & (F.col("mode") != mode), "mode_not_served")
+        .when(blank("namespace"), "namespace_required")
+        .when(blank("tenant"), "tenant_required")
+        .when(~F.col("tenant").eqNullSafe(F.col("principal_tenant")), "tenant_mismatch")
+        .when(~granted, "namespace_not_granted")
+        .when(top_k.isNull() | (top_k < 1) | (top_k > MOST_TOP_K), "top_k_out_of_range")
+        .when(pool.isNotNull() & ((pool < top_k) | (pool > MOST_POOL)), "pool_out_of_range")
+    )
+
+
+def score_map_faults(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, position, code): scores of a model for chunks that are no candidates, and scores that are no finite number."""
+    known = candidates.select("query_id", "chunk_id").distinct().withColumn("_known", F.lit(True))
+    score = F.col("score")
+    code = F.when(F.col("_known").isNull(), "unknown_candidate").when(~_finite(score), "invalid_score")
+    return scores.join(known, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "position", code.alias("code")).where("code is not null")
+
+
+def _finite(score: Column) -> Column:
+    return score.isNotNull() & ~F.isnan(score) & (F.abs(score) != F.lit(float("inf")))
+
+
+def reranked_by_scores(candidates: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """Candidates (query_id, chunk_id, rank) in the order of a model's scores (query_id, chunk_id, position, score), the k best of a request.
+
+    The first finite score of a chunk counts; chunks without one go. A request
+    that got no usable score keeps the order that it had: `reranked` tells.
+    """
+    usable = scores.where(_finite(F.col("score"))).groupBy("query_id", "chunk_id").agg(F.min_by("score", "position").alias("model_score"))
+    joined = candidates.join(usable, ["query_id", "chunk_id"], "left")
+    served = joined.withColumn("reranked", F.max(F.col("model_score").isNotNull()).over(Window.partitionBy("query_id")))
+    kept = served.where(F.col("model_score").isNotNull() | ~F.col("reranked")).withColumn("model_score", half_up(F.col("model_score"), 6))
+    order = Window.partitionBy("query_id").orderBy(F.col("model_score").desc_nulls_last(), "rank", "chunk_id")
+    return kept.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k)
+
+
+def vector_faults(vectors: DataFrame, visible: DataFrame, dimensions: int, identity: dict[str, str] | None = None) -> DataFrame:
+    """Each stored vector's chunk_id with the reason why a search must leave it out, null for none.
+
+    `vectors` have (chunk_id, doc_id, tenant, namespace, text_hash, dimensions)
+    and the columns that `identity` names; `visible` are the chunks that the
+    access filter grants, with the same columns up to text_hash. The first
+    reason counts: no visible chunk, a chunk that has changed since, another
+    number of dimensions, another model or configuration than the request's.
+    """
+    same = ("doc_id", "tenant", "namespace", "text_hash")
+    now = visible.select("chunk_id", F.struct(*same).alias("_now"))
+    stale = reduce(Column.__or__, [~F.col(c).eqNullSafe(F.col(f"_now.{c}")) for c in same])
+    code = F.when(F.col("_now").isNull(), "access_denied_or_missing_chunk").when(stale, "stale_vector").when(~F.col("dimensions").eqNullSafe(F.lit(dimensions)), "vector_dimension_mismatch")
+    for column, wanted in (identity or {}).items():
+        code = code.when(~F.col(column).eqNullSafe(F.lit(wanted)), "embedding_identity_mismatch")
+    return vectors.join(now, "chunk_id", "left").select("chunk_id", code.alias("rejection"))
+
+
+def preferred_evidence(paths: DataFrame, by: list[str]) -> DataFrame:
+    """Of each key's graph paths the deepest, then that with the most evidence chunks, the most edges, and the first key.
+
+    `paths` have depth and edges, an array of (depth, relation_id, source,
+    target, chunk_ids). A maximum of one struct, so partial sums serve hot keys.
+    """
+    edges = F.col("edges")
+    chunk_count = F.size(F.array_distinct(F.flatten(F.transform(edges, lambda e: e["chunk_ids"]))))
+    key = F.array_join(F.transform(edges, lambda e: F.concat_ws(":", e["depth"].cast("string"), e["relation_id"], e["source"], e["target"])), "|")
+    best = F.min(F.struct((-F.col("depth")).alias("d"), (-chunk_count).alias("c"), (-F.size(edges)).alias("e"), key.alias("key")))
+    return paths.groupBy(*by).agg(best.alias("b")).select(*by, (-F.col("b.d")).alias("depth"), (-F.col("b.c")).alias("n_evidence"), (-F.col("b.e")).alias("n_edges"), F.col("b.key").alias("path_key"))

@@ -203,3 +203,46 @@ def test_claims(spark):
     now = datetime(2024, 1, 2)
     jobs = spark.createDataFrame([(1, "t", 1, datetime(2024, 1, 1), "queued", None), (2, "t", 5, datetime(2024, 1, 3), "queued", None), (3, "t", 3, datetime(2024, 1, 1), "leased", datetime(2024, 1, 1))], "job_id int, tenant string, priority int, available_at timestamp, status string, lease_expires_at timestamp")
     assert incremental.claimable(jobs, F.lit(now)).first().job_id == 3
+
+
+def test_context_order_and_contradictions(spark):
+    rows = [("a", 1, ["x"], "unknown", "2024-01-01", "it is not so"), ("b", 2, None, "trusted_internal", None, "a knot, Not"), ("c", 3, ["y"], "unknown", "2024-02-01", "valid UNLESS told"), ("d", 4, ["y", "x"], None, "2024-03-01", "")]
+    pool = spark.createDataFrame([(0, 7, *r) for r in rows], "query_id int, doc_id int, chunk_id string, rank int, tags array<string>, trust_tier string, captured_at string, text string")
+    order = lambda **k: "".join(r.chunk_id for r in context.ordered(pool, **k).orderBy("place").collect())
+    assert order() == "abcd"
+    assert order(prefer=["y"]) == "cdab" and order(prefer=["y"], avoid=["x"]) == "cdba"
+    assert order(trusted=True) == "bacd"
+    assert order(recent=F.lit(True)) == "dcab" and order(recent=F.lit(False)) == "abcd"
+    assert [tuple(r) for r in context.contradictions(pool).collect()] == [(0, 7, 2, ["a", "c"])]
+    assert context.contradictions(pool.limit(0)).count() == 0
+
+
+def test_scores_of_a_model(spark):
+    pool = spark.createDataFrame([(q, c, i) for q in (0, 1) for i, c in enumerate("abc", 1)], "query_id int, chunk_id string, rank int")
+    given = [(0, "c", 0, float("inf")), (0, "c", 1, 0.4), (0, "c", 2, 0.9), (0, "a", 3, 0.4), (0, "z", 4, 1.0), (0, "b", 5, None), (1, "a", 0, float("nan"))]
+    scores = spark.createDataFrame(given, "query_id int, chunk_id string, position int, score double")
+    out = retrieval.reranked_by_scores(pool, scores, 3).orderBy("query_id", "new_rank").collect()
+    assert [(r.query_id, r.chunk_id, r.reranked) for r in out] == [(0, "a", True), (0, "c", True), (1, "a", False), (1, "b", False), (1, "c", False)]
+    faults = {(r.query_id, r.chunk_id, r.position, r.code) for r in retrieval.score_map_faults(pool, scores).collect()}
+    assert faults == {(0, "c", 0, "invalid_score"), (0, "b", 5, "invalid_score"), (0, "z", 4, "unknown_candidate"), (1, "a", 0, "invalid_score")}
+
+
+def test_keys_of_events_and_alerts(spark):
+    one = spark.range(1)
+    key = lambda *parts: one.select(incremental.event_key(*[F.lit(p).cast("string") for p in parts])).first()[0]
+    assert key("crm", None, None, None, None, "made", None) == "rag_support_event:crm:unknown:made:v1"
+    assert key("crm", "", "t", "r", "x", "made", "V 2") == "rag_support_event:crm:unknown:made:v_2"
+    assert key("crm", None, None, "r", "x", "made", None) == "rag_support_event:crm:r:x:made:v1"
+    assert key("crm", "Bearer abcdefghij", "t", None, None, "made", None) == "rag_support_event:crm:bearer_redacted:made:v1"
+    alert = one.select(incremental.alert_key(F.lit("R 1"), F.lit(None).cast("string"), F.lit("__"), F.lit("s"), F.lit(2.0))).first()[0]
+    assert alert == "rag_slo_alert:r_1:unknown:unknown:s:2"
+
+
+def test_parse_quality_of_null_and_empty_rows(spark):
+    schema = "body string, content_type string, has_layout boolean, n_tables int, n_visuals int, n_pages int, n_pages_with_text int"
+    rows = [(None, None, None, None, None, None, None), ("a|b\nc|d\ne|f|g", "text/xml", False, 0, 0, 0, 0), ("1,2,3\n1,2,3\n1,2,3", "text/xml", True, 0, 0, 2, 2), ("see Figure 2", "application/pdf", False, 0, 0, 5, 3)]
+    out = ingest.parse_quality(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.body_chars, sorted(r.risks), r.quality) for r in out] == [
+        (0, ["empty_body"], 50), (13, ["table_structure_missing"], 85), (17, [], 100), (12, ["layout_missing_for_complex_document", "low_page_text_coverage", "visual_assets_missing"], 52),
+    ]
+    assert ingest.parse_quality(spark.createDataFrame([], schema)).count() == 0
