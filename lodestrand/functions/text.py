@@ -21,6 +21,9 @@ REDACTIONS = [
     ("auth_secret", r"(?i)\b(?:bearer[\t\n\r ]+[a-z0-9._-]+|api[_-]?key[\t\n\r ]*[:=][\t\n\r ]*[^\t\n\r ]+|password[\t\n\r ]*=[\t\n\r ]*[^\t\n\r ]+)"),
 ]
 
+#: Legal forms that a name is compared without.
+LEGAL_FORMS = ["limited liability company", "llc", "l l c", "incorporated", "inc", "corp", "corporation", "ltd", "limited", "gmbh", "plc", "lp", "llp"]
+
 
 def half_up(value: Column, digits: int) -> Column:
     """Rounding with halves upward, whatever the sign."""
@@ -40,9 +43,10 @@ def occurrences(haystack: Column, needle: Column) -> Column:
 
 
 def normal_name(name: Column) -> Column:
-    """A name for comparison: lower case, runs of other characters as one space, legal suffixes gone."""
-    plain = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
-    return F.regexp_replace(plain, "( (inc|llc|ltd|gmbh|corp|co|company|limited|incorporated|corporation))+$", "")
+    """A name for comparison: lower case, no apostrophes, full stops, commas or legal forms, single spaces."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(name), "[\u2019\u2018']", ""), "[.,]", " ")
+    bare = F.regexp_replace(plain, f"(?<![a-z0-9_])({'|'.join(LEGAL_FORMS)})(?![a-z0-9_])", " ")
+    return F.trim(F.regexp_replace(bare, "\\s+", " "))
 
 
 def safety_flags(text: Column, most_chars: int = 1800) -> Column:

@@ -119,7 +119,7 @@ def fuzzy_pairs(entities: DataFrame, least: float = 0.55) -> DataFrame:
     a, b = F.array_distinct(F.split("left_name", " ")), F.array_distinct(F.split("right_name", " "))
     both = F.size(F.array_intersect(a, b))
     jaccard, inside = both / F.size(F.array_union(a, b)), both / F.least(F.size(a), F.size(b))
-    prefix = F.when(F.startswith("left_name", "right_name") | F.startswith("right_name", "left_name"), 0.08).otherwise(0.0)
+    prefix = F.when(F.startswith("left_name", F.concat("right_name", F.lit(" "))) | F.startswith("right_name", F.concat("left_name", F.lit(" "))), 0.08).otherwise(0.0)
     return pairs.withColumn("score", half_up(F.greatest(jaccard, inside * 0.72 + prefix), 3)).where(F.col("score") >= least)
 
 

@@ -113,3 +113,5 @@ EDGES = """edges as (select 'nation:' || n_nationkey as source, 'region:' || n_r
 ENTITY_CHUNKS = """entity_chunks as (select 'nation:' || doc_id % 25 as entity_id, chunk_id from chunks where chunk_index = 0
   union all select 'region:' || doc_id % 5, chunk_id from chunks where chunk_index = 0 and doc_id % 3 = 0)"""
 BOTH_WAYS = "both_ways as (select source as node, target as other, kind, 'outgoing' as direction from edges union all select target, source, kind, 'incoming' from edges)"
+NORMAL_NAME = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '[’‘'']', '', 'g'), '[.,]', ' ', 'g'),
+  '\b(limited liability company|llc|l l c|incorporated|inc|corp|corporation|ltd|limited|gmbh|plc|lp|llp)\b', ' ', 'g'), '\s+', ' ', 'g'))"""

@@ -82,7 +82,7 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (graph_entity_match, graph_augmented, graph_relations, graph_one_hop, graph_degrees, graph_bfs2, entity_resolution, fuzzy_pairs, graph_integrity, graph_recall, keyset_page)}
 
-_NAMED = r"""regexp_replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), '( (inc|llc|ltd|gmbh|corp|co|company|limited|incorporated|corporation))+$', '')"""
+_NAMED = frames.NORMAL_NAME
 _KEYWORD = search_queries._KEYWORD.replace(frames.QUERY_ROWS, f"requests(query_id, query) as (values {frames._values(PLACES)})")
 ORACLES = {
     "graph_augmented": f"""with {_KEYWORD}, {frames.ENTITIES}, {frames.EDGES}, {frames.BOTH_WAYS}, {frames.ENTITY_CHUNKS},
@@ -110,7 +110,7 @@ ORACLES = {
     "entity_resolution": f"with {frames.ENTITIES}, n as (select entity_id, kind, {_NAMED} as key from entities) select entity_id, min(entity_id) over g as canonical_id, count(*) over g as group_size from n window g as (partition by kind, key)",
     "fuzzy_pairs": f"""with n as (select distinct {_NAMED} as name from (select p_name || ' ' || p_type || ' ' || p_size as name from part)), t as (select name, list_distinct(string_split(name, ' ')) as t from n),
         p as (select a.name as left_name, b.name as right_name, len(list_intersect(a.t, b.t)) as both_n, len(a.t) as na, len(b.t) as nb from t a join t b on a.name < b.name)
-        select 'part' as kind, left_name, right_name, score from (select *, floor(greatest(both_n::double / (na + nb - both_n), both_n::double / least(na, nb) * 0.72 + case when starts_with(left_name, right_name) or starts_with(right_name, left_name) then 0.08 else 0.0 end)::double * 1000 + 0.5) / 1000 as score from p where both_n > 0) where score >= 0.8""",
+        select 'part' as kind, left_name, right_name, score from (select *, floor(greatest(both_n::double / (na + nb - both_n), both_n::double / least(na, nb) * 0.72 + case when starts_with(left_name, right_name || ' ') or starts_with(right_name, left_name || ' ') then 0.08 else 0.0 end)::double * 1000 + 0.5) / 1000 as score from p where both_n > 0) where score >= 0.8""",
     "graph_integrity": f"""with {frames.ENTITIES}, {frames.EDGES} select e.kind, count(*) as n, count(*) filter (a.entity_id is null) as n_missing_source, count(*) filter (b.entity_id is null) as n_missing_target, count(*) filter (source = target) as n_self
         from edges e left join entities a on a.entity_id = source left join entities b on b.entity_id = target group by 1""",
     "graph_recall": """with f as (select distinct l_suppkey, l_partkey from lineitem where l_returnflag = 'R'), e as (select distinct l_suppkey, l_partkey from lineitem where l_discount < 0.05), x as (select distinct l_suppkey, l_partkey from lineitem where l_returnflag = 'A')

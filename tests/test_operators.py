@@ -6,8 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import half_up, redacted, safety_flags, terms
-from lodestrand.operators import access, context, evaluation, graph, incremental, ingest, planning, retrieval
+from lodestrand.functions.text import half_up, normal_name, redacted, safety_flags, terms
+from lodestrand.operators import access, context, evaluation, graph, incremental, ingest, layout, planning, resolution, retrieval
 from lodestrand.sources import readers, tables
 from lodestrand.streaming import events as streams
 
@@ -124,7 +124,7 @@ def test_fuzzy_pairs_lose_none(spark):
     for a in plain:
         for b in plain:
             x, y = set(a.split()), set(b.split())
-            s = max(len(x & y) / len(x | y), 0.72 * len(x & y) / min(len(x), len(y)) + (0.08 if a.startswith(b) or b.startswith(a) else 0))
+            s = max(len(x & y) / len(x | y), 0.72 * len(x & y) / min(len(x), len(y)) + (0.08 if a.startswith(b + " ") or b.startswith(a + " ") else 0))
             if a < b and s >= 0.55:
                 want.add((a, b))
     assert {(r.left_name, r.right_name) for r in graph.fuzzy_pairs(e).collect()} == want
@@ -141,7 +141,7 @@ def test_fuzzy_pairs_of_long_names(spark, least):
     for a in names:
         for b in names:
             x, y = set(a.split()), set(b.split())
-            s = max(len(x & y) / len(x | y), 0.72 * (len(x & y) / min(len(x), len(y))) + (0.08 if a.startswith(b) or b.startswith(a) else 0))
+            s = max(len(x & y) / len(x | y), 0.72 * (len(x & y) / min(len(x), len(y))) + (0.08 if a.startswith(b + " ") or b.startswith(a + " ") else 0))
             if a < b and math.floor(s * 1000 + 0.5) / 1000 >= least:
                 want.add((a, b))
     assert want and {(r.left_name, r.right_name) for r in graph.fuzzy_pairs(e, least).collect()} == want
@@ -246,3 +246,46 @@ def test_parse_quality_of_null_and_empty_rows(spark):
         (0, ["empty_body"], 50), (13, ["table_structure_missing"], 85), (17, [], 100), (12, ["layout_missing_for_complex_document", "low_page_text_coverage", "visual_assets_missing"], 52),
     ]
     assert ingest.parse_quality(spark.createDataFrame([], schema)).count() == 0
+
+
+def _companies(spark, rows):
+    return spark.createDataFrame(rows, "entity_id string, kind string, name string, metadata map<string,string>, confidence double, evidence_count long, status string")
+
+
+def test_resolution_by_identifier_and_name(spark):
+    rows = [
+        ("a", "co", "Acme, Inc.", {"website": "https://WWW.acme.com/x?y"}, 0.5, 1, None), ("b", "co", "Other", {"domain": "acme.com"}, 0.9, 1, "approved"), ("c", "co", "ACME L.L.C.", None, 0.1, 1, None),
+        ("d", "co", "Acme", {"cik": "0012"}, 0.1, 2, None), ("e", "co", "Bolt", {"cik": "12"}, 0.1, 2, None), ("f", "co", "Acme", {"cik": "12"}, 1.0, 9, "rejected"), ("g", "person", "Acme", {"cik": "12"}, 1.0, 9, None),
+        ("h", "co", "Cog", {"ein": "7"}, 0.1, 1, None), ("i", "co", "Cog", {"ein": "7"}, 0.1, 1, None), ("p", "place", "Ohio", None, 1.0, 1, None), ("q", "place", "Utah", None, 1.0, 1, None), ("z", "co", None, {}, 0.1, 1, None),
+    ]
+    e = _companies(spark, rows)
+    edges = spark.createDataFrame([("h", "p", "registered_in"), ("i", "q", "registered_in"), ("a", "p", "owns"), ("h", "zz", "registered_in")], "source string, target string, kind string")
+    assert {tuple(r) for r in resolution.by_identifier(e, edges).collect()} == {("a", "b"), ("b", "b"), ("d", "d"), ("e", "d")}
+    got = {r.entity_id: (r.canonical_id, r.merged_by) for r in resolution.resolved(e, edges).collect()}
+    assert got == {"a": ("b", "identifier"), "b": ("b", "identifier"), "c": ("d", "name"), "d": ("d", "identifier"), "e": ("d", "identifier"), "g": ("g", "none"), "h": ("h", "none"), "i": ("i", "none"), "p": ("p", "none"), "q": ("q", "none"), "z": ("z", "none")}
+    moved = {tuple(r) for r in resolution.rewired(edges, resolution.by_identifier(e, edges)).where("moved").select("source", "target", "kind").collect()}
+    assert moved == {("b", "p", "owns")}
+    assert resolution.resolved(e.limit(0), edges).count() == 0
+
+
+def test_pairs_to_review(spark):
+    e = _companies(spark, [("a", "co", "Acme Works", None, 1.0, 1, None), ("b", "co", "Acme Works Bank", None, 1.0, 1, None), ("c", "co", "acme works", None, 1.0, 1, None), ("d", "co", "Acme Works", None, 1.0, 1, None), ("e", "co", "Acme Works West", None, 1.0, 1, None), ("p", "place", "Ohio", None, 1.0, 1, None), ("q", "place", "Utah", None, 1.0, 1, None)])
+    edges = spark.createDataFrame([("a", "p", "registered_in"), ("d", "q", "registered_in"), ("e", "q", "registered_in")], "source string, target string, kind string")
+    got = {(r.left_id, r.right_id): (r.score, r.material, r.conflict) for r in resolution.review_pairs(e, edges).collect()}
+    assert got == {("a", "b"): (0.8, "bank", False), ("a", "c"): (1.0, "", False), ("a", "d"): (1.0, "", True), ("a", "e"): (0.8, "", True), ("b", "c"): (0.8, "bank", False), ("b", "d"): (0.8, "bank", False), ("c", "d"): (1.0, "", False)}
+
+
+def test_normal_names(spark):
+    names = {"Acme, Inc.": "acme", "O’Neil & Sons L.L.C.": "oneil & sons", "Limited Liability Company": "", "Corporation X incline": "x incline", "The  Co": "the co"}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert {r.name: r.key for r in df.select("name", normal_name(F.col("name")).alias("key")).collect()} == names
+
+
+def test_page_audit_and_readiness(spark):
+    pages = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3), ("d", 4)], "doc_id string, page_number int")
+    regions = spark.createDataFrame([("d", 1, "page_image", "   "), ("d", 2, "text", "long enough to be text"), ("d", 3, "page_image", "short"), ("d", 9, "text", None)], "doc_id string, page_number int, kind string, text string")
+    assets = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3), ("x", 1)], "doc_id string, page_number int")
+    got = {r.page_number: (r.n_chars, r.n_assets, r.reasons) for r in layout.page_audit(pages, regions, assets).collect()}
+    assert got == {1: (0, 1, ["page_has_visual_asset_without_text", "page_has_page_image_region_without_text", "layout_page_without_text"]), 3: (5, 1, ["page_text_below_threshold"]), 4: (0, 0, ["layout_page_without_text"])}
+    empty = layout.readiness(spark.createDataFrame([(0, None)], "n_chunks long, n_vectors long")).first()
+    assert empty.warnings == ["graph_knowledge_empty", "text_index_empty", "vector_index_empty", "visual_index_empty"] and not empty.text_ready
