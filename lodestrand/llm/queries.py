@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, pii, preferences, quality, simhash, token_shards, toxicity, urls
+from . import bpe, decontaminate, html_text, merkle, pii, preferences, quality, runs, scan_sql, secret_scan, simhash, token_shards, toxicity, urls
 from .shared import shared_folder, table
 
 
@@ -72,6 +72,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.with_repeats(table(spark, sf_dir, "documents")))
+
+
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -83,9 +95,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_pii": op10_pii,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scans": op12_secret_scans,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
+    "op12_secret_scans": scan_sql.secret_sql(),
+    "op13_merkle_manifest": scan_sql.MERKLE_SQL,
     "op2_url_filters": r"""
         with cut as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
         parts as (select page_id, lower(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from cut),
