@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, graph_queries, ingest_queries, operation_queries, resolution_queries, search_queries
+from . import evidence_queries, graph_queries, ingest_queries, ledger_queries, operation_queries, resolution_queries, search_queries, text_search_queries
 
 QUERIES, ORACLES = {}, {}
-for part in (search_queries, ingest_queries, graph_queries, operation_queries, evidence_queries, resolution_queries):
+for part in (search_queries, ingest_queries, graph_queries, operation_queries, evidence_queries, resolution_queries, text_search_queries, ledger_queries):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
