@@ -3,11 +3,12 @@
 Every document is cut into sequences of `length` ids, the last one padded. A
 sequence is numbered by a hash of its document's id and text and of its part, so
 the order does not hang on how files or tasks hold the rows. A keyed Feistel
-network, walked in cycles until it lands below n_shards * 2**PLACE_BITS, takes
+network, walked in cycles until it lands below n_shards * 2**place_bits, takes
 that number to the sequence's place in training order. The high part of a place
 is its shard: places are dealt to ranges by arithmetic, without a sample, and
-one task writes the whole of a shard, in order, into one file of records of
-fixed stride (`record_type`). The slot of a sequence is its rank among all
+one task writes the whole of a shard, or of several next to each other
+(`shards_a_task`), in order, one file of records of fixed stride (`record_type`)
+for each. The slot of a sequence is its rank among all
 places. The length of a shard's file says how many records it holds, so a reader
 finds any slot with one table of lengths and a multiplication, reads on from
 there in sequence, and can resume anywhere (`resumed`).
@@ -40,8 +41,10 @@ from .bpe import Reuse
 from .shared import slices
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 512, 4096, 0x5EED, 4
-#: Places of a shard; far more than sequences, so that two seldom share one.
+#: Places of a shard, as a power of two: far more than sequences, so that two seldom share one. Shards and places together stay below 2**61 (`place_bits`).
 PLACE_BITS = 40
+#: Bytes of records that a task writes, about, once there are more than TASKS of its size.
+TASK_BYTES, TASKS = 256 << 20, 200
 #: Bytes of text that one token takes, about; it sets the number of shards and nothing else.
 BYTES_PER_TOKEN = 3
 
@@ -104,16 +107,36 @@ def shards_for(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD
     return max(1, round(((row.bytes or 0) / BYTES_PER_TOKEN / length + row.rows / 2) / per_shard))
 
 
+def place_bits(shards: int) -> int:
+    """The power of two of a shard's places: PLACE_BITS up to two million shards, fewer beyond, so that a place is a positive long."""
+    bits = min(PLACE_BITS, 61 - max(1, shards - 1).bit_length())
+    if bits < 24:
+        raise ValueError("too many shards: raise per_shard")
+    return bits
+
+
+def in_training_order(sequences: DataFrame, shards: int, key: int = KEY) -> DataFrame:
+    """sequences (number, part, ...) with shard and place instead of number."""
+    bits = place_bits(shards)
+    rest = [c for c in sequences.columns if c != "number"]
+    numbered = sequences.select(F.pmod(F.xxhash64("number", "part"), F.lit(shards << bits)).alias("index"), *rest)
+    return slots(numbered, shards << bits, key=key).select(F.shiftright("slot", bits).cast("int").alias("shard"), F.col("slot").alias("place"), *rest)
+
+
+def shards_a_task(shards: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> int:
+    """How many neighbouring shards a task writes: one while there are few, then as many as make TASK_BYTES."""
+    return max(1, min(shards // TASKS, TASK_BYTES // (per_shard * record_type(length).itemsize)))
+
+
 def placed(docs: DataFrame, ranks_path: str, pattern: str, shards: int, end_id: int = 50256, length: int = LENGTH, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(shard, place, doc_id, part, n_tokens, ids) of every sequence, not padded; places ascend in training order."""
     tokens = tokenised(docs, ranks_path, pattern, end_id, doc_id, text)
     parts = tokens.select("number", "doc_id", "n_tokens", "ids", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_tokens") / length) - 1).cast("int"))).alias("part"))
-    domain = shards << PLACE_BITS
     cut = parts.select(
-        F.pmod(F.xxhash64("number", "part"), F.lit(domain)).alias("index"), "doc_id", "part", F.least(F.lit(length), F.col("n_tokens") - F.col("part") * length).cast("int").alias("n_tokens"),
+        "number", "doc_id", "part", F.least(F.lit(length), F.col("n_tokens") - F.col("part") * length).cast("int").alias("n_tokens"),
         F.substring("ids", F.col("part") * (2 * length) + 1, F.lit(2 * length)).alias("ids"),
     )
-    return slots(cut, domain, key=key).select(F.shiftright("slot", PLACE_BITS).cast("int").alias("shard"), F.col("slot").alias("place"), "doc_id", "part", "n_tokens", "ids")
+    return in_training_order(cut, shards, key)
 
 
 def record_type(length: int = LENGTH) -> np.dtype:
@@ -175,7 +198,7 @@ def records(spark: SparkSession, path: str, length: int = LENGTH, from_slot: int
 def materialised(docs: DataFrame, path: str, ranks_path: str, pattern: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the shards of docs under path, then give their records back."""
     shards = shards_for(docs, length, per_shard, text)
-    written_shards(placed(docs, ranks_path, pattern, shards, length=length, key=key, doc_id=doc_id, text=text), path, shards, length=length)
+    written_shards(placed(docs, ranks_path, pattern, shards, length=length, key=key, doc_id=doc_id, text=text), path, shards, length=length, per_task=shards_a_task(shards, length, per_shard))
     return records(docs.sparkSession, path, length)
 
 
