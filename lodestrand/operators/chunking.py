@@ -23,12 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safety_flags
-from .ingest import LEAST_CHARS, MOST_CHARS, OVERLAP, furniture, pieces
+from .ingest import BLOCK, LEAST_CHARS, MOST_CHARS, OVERLAP, furniture, pieces, slice_of
 
 #: Kinds of regions that are kept whole.
 PROTECTED_KINDS = ("table", "table_caption", "figure", "figure_caption", "equation")
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-BLOCK = 2048
 SPAN, PIECE = "array<struct<start:int,end:int>>", "struct<start:int,end:int,protected:boolean,text:string>"
 
 
@@ -67,13 +66,6 @@ def segments(ranges: Column, size: Column) -> Column:
     return F.filter(F.concat(both, F.array(span(behind(F.size(ranges) - 1), size, False))), lambda s: s["start"] < s["end"])
 
 
-def slice_of(blocks: Column, start: Column, end: Column) -> Column:
-    """Characters start .. end of the text that was cut into blocks."""
-    first = F.floor(start / BLOCK).cast("int")
-    count = F.floor((F.greatest(end, start + 1) - 1) / BLOCK).cast("int") - first + 1
-    return F.substring(F.array_join(F.slice(blocks, first + 1, count), ""), (start % BLOCK).cast("int") + 1, (end - start).cast("int"))
-
-
 def by_characters(start: Column, end: Column, policy: Policy) -> Column:
     step = max(1, policy.most - policy.overlap)
     last = F.greatest(F.ceil((end - start - policy.most) / step), F.lit(0)).cast("int")
@@ -161,7 +153,9 @@ def windowed(docs: DataFrame, regions: DataFrame | None = None, policy: Policy =
     out = body.withColumn("_n", F.length("text")).select(*rest, pieces(F.col("text"), BLOCK).alias("_blocks"), segments(ranges, F.col("_n")).alias("_segments"))
     out = out.select(*rest, "_blocks", windows(F.col("_segments"), F.col("_blocks"), policy).alias("_windows"))
     telling = F.filter("_windows", lambda w: ~furniture(w["text"], policy.least))
-    return out.select(*rest, merged(telling, F.col("_blocks"), policy).alias("windows"))
+    # Beside a field that is not deterministic, filters on the windows stay above; pushed down, they would cut the body again for every window.
+    held = out.select(*rest, merged(telling, F.col("_blocks"), policy).alias("windows"), F.monotonically_increasing_id().alias("_row"))
+    return held.where(F.col("_row") >= 0).drop("_row")
 
 
 def chunked(docs: DataFrame, regions: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:

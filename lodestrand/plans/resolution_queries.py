@@ -89,22 +89,32 @@ _ENTITIES = f"""ents as (select *, {frames.NORMAL_NAME} as norm from (
   reg as (select source as entity_id, string_agg(distinct norm, '|' order by norm) as places from links join ents on entity_id = target group by 1),
   own as (select * from ids join ents using (entity_id) left join reg using (entity_id)),
   shared as (select kind, identifier from own group by all having count(*) > 1 and coalesce(min(places) = max(places), true)),
-  chosen as (select entity_id, kind, confidence, n, min(identifier) as identifier from own join shared using (kind, identifier) group by all),
-  one as (select entity_id, first_value(entity_id) over (partition by kind, identifier order by confidence desc, n desc, entity_id) as canonical_id from chosen qualify count(*) over (partition by kind, identifier) > 1),
+  chosen as (select * from own join shared using (kind, identifier)),
+  stars as (select distinct entity_id as a, min(entity_id) over (partition by kind, identifier) as b from chosen),
+  ties as (select a, b from stars union select b, a from stars union select a, a from stars),
+  reached as (select a as node, a as other from ties union select node, b from reached join ties on ties.a = other),
+  roots as (select node as entity_id, min(other) as root from reached group by node),
+  firsts as (select entity_id, kind, confidence, n, min(identifier) as identifier, any_value(places) as places from chosen group by all),
+  placed as (select *, coalesce(min(places) over (partition by root) <> max(places) over (partition by root), false) as clash from firsts join roots using (entity_id)),
+  grouped as (select *, case when clash then root || chr(10) || identifier else root end as g from placed),
+  one as (select entity_id, first_value(entity_id) over (partition by g order by confidence desc, n desc, entity_id) as canonical_id from grouped qualify count(*) over (partition by g) > 1),
   moved as (select coalesce(s.canonical_id, source) as source, coalesce(t.canonical_id, target) as target, coalesce(s.canonical_id <> source, false) or coalesce(t.canonical_id <> target, false) as moved from links left join one s on s.entity_id = source left join one t on t.entity_id = target)"""
 ORACLES = {
-    "identifier_resolution": f"with {_ENTITIES} select * from one",
-    "rewired_edges": f"with {_ENTITIES} select source, target, 'registered_in' as kind, moved from moved",
-    "full_resolution": f"""with {_ENTITIES}, rest as (select * from ents where entity_id not in (select entity_id from one where entity_id <> canonical_id) and norm <> ''),
+    "identifier_resolution": f"with recursive {_ENTITIES} select * from one",
+    "rewired_edges": f"with recursive {_ENTITIES} select source, target, 'registered_in' as kind, moved from moved",
+    "full_resolution": f"""with recursive {_ENTITIES}, rest as (select * from ents where entity_id not in (select entity_id from one where entity_id <> canonical_id) and norm <> ''),
         at2 as (select source as entity_id, string_agg(distinct norm, ',' order by norm) as places from moved join rest on entity_id = target group by 1),
         two as (select entity_id, first_value(entity_id) over w as canonical_id from rest left join at2 using (entity_id) window w as (partition by kind, norm, coalesce(places, '') order by confidence desc, n desc, entity_id) qualify count(*) over (partition by kind, norm, coalesce(places, '')) > 1)
         select e.entity_id, coalesce(two.canonical_id, one.canonical_id, e.entity_id) as canonical_id, case when one.canonical_id is not null then 'identifier' when two.canonical_id is not null then 'name' else 'none' end as merged_by
         from ents e left join one using (entity_id) left join two on two.entity_id = coalesce(one.canonical_id, e.entity_id)""",
-    "review_pairs": f"""with {_ENTITIES}, c as (select kind, norm, places, min(entity_id) as id, string_split(norm, ' ') as t from ents left join reg using (entity_id) where kind in ('part', 'region') group by kind, norm, places),
-        p as (select a.kind, a.id as left_id, b.id as right_id, a.norm as x, b.norm as y, len(list_intersect(a.t, b.t)) as both_n, len(a.t) as na, len(b.t) as nb, coalesce(len(list_filter(string_split(a.places, '|'), lambda v: not list_contains(string_split(b.places, '|'), v))) > 0, false) as conflict,
-          list_sort(list_filter(list_distinct(list_concat(a.t, b.t)), lambda w: (list_contains(a.t, w) <> list_contains(b.t, w)) and list_contains({resolution.QUALIFIERS!r}, w))) as extra from c a join c b on a.kind = b.kind and a.id < b.id),
-        s as (select *, case when x = y then 1.0::double else floor(greatest(both_n::double / (na + nb - both_n), both_n::double / least(na, nb) * 0.72::double + case when starts_with(x, y || ' ') or starts_with(y, x || ' ') then 0.08::double else 0.0::double end) * 1000 + 0.5) / 1000 end as score from p)
-        select kind, left_id, right_id, score, array_to_string(extra, ',') as material, conflict from s where score >= 0.55 and (score >= 0.82 or len(extra) > 0 or conflict)""",
+    "review_pairs": f"""with recursive {_ENTITIES}, c as (select kind, norm, places, min(entity_id) as id, string_split(norm, ' ') as t, case when places is not null then string_split(places, '|') end as ps from ents left join reg using (entity_id) where kind in ('part', 'region') and norm <> '' group by kind, norm, places),
+        heads as (select kind, norm, any_value(t) as t, min(id) as id from c group by all),
+        clashes as (select distinct a.kind, a.norm as x, b.norm as y from c a join c b on a.kind = b.kind and len(list_filter(a.ps, lambda v: not list_contains(b.ps, v))) > 0),
+        p as (select a.kind, a.id as left_id, b.id as right_id, a.norm as x, b.norm as y, len(list_intersect(a.t, b.t)) as both_n, len(a.t) as na, len(b.t) as nb, k.x is not null as conflict,
+          list_sort(list_filter(list_distinct(list_concat(a.t, b.t)), lambda w: (list_contains(a.t, w) <> list_contains(b.t, w)) and list_contains({resolution.QUALIFIERS!r}, w))) as extra from heads a join heads b on a.kind = b.kind and a.id < b.id left join clashes k on k.kind = a.kind and k.x = a.norm and k.y = b.norm),
+        s as (select *, floor(greatest(both_n::double / (na + nb - both_n), both_n::double / least(na, nb) * 0.72::double + case when starts_with(x, y || ' ') or starts_with(y, x || ' ') then 0.08::double else 0.0::double end) * 1000 + 0.5) / 1000 as score from p)
+        select kind, left_id, right_id, score, array_to_string(extra, ',') as material, conflict from s where score >= 0.55 and (score >= 0.82 or len(extra) > 0 or conflict)
+        union all select c.kind, f.id, c.id, 1.0::double, '', coalesce(len(list_filter(m.ps, lambda v: not list_contains(c.ps, v))) > 0, false) from c join heads f on f.kind = c.kind and f.norm = c.norm and f.id <> c.id join c m on m.id = f.id""",
     "page_audit": """with g as (select l_orderkey as doc_id, l_linenumber as page_number, sum(case when l_linestatus = 'O' then floor(l_quantity / 2)::bigint else 0 end)::bigint as n_chars, count(*) filter (l_tax > 0.04) as n_assets, bool_or(l_discount > 0.05) as image from lineitem group by all),
         r as (select *, concat_ws(',', case when n_assets > 0 and n_chars = 0 then 'page_has_visual_asset_without_text' end, case when image and n_chars = 0 then 'page_has_page_image_region_without_text' end,
           case when n_chars = 0 then 'layout_page_without_text' end, case when (n_assets > 0 or image) and n_chars > 0 and n_chars < 20 then 'page_text_below_threshold' end) as reasons from g)
