@@ -216,7 +216,9 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         rest = blanked(rest, kind)
     out = out.select("doc_id", "base", F.when(F.size("base") > 0, rest).otherwise(F.col("_t")).alias("_rest"))
     out = out.select("doc_id", "base", pieces(F.col("_rest"), CANDIDATE).alias("_c"))
-    return out.select("doc_id", "base", added_spans(F.col("_c"), len(KINDS)).alias("added"))
+    # Beside a field that is not deterministic, filters on the spans stay above; pushed down, they would scan the text again at each use of a step.
+    held = out.select("doc_id", "base", added_spans(F.col("_c"), len(KINDS)).alias("added"), F.monotonically_increasing_id().alias("_at"))
+    return held.where(F.col("_at") >= 0).drop("_at")
 
 
 def listed(spans: Column) -> Column:
