@@ -5,7 +5,8 @@ boilerplate; a unary potential reads its own features (tag, class words, text
 length, link share) and one potential couples it with its parent. Sum-product
 messages, upward and then downward, give the exact marginal of each element;
 text whose nearest block element is content with probability one half or more
-is kept. The weights are trained on labelled pages by maximum likelihood, with expectations from the same messages.
+is kept; where none is, the page's dominant block of text stands in (`dominant`).
+The weights are trained on labelled pages by maximum likelihood, with expectations from the same messages.
 
 Pages are independent: no shuffle, one pass, time and memory linear in a page.
 The labelled pages come from `labelled_pages`, layouts filled with random words,
@@ -54,7 +55,10 @@ LIMITS = frozenset("ul ol dl table article section div main body nav aside".spli
 CONTENT_WORDS = frozenset("article content post entry story main body text prose".split())
 CLUTTER_WORDS = frozenset("ad ads advert advertisement banner sponsor sponsored promo sidebar side nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot cookie consent notice alert popup modal overlay comment comments reply replies discussion disqus share social related recommended newsletter subscribe signup login search widget toolbar pagination copyright legal".split())
 TAG_GROUPS = ({"article", "main"}, {"nav", "menu", "aside", "footer", "header", "form", "button", "fieldset", "dialog"}, {"p", "blockquote", "pre", "figcaption"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "li", "dl", "dt", "dd"}, {"table", "tr", "td", "th", "tbody", "thead"}, {"div", "section"}, {"html", "body", ""})
-N_FEATURES = 9 + 2 + 5
+#: Words of classes that only say whether the page has something.
+STATE_WORDS = frozenset("has have no not is are with without free open opened closed enabled disabled on off active inactive".split())
+TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th figcaption".split())
+N_FEATURES = 9 + 2 + 5 + 4
 
 
 @dataclass
@@ -95,6 +99,17 @@ def parse(source: str) -> Page:
     """Read a page leniently; scripts, styles, comments, embedded objects and form lists leave no text, an unclosed one only its tag."""
     page, stack, links, fresh, at = Page(), [0], 0, True, 0
     n, closed = len(source), {}
+    #: Where in the stack the open elements of each name are: no tag looks for what is not open, and each element is closed once.
+    places: dict[str, list[int]] = {}
+
+    def close_from(k: int) -> None:
+        for element in reversed(stack[k:]):
+            places[page.tag[element]].pop()
+        del stack[k:]
+
+    def last_of(names: frozenset[str] | tuple[str, ...]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     while at < n:
         m = TOKEN.match(source, at)
         if m is None:
@@ -132,20 +147,14 @@ def parse(source: str) -> Page:
             continue
         fresh = True
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] == name:
-                    del stack[k:]
-                    links = 0
-                    break
+            if places.get(name):
+                close_from(places[name][-1])
+                links = 0
             continue
         if name in CLOSES_P and page.tag[stack[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1) if name in SIBLINGS else ():
-            if page.tag[stack[k]] in SIBLINGS[name]:
-                del stack[k:]
-                break
-            if page.tag[stack[k]] in LIMITS:
-                break
+            close_from(len(stack) - 1)
+        if name in SIBLINGS and (k := last_of(SIBLINGS[name])) > last_of(LIMITS):
+            close_from(k)
         if name in VOID:
             continue
         page.tag.append(name)
@@ -154,35 +163,81 @@ def parse(source: str) -> Page:
         page.size.append(0)
         page.linked.append(0)
         if not m.group(3).endswith("/"):
+            places.setdefault(name, []).append(len(stack))
             stack.append(len(page.tag) - 1)
     return page
 
 
+def class_words(names: str) -> set[str]:
+    """The words of an element's classes, id and role; a class that states whether something is there, as has-comments or ad-free, says nothing."""
+    out: set[str] = set()
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower().split():
+        words = set(re.split(r"[^a-z]+", name))
+        if words.isdisjoint(STATE_WORDS):
+            out |= words
+    return out
+
+
 def features(page: Page) -> np.ndarray:
-    """One row per element: tag group, class words, sizes of its own and its subtree's text, link share."""
+    """One row per element: tag group, class words, sizes of its own and its subtree's text, link share, and its part of the page's plain text.
+
+    Plain text is neither linked nor under an element whose tag or class tells of
+    clutter; `direct` is that of an element and its paragraph-like children, so
+    that the container of an article differs from the wrappers around it.
+    """
     n = len(page.tag)
     total, linked = list(page.size), list(page.linked)
     for k in range(n - 1, 0, -1):
         total[page.parent[k]] += total[k]
         linked[page.parent[k]] += linked[k]
     out = np.zeros((n, N_FEATURES))
+    told, inner, under = [0] * n, [False] * n, [False] * n
+    for k in range(n):
+        tag, words, up = page.tag[k], class_words(page.names[k]) if page.names[k] else set(), page.parent[k]
+        inner[k] = up >= 0 and (inner[up] or page.tag[up] in TAG_GROUPS[0] or told[up] > 0)
+        # The head of an article is a part of it.
+        head = inner[k] and (tag == "header" or tag not in TAG_GROUPS[1] and "header" in words)
+        words = words - {"header"} if head else words
+        clutter = not words.isdisjoint(CLUTTER_WORDS)
+        told[k] = -1 if clutter or tag in TAG_GROUPS[1] and not head else int(not words.isdisjoint(CONTENT_WORDS))
+        under[k] = told[k] < 0 or up >= 0 and under[up]
+        out[k, 8 if head else next((g for g, tags in enumerate(TAG_GROUPS) if tag in tags), 8)] = 1
+        out[k, 9], out[k, 10] = clutter, told[k] > 0
+    plain = [0 if under[k] else page.size[k] - page.linked[k] for k in range(n)]
+    direct = list(plain)
+    for k in range(n - 1, 0, -1):
+        if page.tag[k] in TEXT_TAGS:
+            direct[page.parent[k]] += plain[k]
+    for k in range(n - 1, 0, -1):
+        plain[page.parent[k]] += plain[k]
     for k in range(n):
-        tag = page.tag[k]
-        out[k, next((g for g, tags in enumerate(TAG_GROUPS) if tag in tags), 8)] = 1
-        if page.names[k]:
-            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", page.names[k]).lower()))
-            clutter = not words.isdisjoint(CLUTTER_WORDS)
-            out[k, 9] = clutter
-            out[k, 10] = not clutter and not words.isdisjoint(CONTENT_WORDS)
         share = linked[k] / total[k] if total[k] else 0.0
         out[k, 11] = share
         out[k, 12] = share > 0.5
         out[k, 13] = min(math.log1p(page.size[k]), 8) / 8
         out[k, 14] = min(math.log1p(total[k]), 10) / 10
         out[k, 15] = page.size[k] == 0
+        if plain[0]:
+            out[k, 16] = plain[k] / plain[0]
+            out[k, 17] = direct[k] / plain[0]
+            out[k, 18] = direct[k] > 0.5 * plain[0]
+        out[k, 19] = inner[k]
     return out
 
 
+def dominant(page: Page) -> set[int]:
+    """The elements of the text block that holds most of a page's plain text: the container with the most direct plain text, and what lies in it outside clutter."""
+    x = features(page)
+    top = int(np.argmax(x[:, 17]))
+    if x[top, 17] < 0.5:
+        return set()
+    within = {top}
+    for k in range(top + 1, len(page.tag)):
+        if page.parent[k] in within and not x[k, 9] and not x[k, 1]:
+            within.add(k)
+    return within
+
+
 @dataclass(frozen=True)
 class Model:
     unary: tuple[float, ...]
@@ -247,7 +302,7 @@ def train(pages: list[tuple[Page, list[int]]], rounds: int = 300, rate: float =
     return Model(tuple(w.tolist()), *pair.tolist())
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[Page, list[int]]]:
+def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[Page, list[int]]]:
     """Pages of varied layouts with a label for each element: 1 for the article, 0 for all else."""
     r, out = random.Random(seed), []
     words = lambda lo, hi: " ".join("".join(r.choice("abcdeilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(r.randint(lo, hi)))
@@ -261,16 +316,28 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[Page, list[int]]]:
             lambda: f"<form><p>{words(2, 10)}</p><input name=q><button>{words(1, 1)}</button></form>", lambda: f'<section class="comments"><h3>{words(1, 2)}</h3>' + "".join(f'<div class="comment"><p>{words(3, 60)}</p></div>' for _ in range(r.randint(1, 5))) + "</section>",
             lambda: f"<footer>&copy; {words(2, 40)}</footer>", lambda: f"<header><div>{words(1, 5)}</div><p>{words(2, 12)}</p></header>", lambda: f'<div class="menu"><ul>{links(5)}</ul></div>', lambda: f'<div class="related"><ul>{links(3)}</ul></div>',
         ]
-        opening, closing = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main><article class=post>", "</article></main>"), ('<div class="content">', "</div>"), ("<main>", "</main>"), ('<div id="main"><div class="entry-text">', "</div></div>"), ('<section class="story">', "</section>")])
-        inside = [f"<h1>{words(1, 10)}</h1>"] + [para() for _ in range(r.randint(1, 20))]
+        opening, closing = r.choice([
+            ("<article>", "</article>"), ("<article>", "</article>"), ("<main><article class=post>", "</article></main>"), ('<div class="content">', "</div>"), ("<main>", "</main>"), ('<div id="main"><div class="entry-text">', "</div></div>"), ('<section class="story">', "</section>"),
+            ("<div>", "</div>"), ("<section>", "</section>"), ('<div class="content ad-free">', "</div>"), ('<article class="post has-comments">', "</article>"), ('<div class="c42">', "</div>"),
+        ])
+        bare = opening in ("<div>", "<section>", '<div class="c42">')
+        title = f"<h1>{words(1, 10)}</h1>"
+        inside = [r.choice([title, title, f"<header>{title}<p>{words(2, 8)}</p></header>", f'<header class="entry-header">{title}</header>', f'<div class="entry-header">{title}</div>']) if not bare else title] + [para() for _ in range(r.randint(4 if bare else 1, 20))]
+        if bare:
+            inside += [f"<p>{words(40, 90)}</p>" for _ in range(3)]
+        elif r.random() < 0.1:
+            inside = inside[:1] + [f"<p>{' '.join(f'<a href=x>{words(1, 4)}</a>' for _ in range(r.randint(2, 6)))} {words(0, 2)}</p>" for _ in range(r.randint(3, 9))]
         if r.random() < 0.35:
-            inside.insert(r.randint(1, len(inside)), f"<!--x-->{r.choice(clutter[1:7])()}")
-        before, after = "".join(r.choice(clutter)() for _ in range(r.randint(1, 4))), "".join(r.choice(clutter)() for _ in range(r.randint(1, 4)))
-        source = f"<html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body>{before}{opening}{''.join(inside)}{closing}{after}</body></html>"
+            inside.insert(r.randint(1, len(inside)), f"<!--x-->{r.choice([*clutter[1:7], lambda: f'<div class=c-newsletter-box><p>{words(4, 20)}</p></div>'])()}")
+        before, after = "".join(r.choice(clutter)() for _ in range(r.randint(1, 4))), "".join(r.choice([*clutter, lambda: f"<div>{words(3, 20)}</div>"])() for _ in range(r.randint(1, 4)))
+        if r.random() < 0.3:
+            before, after = "<div id=page><div class=wrap>" + before, after + "</div></div>"
+        source = f"<html><head><title>{words(1, 5)}</title><style>p{{}}</style></head><body{r.choice(['', '', ' class=\"single comments-open\"'])}>{before}{opening}{''.join(inside)}{closing}{after}</body></html>"
         first = len(parse(f"<html><head></head><body>{before}").tag)
         page = parse(source)
-        last = len(parse(source[: source.index(after, source.index(opening))] if after else source).tag)
-        hidden = {k for k in range(first, last) if page.tag[k] in ("aside", "form", "button", "nav", "header", "footer") or set(re.split(r"[^a-z]+", page.names[k].lower())) & CLUTTER_WORDS}
+        last = len(parse(source[: source.index(after, source.index(opening, source.index(before)) + len(opening) + sum(map(len, inside)))]).tag)
+        heads = {k for k in range(first, last) if page.tag[k] == "header" or "header" in page.names[k]}
+        hidden = {k for k in range(first, last) if k not in heads and (page.tag[k] in ("aside", "form", "button", "nav", "footer") or class_words(page.names[k]) & CLUTTER_WORDS)}
         labels = [0] * len(page.tag)
         for k in range(first, last):
             labels[k] = int(k not in hidden and (k == first or page.parent[k] < first or labels[page.parent[k]] == 1))
@@ -303,8 +370,13 @@ def main_text(source: str | None, model: Model) -> str:
         return ""
     page = parse(source)
     odds = log_odds(page, model)
-    kept = (" ".join("".join(pieces).split()) for element, pieces in page.blocks if odds[element] >= 0)
-    return "\n".join(t for t in kept if t)
+    whole = [(element, " ".join("".join(pieces).split())) for element, pieces in page.blocks]
+    kept = [t for element, t in whole if t and odds[element] >= 0]
+    if not kept:
+        # No element is likelier content than not: a page with one dominant block of text is that block.
+        within = dominant(page)
+        kept = [t for element, t in whole if t and element in within]
+    return "\n".join(kept)
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", model: Model | None = None) -> DataFrame:
