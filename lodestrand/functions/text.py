@@ -9,22 +9,28 @@ from pyspark.sql import functions as F
 STOP_WORDS = "a an and are as at be by describe does for from how i in is it its of on or relationship relationships that the this to what when where which why with".split()
 #: Phrases and patterns of the safety flags.
 INJECTION_PHRASES = ["ignore previous instructions", "ignore all previous instructions", "system prompt", "developer message", "reveal your instructions", "do not obey"]
-SECRET_PATTERN = r"(?i)(api[_-]?key|bearer[\t\n\r ]+[a-z0-9._-]{12,}|password[\t\n\r ]*=|sk_live_[a-z0-9]+)"
+SECRET_PATTERN = r"(?i)(api[_-]?key|bearer\s+[a-z0-9._-]{12,}|password\s*=|sk_live_[a-z0-9]+)"
 KEY_PATTERN = "BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY"
 EMAIL_PATTERN = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 #: What redaction replaces, in order.
 REDACTIONS = [
     ("email", EMAIL_PATTERN),
-    ("phone", r"\+?[0-9][0-9 .()-]{7,}[0-9]"),
-    ("user_id", r"(?i)\buser[_-]?id[\t\n\r ]*[:=][\t\n\r ]*[a-z0-9_-]+"),
-    ("payment", r"(?i)\b(?:card|cc|payment)[_-]?(?:number)?[\t\n\r ]*[:=][\t\n\r ]*[0-9][0-9 -]{11,19}"),
-    ("auth_secret", r"(?i)\b(?:bearer[\t\n\r ]+[a-z0-9._-]+|api[_-]?key[\t\n\r ]*[:=][\t\n\r ]*[^\t\n\r ]+|password[\t\n\r ]*=[\t\n\r ]*[^\t\n\r ]+)"),
+    ("phone", r"\+?\d[\d .()-]{7,}\d"),
+    ("user_id", r"(?i)\buser[_-]?id\s*[:=]\s*[a-z0-9_-]+"),
+    ("payment", r"(?i)\b(?:card|cc|payment)[_-]?(?:number)?\s*[:=]\s*\d[\d -]{11,19}"),
+    ("auth_secret", r"(?i)\b(?:bearer\s+[a-z0-9._-]+|api[_-]?key\s*[:=]\s*\S+|password\s*=\s*\S+)"),
 ]
 
 #: Legal forms that a name is compared without.
 LEGAL_FORMS = ["limited liability company", "llc", "l l c", "incorporated", "inc", "corp", "corporation", "ltd", "limited", "gmbh", "plc", "lp", "llp"]
 
 
+def bounded(pattern: str) -> str:
+    """The pattern with word bounds of ASCII letters, digits and underscores, as they are meant; Java 17 takes other letters for word characters at \\b too."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
 def half_up(value: Column, digits: int) -> Column:
     """Rounding with halves upward, whatever the sign."""
     return F.floor(value * F.lit(float(10**digits)) + 0.5) / F.lit(float(10**digits))
@@ -45,7 +51,7 @@ def occurrences(haystack: Column, needle: Column) -> Column:
 def normal_name(name: Column) -> Column:
     """A name for comparison: lower case, no apostrophes, full stops, commas or legal forms, single spaces."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(name), "[\u2019\u2018']", ""), "[.,]", " ")
-    bare = F.regexp_replace(plain, f"(?<![a-z0-9_])({'|'.join(LEGAL_FORMS)})(?![a-z0-9_])", " ")
+    bare = F.regexp_replace(plain, bounded(rf"\b({'|'.join(LEGAL_FORMS)})\b"), " ")
     return F.trim(F.regexp_replace(bare, "\\s+", " "))
 
 
@@ -69,6 +75,6 @@ def redacted(text: Column, classes: list[str] | None = None) -> tuple[Column, Co
     out, count = text, F.lit(0)
     for name, pattern in REDACTIONS:
         if classes is None or name in classes:
-            count = count + F.regexp_count(out, F.lit(pattern))
-            out = F.regexp_replace(out, pattern, f"[REDACTED:{name}]")
+            count = count + F.regexp_count(out, F.lit(bounded(pattern)))
+            out = F.regexp_replace(out, bounded(pattern), f"[REDACTED:{name}]")
     return out, count.cast("long")

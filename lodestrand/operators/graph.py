@@ -47,6 +47,38 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int =
     return reached
 
 
+def bounded_walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 8, most: int = 64, kinds: list[str] | None = None, direction: str = "any") -> DataFrame:
+    """(seed, node, depth, place, path): what a walk from each seed visits, at most `most` nodes with the seed.
+
+    A level's nodes are met in the order in which the level before was, and of
+    each the first `limit` neighbours by kind and id, of some kinds or one
+    direction. A node is visited once, from where it was met first; places number
+    the visits. `path` holds the edges (depth, source, target, kind) that lead to
+    it, as they stand in the graph. A level of a seed has at most most * limit
+    candidates, however large the hubs are.
+    """
+    own = both_ways(edges)
+    if kinds is not None:
+        own = own.where(F.col("kind").isin(kinds))
+    if direction != "any":
+        own = own.where(F.col("direction") == direction)
+    order = Window.partitionBy("node").orderBy("kind", "other", "direction")
+    steps = own.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select(F.col("node").alias("_from"), "other", "kind", "direction", "_n")
+    none = F.array().cast("array<struct<depth:int,source:string,target:string,kind:string>>")
+    visited = seeds.select(F.col("node").alias("seed"), "node").distinct().select("seed", "node", F.lit(0).alias("depth"), F.lit(1).alias("place"), none.alias("path"))
+    front = visited
+    for d in range(1, depth + 1):
+        met = front.select("seed", F.col("node").alias("_from"), "place", "path").join(steps, "_from")
+        out = F.col("direction") == "outgoing"
+        edge = F.struct(F.lit(d).alias("depth"), F.when(out, F.col("_from")).otherwise(F.col("other")).alias("source"), F.when(out, F.col("other")).otherwise(F.col("_from")).alias("target"), "kind")
+        first = met.groupBy("seed", F.col("other").alias("node")).agg(F.min_by(F.struct(F.concat("path", F.array(edge)).alias("path"), "place", "_n"), F.struct("place", "_n")).alias("b"))
+        fresh = first.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").join(visited.groupBy("seed").agg(F.count("*").alias("_seen")), "seed")
+        rank = F.row_number().over(Window.partitionBy("seed").orderBy("b.place", "b._n"))
+        front = fresh.withColumn("place", (F.col("_seen") + rank).cast("int")).where(F.col("place") <= most).select("seed", "node", F.lit(d).alias("depth"), "place", F.col("b.path").alias("path"))
+        visited = visited.unionByName(front)
+    return visited
+
+
 def relations(edges: DataFrame, nodes: DataFrame, kinds: list[str] | None = None, direction: str = "any", limit: int = 20) -> DataFrame:
     """(node, other, kind, direction) of the first `limit` edges of each of `nodes` (column node), of some kinds or one direction."""
     own = both_ways(edges)
@@ -58,22 +90,30 @@ def relations(edges: DataFrame, nodes: DataFrame, kinds: list[str] | None = None
     return own.join(nodes.select("node").distinct(), "node", "left_semi").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
 
-def graph_candidates(matches: DataFrame, edges: DataFrame, evidence: DataFrame, depth: int = 2, limit: int = 8, graph_first: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score, depth, path): the chunks of matched entities (query_id, entity_id, score) and of those that a bounded walk reaches from them.
+def graph_candidates(
+    matches: DataFrame, edges: DataFrame, evidence: DataFrame, depth: int = 2, limit: int = 8, graph_first: bool = False, relation_evidence: DataFrame | None = None, most: int = 64, kinds: list[str] | None = None, direction: str = "any"
+) -> DataFrame:
+    """(query_id, chunk_id, score, depth, path): the chunks of matched entities (query_id, entity_id, score), of those that a bounded walk reaches from them, and of the relations that it walks.
 
-    `evidence` has (entity_id, chunk_id). Scores fall with each hop to three
-    quarters, not below 0.05; with graph_first a walk's chunks score 1 at least
-    and a match's own chunks less. A chunk keeps its best score, the shorter
-    path and then the first. Matches are a few for each request.
+    `evidence` has (entity_id, chunk_id), `relation_evidence` (source, target,
+    kind, chunk_id). Scores fall with each hop to three quarters, not below 0.05;
+    with graph_first a walk's chunks score 1 at least and a match's own chunks
+    less. A chunk keeps its best score, the shorter path and then the first.
+    Matches are a few for each request.
     """
-    reached = bounded_bfs(matches.select(F.col("entity_id").alias("node")).distinct(), edges, depth, limit)
+    reached = bounded_walk(matches.select(F.col("entity_id").alias("node")).distinct(), edges, depth, limit, most, kinds, direction)
     walks = matches.select("query_id", F.col("entity_id").alias("seed"), "score").join(reached, "seed")
     score, hops = F.col("score"), F.col("depth")
     own = F.greatest(F.lit(0.05), score * 0.65) if graph_first else score
     far = F.greatest(F.lit(1.0), score + F.lit(0.1) / (hops + 1)) if graph_first else F.greatest(F.lit(0.05), score * F.pow(F.lit(0.75), hops))
-    scored = walks.select("query_id", F.col("node").alias("entity_id"), F.when(hops == 0, own).otherwise(far).alias("score"), "depth", "path")
-    found = scored.join(evidence.select("entity_id", "chunk_id"), "entity_id")
-    best = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "depth", "path")).alias("b"))
+    told = F.array_join(F.transform("path", lambda e: F.concat_ws(":", e["depth"].cast("string"), e["kind"], e["source"], e["target"])), "|")
+    scored = walks.select("query_id", F.col("node").alias("entity_id"), F.when(hops == 0, own).otherwise(far).alias("score"), "depth", told.alias("told"), F.get("path", F.size("path") - 1).alias("last"))
+    found = scored.join(evidence.select("entity_id", "chunk_id"), "entity_id").select("query_id", "chunk_id", "score", "depth", "told")
+    if relation_evidence is not None:
+        edge = relation_evidence.select(F.struct("source", "target", "kind").alias("_edge"), "chunk_id")
+        on_way = scored.where("last is not null").withColumn("_edge", F.struct("last.source", "last.target", "last.kind"))
+        found = found.unionByName(on_way.join(edge, "_edge").select("query_id", "chunk_id", "score", "depth", "told"))
+    best = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "depth", F.col("told").alias("path"))).alias("b"))
     return best.select("query_id", "chunk_id", half_up(-F.col("b.low"), 6).alias("score"), "b.depth", "b.path")
 
 

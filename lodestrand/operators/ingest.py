@@ -8,17 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import safety_flags
+from ..functions.text import bounded, safety_flags
 from .access import trust_rank
 
 MOST_CHARS, OVERLAP, LEAST_CHARS = 1800, 180, 120
 #: Characters of the blocks from which slices are put together.
 BLOCK = 2048
 #: What short windows look like that carry no information.
-FURNITURE = [
-    r"^[0-9\t\n\x0B\f\r .()-]+$", r"^[_\-=\t\n\x0B\f\r ]{3,}$", r"(?i)^page[\t\n\x0B\f\r ]+[0-9]+(?:[\t\n\x0B\f\r ]+of[\t\n\x0B\f\r ]+[0-9]+)?$",
-    r"(?i)^[0-9]+\.?[\t\n\x0B\f\r ]+table of contents(?:[\t\n\x0B\f\r ]*\|.*)?$", r"(?i)^[0-9]+[\t\n\x0B\f\r ]+part[\t\n\x0B\f\r ]+[ivxlcdm]+[\t\n\x0B\f\r ]+item[\t\n\x0B\f\r ]+[0-9]+[a-z]?$",
-]
+FURNITURE = [r"^[\d\s.()-]+$", r"^[_\-=\s]{3,}$", r"(?i)^page\s+\d+(?:\s+of\s+\d+)?$", r"(?i)^\d+\.?\s+table of contents(?:\s*\|.*)?$", r"(?i)^\d+\s+part\s+[ivxlcdm]+\s+item\s+\d+[a-z]?$"]
 #: Signals of a document's type, and the types in the order in which they are tried.
 SIGNALS = {
     "cap_table_terms": r"\b(cap table|capitalization table|fully diluted|shares outstanding|ownership percentage)\b",
@@ -150,14 +147,14 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 def classified(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_type, confidence, signals) from the patterns above, in title and body."""
     low = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
-    shown = docs.select("doc_id", low.alias("_low"), F.array_compact(F.array(*(F.when(F.rlike(low, F.lit(p)), F.lit(s)) for s, p in SIGNALS.items()))).alias("signals"))
+    shown = docs.select("doc_id", low.alias("_low"), F.array_compact(F.array(*(F.when(F.rlike(low, F.lit(bounded(p))), F.lit(s)) for s, p in SIGNALS.items()))).alias("signals"))
     kind = None
     for name, signal, pattern in TYPES:
         test = F.lit(True)
         if signal:
             test = test & F.array_contains("signals", signal)
         if pattern:
-            test = test & F.rlike(F.col("_low"), F.lit(pattern))
+            test = test & F.rlike(F.col("_low"), F.lit(bounded(pattern)))
         kind = F.when(test, name) if kind is None else kind.when(test, name)
     out = shown.withColumn("doc_type", kind.otherwise("generic_document"))
     sure = F.when(F.col("doc_type") == "generic_document", F.lit(0.45)).otherwise(F.least(F.lit(0.95), F.lit(0.65) + F.size("signals") * F.lit(0.06)))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bounded
+
 #: Words without weight in questions, and capitalised words that name nothing.
 QUESTION_STOP_WORDS = "a about an and are as at be by can does for from how i in is it of on or our should that the their this to what when where which who why with".split()
 NO_ENTITIES = "A An And Are Can Does For From How In Is It Of On Or Our Should That The This To What When Where Which Who Why With".split()
@@ -33,7 +35,7 @@ MOST_KEYWORDS = 8
 
 
 def matches(text: Column, pattern: str) -> Column:
-    return F.rlike(text, F.lit("(?i)" + pattern))
+    return F.rlike(text, F.lit("(?i)" + bounded(pattern)))
 
 
 def _distinct_by_case(found: Column) -> Column:
@@ -44,8 +46,8 @@ def _distinct_by_case(found: Column) -> Column:
 def low_level_keywords(question: Column) -> Column:
     """Quoted phrases, capitalised runs and identifiers."""
     quoted = F.regexp_extract_all(question, F.lit('"([^"]{2,80})"'), F.lit(1))
-    names = F.regexp_extract_all(question, F.lit(r"(\b[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*){0,4}\b)"), F.lit(1))
-    ids = F.regexp_extract_all(question, F.lit(r"(\b[A-Za-z]+[-_][A-Za-z0-9_-]+|\b[A-Z]{2,}\b|\b[A-Za-z]*\d[A-Za-z0-9._-]*\b)"), F.lit(1))
+    names = F.regexp_extract_all(question, F.lit(bounded(r"(\b[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*){0,4}\b)")), F.lit(1))
+    ids = F.regexp_extract_all(question, F.lit(bounded(r"(\b[A-Za-z]+[-_][A-Za-z0-9_-]+|\b[A-Z]{2,}\b|\b[A-Za-z]*\d[A-Za-z0-9._-]*\b)")), F.lit(1))
     kept = F.filter(F.concat(quoted, names, ids), lambda t: (F.length(F.trim(t)) > 1) & ~F.trim(t).isin(NO_ENTITIES))
     return F.slice(_distinct_by_case(F.transform(kept, lambda t: F.trim(t))), 1, MOST_KEYWORDS)
 

@@ -62,10 +62,26 @@ def graph_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = retrieval.ranked(retrieval.keyword_scores(frames.chunks(spark, sf_dir), requests), 10)
     places = frames.entities(spark, sf_dir).where("kind in ('nation', 'region')")
     links = frames.edges(spark, sf_dir).where("kind = 'registered_in'")
-    reached = graph.graph_candidates(graph.entity_matches(places, requests), links, frames.entity_chunks(spark, sf_dir))
+    second = frames.chunks(spark, sf_dir).where("chunk_index = 1").select(F.concat(F.lit("nation:"), (F.col("doc_id") % 25).cast("string")).alias("source"), "chunk_id")
+    walked = second.join(links.where("source like 'nation:%'"), "source").select("source", "target", "kind", "chunk_id")
+    reached = graph.graph_candidates(graph.entity_matches(places, requests), links, frames.entity_chunks(spark, sf_dir), relation_evidence=walked, most=7)
     return graph.with_graph(base, reached, 20)
 
 
+def graph_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every region and every twentieth customer, three hops of at most 40 visits in all, with the edges on the way."""
+    seeds = frames.entities(spark, sf_dir).where("kind = 'region' or (kind = 'customer' and try_element_at(split(entity_id, ':'), 2) % 20 = 0)").select(F.col("entity_id").alias("node"))
+    rows = graph.bounded_walk(seeds, frames.edges(spark, sf_dir), 3, 8, 40)
+    told = F.array_join(F.transform("path", lambda e: F.concat_ws(":", e["depth"].cast("string"), e["kind"], e["source"], e["target"])), "|")
+    return rows.select("seed", "node", "depth", "place", told.alias("path"))
+
+
+def graph_walk_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers along outgoing edges of one kind: where they are registered, and what that is registered in."""
+    seeds = frames.entities(spark, sf_dir).where("kind = 'supplier'").select(F.col("entity_id").alias("node"))
+    return graph.bounded_walk(seeds, frames.edges(spark, sf_dir), 2, 3, 3, ["registered_in"], "outgoing").select("seed", "node", "depth", "place")
+
+
 def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is registered in each nation, the first five."""
     nations = frames.table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"))
@@ -80,19 +96,40 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.page_after(orders, (datetime(1995, 6, 1), 100), 50)
 
 
-QUERIES = {f.__name__: f for f in (graph_entity_match, graph_augmented, graph_relations, graph_one_hop, graph_degrees, graph_bfs2, entity_resolution, fuzzy_pairs, graph_integrity, graph_recall, keyset_page)}
+QUERIES = {f.__name__: f for f in (graph_entity_match, graph_augmented, graph_walk, graph_walk_outgoing, graph_relations, graph_one_hop, graph_degrees, graph_bfs2, entity_resolution, fuzzy_pairs, graph_integrity, graph_recall, keyset_page)}
 
 _NAMED = frames.NORMAL_NAME
 _KEYWORD = search_queries._KEYWORD.replace(frames.QUERY_ROWS, f"requests(query_id, query) as (values {frames._values(PLACES)})")
+
+
+def _walk_sql(seeds: str, where: str, depth: int, limit: int, most: int) -> str:
+    """The levels of a walk, one after another: v<d> holds all visits up to depth d."""
+    parts = [
+        f"walk_steps as (select node, other, kind, direction, row_number() over (partition by node order by kind, other, direction) as n from both_ways where {where} qualify n <= {limit})",
+        f"v0 as (select distinct node as seed, node, 0 as depth, 1 as place, '' as path, null::varchar as s, null::varchar as t, null::varchar as k from ({seeds}))",
+    ]
+    for d in range(1, depth + 1):
+        parts.append(
+            f"""m{d} as (select v.seed, st.other as node, v.place, st.n, v.path || case when v.path = '' then '' else '|' end || '{d}:' || st.kind || ':' || case when direction = 'outgoing' then v.node || ':' || st.other else st.other || ':' || v.node end as path,
+              case when direction = 'outgoing' then v.node else st.other end as s, case when direction = 'outgoing' then st.other else v.node end as t, st.kind as k from v{d - 1} v join walk_steps st on st.node = v.node where v.depth = {d - 1}
+              qualify row_number() over (partition by v.seed, st.other order by v.place, st.n) = 1),
+            f{d} as (select *, row_number() over (partition by seed order by place, n) + (select count(*) from v{d - 1} v where v.seed = m{d}.seed) as pl from m{d} where not exists (select 1 from v{d - 1} v where v.seed = m{d}.seed and v.node = m{d}.node)),
+            v{d} as (select * from v{d - 1} union all select seed, node, {d}, pl::int, path, s, t, k from f{d} where pl <= {most})"""
+        )
+    return ", ".join(parts)
+
+
 ORACLES = {
+    "graph_walk": f"with {frames.ENTITIES}, {frames.EDGES}, {frames.BOTH_WAYS}, {_walk_sql("select entity_id as node from entities where kind = 'region' or (kind = 'customer' and split_part(entity_id, ':', 2)::bigint % 20 = 0)", 'true', 3, 8, 40)} select seed, node, depth, place, path from v3",
+    "graph_walk_outgoing": f"with {frames.ENTITIES}, {frames.EDGES}, {frames.BOTH_WAYS}, {_walk_sql("select entity_id as node from entities where kind = 'supplier'", "kind = 'registered_in' and direction = 'outgoing'", 2, 3, 3)} select seed, node, depth, place from v2",
     "graph_augmented": f"""with {_KEYWORD}, {frames.ENTITIES}, {frames.EDGES}, {frames.BOTH_WAYS}, {frames.ENTITY_CHUNKS},
         share as (select query_id, entity_id, floor(count(*)::double / len(any_value(terms)) * 1000 + 0.5) / 1000 as score from (select a.query_id, a.terms, w.term, e.entity_id from asked a join wanted w using (query_id) join entities e on e.kind in ('nation', 'region') and contains(lower(e.name), w.term)) group by all),
         matched as (select * from share qualify row_number() over (partition by query_id order by score desc, entity_id) <= 4),
-        steps as (select distinct node, other from (select * from both_ways where kind = 'registered_in' qualify row_number() over (partition by node order by kind, other, direction) <= 8)),
-        d0 as (select distinct entity_id as seed, entity_id as node, 0 as depth from matched), d1 as (select distinct seed, other as node, 1 as depth from d0 join steps using (node) where other <> seed),
-        d2 as (select distinct d1.seed, s.other as node, 2 as depth from d1 join steps s using (node) where s.other <> d1.seed and not exists (select 1 from d1 x where x.seed = d1.seed and x.node = s.other)),
-        walk as (select m.query_id, w.node as entity_id, case when depth = 0 then score else greatest(0.05, score * pow(0.75, depth)) end as score, depth from matched m join (select * from d0 union all select * from d1 union all select * from d2) w on w.seed = m.entity_id),
-        g as (select query_id, chunk_id, floor(max(score) * 1e6 + 0.5) / 1e6 as score from walk join entity_chunks using (entity_id) group by all),
+        {_walk_sql("select entity_id as node from matched", "kind = 'registered_in'", 2, 8, 7)},
+        walk as (select m.query_id, w.node as entity_id, case when depth = 0 then score else greatest(0.05, score * pow(0.75, depth)) end as score, depth, s, t from matched m join v2 w on w.seed = m.entity_id),
+        edge_chunks as (select 'nation:' || doc_id % 25 as s, chunk_id from chunks where chunk_index = 1),
+        both_kinds as (select query_id, chunk_id, score from walk join entity_chunks using (entity_id) union all select query_id, chunk_id, score from walk join edge_chunks using (s) where depth > 0),
+        g as (select query_id, chunk_id, floor(max(score) * 1e6 + 0.5) / 1e6 as score from both_kinds group by all),
         u as (select query_id, chunk_id, score, 0 as p from ranked where rank <= 10 union all select query_id, chunk_id, score, 1 from g),
         m as (select query_id, chunk_id, max(score) as score, case when max(p) = 0 then 'base' when min(p) = 0 then 'both' else 'graph' end as origin from u group by all)
         select query_id, chunk_id, score, origin, (row_number() over (partition by query_id order by score desc, chunk_id))::int as rank from m qualify rank <= 20""",

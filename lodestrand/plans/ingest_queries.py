@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import half_up, redacted, safety_flags
+from ..functions.text import REDACTIONS, half_up, redacted, safety_flags
 from ..operators import ingest
 from . import frames
 
@@ -45,7 +45,8 @@ def safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, n = redacted(F.coalesce("text", F.lit("")), ["email", "phone"])
+    """All five classes, in order."""
+    out, n = redacted(F.coalesce("text", F.lit("")))
     return frames.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode(out, "UTF-8"), 256).alias("redacted_sha256"), n.alias("n_redacted"))
 
 
@@ -85,7 +86,16 @@ _FLAGS = r"""array_to_string(list_filter([
     case when regexp_matches(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}') then 'sensitive_personal_data' end], lambda x: x is not null), ',')"""
 _SIGNALS = ", ".join(f"case when regexp_matches(low, '{p}') then '{s}' end" for s, p in ingest.SIGNALS.items())
 _TYPES = " ".join("when " + " and ".join(([f"list_contains(s, '{g}')"] if g else []) + ([f"regexp_matches(low, '{p}')"] if p else [])) + f" then '{n}'" for n, g, p in ingest.TYPES)
-_EMAIL, _PHONE = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", r"\+?[0-9][0-9 .()-]{7,}[0-9]"
+
+
+def _redaction_sql() -> str:
+    """One common table expression a class: the text so far and how many matches there were."""
+    steps, last = ["r0 as (select doc_id, coalesce(text, '') as t, 0 as n from documents)"], "r0"
+    for k, (name, pattern) in enumerate(REDACTIONS, 1):
+        steps.append(f"r{k} as (select doc_id, regexp_replace(t, '{pattern}', '[REDACTED:{name}]', 'g') as t, n + len(regexp_extract_all(t, '{pattern}')) as n from {last})")
+        last = f"r{k}"
+    return f"with {', '.join(steps)} select doc_id, sha256(t) as redacted_sha256, n::bigint as n_redacted from {last}"
+
 
 ORACLES = {
     "char_chunks": f'with {frames.CHUNKS} select doc_id, chunk_index, "start"::int as "start", "end"::int as "end", text_hash, chunk_id from chunks',
@@ -98,8 +108,7 @@ ORACLES = {
         select doc_id, count(*) filter (length(trim(t)) < 120 and (s = '' or regexp_matches(s, '^[0-9\t\n\x0B\f\r .()-]+$') or regexp_matches(s, '^[_\-=\t\n\x0B\f\r ]{3,}$') or regexp_matches(s, '(?i)^page[\t\n\r ]+[0-9]+(?:[\t\n\r ]+of[\t\n\r ]+[0-9]+)?$')
             or regexp_matches(s, '(?i)^[0-9]+\.?[\t\n\r ]+table of contents(?:[\t\n\r ]*\|.*)?$') or regexp_matches(s, '(?i)^[0-9]+[\t\n\r ]+part[\t\n\r ]+[ivxlcdm]+[\t\n\r ]+item[\t\n\r ]+[0-9]+[a-z]?$'))) as n_furniture, count(*) as n_lines from f group by doc_id""",
     "safety": f"with {frames.CHUNKS} select chunk_id, {_FLAGS} as flags from chunks",
-    "redact_pii": f"""with a as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '{_EMAIL}', '[REDACTED:email]', 'g') as e from documents)
-        select doc_id, sha256(regexp_replace(e, '{_PHONE}', '[REDACTED:phone]', 'g')) as redacted_sha256, (len(regexp_extract_all(t, '{_EMAIL}')) + len(regexp_extract_all(e, '{_PHONE}')))::bigint as n_redacted from a""",
+    "redact_pii": _redaction_sql(),
     "index_stats": f"with {frames.CHUNKS} select namespace, trust_tier, count(*) as n_chunks, count(distinct doc_id) as n_documents, count(distinct source_id) as n_sources, count(*) filter ({_FLAGS} <> '') as n_flagged from chunks group by all",
     "doc_classify": f"""with {frames.DOCS}, l as (select doc_id, lower(title || chr(10) || coalesce(text, '')) as low from docs), s as (select *, list_filter([{_SIGNALS}], lambda x: x is not null) as s from l), k as (select *, case {_TYPES} else 'generic_document' end as doc_type from s)
         select doc_id, doc_type, floor((case when doc_type = 'generic_document' then 0.45 else least(0.95, 0.65 + 0.06 * len(s)) end)::double * 100 + 0.5) / 100 as confidence, array_to_string(s, ',') as signals from k""",

@@ -65,16 +65,18 @@ def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.rate_limited(frames.table(spark, sf_dir, "events"), "event_type", "ts", 3600, 3)
 
 
+#: Judged for a query vector: those whose ids lie so near to its own and that have its label.
+NEAR = 200
+
+
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact neighbours against equal labels, for every query vector (id divisible by 20)."""
+    """Exact neighbours against judged vectors of the same label, for every query vector (id divisible by 20)."""
     vectors = frames.table(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 20 = 0")
     found = retrieval.vector_topk(vectors, queries).withColumnRenamed("vec_id", "item_id")
-    judged = found.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id").join(vectors.select(F.col("vec_id").alias("item_id"), "label"), "item_id")
-    sizes = vectors.groupBy("label").agg(F.count("*").alias("n"))
-    hits = judged.where("want = label").groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
-    rows = queries.select(F.col("vec_id").alias("query_id"), "label").join(F.broadcast(sizes), "label").join(hits, "query_id", "left")
-    return rows.select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.coalesce("first", F.lit(0)).alias("first_hit"), F.col("n").alias("n_relevant"))
+    near = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"), F.explode(F.sequence(F.col("vec_id") - NEAR, F.col("vec_id") + NEAR)).alias("item_id"))
+    judged = near.join(vectors.select(F.col("vec_id").alias("item_id"), "label"), "item_id").where("want = label").select("query_id", "item_id")
+    return evaluation.ir_metrics(found, judged, 10)
 
 
 def latency_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +140,9 @@ ORACLES = {
     "generation_inventory": f"with {frames.CHUNKS} select tenant, namespace, 'v1' as config_hash, count(*) as n_vectors, count(distinct doc_id) as n_documents from chunks where chunk_index = 0 group by all",
     "backfill_batches": f"with {frames.DOCS}, s as (select distinct tenant, source_id from docs) select tenant, source_id, ((row_number() over (partition by tenant order by source_id) - 1) // 4)::int as batch from s",
     "rate_limits": "with c as (select event_type, make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) as window_start, count(*) as n from events group by all) select event_type, window_start, least(n, 3) as n_passed, greatest(n - 3, 0) as n_refused from c",
-    "ir_metrics": """with pairs as (select q.vec_id as query_id, q.label as want, v.label, row_number() over (partition by q.vec_id order by floor(list_cosine_similarity(q.embedding::double[], v.embedding::double[]) * 1e6 + 0.5) / 1e6 desc, v.vec_id) as rank from embeddings q, embeddings v where q.vec_id % 20 = 0)
-        select query_id, count(*) filter (want = label and rank <= 10) as hits, coalesce(min(rank) filter (want = label and rank <= 10), 0)::int as first_hit, count(*) filter (want = label) as n_relevant from pairs group by 1""",
+    "ir_metrics": f"""with pairs as (select q.vec_id as query_id, q.label as want, v.vec_id as item_id, v.label, row_number() over (partition by q.vec_id order by floor(list_cosine_similarity(q.embedding::double[], v.embedding::double[]) * 1e6 + 0.5) / 1e6 desc, v.vec_id) as rank from embeddings q, embeddings v where q.vec_id % 20 = 0),
+        m as (select query_id, count(*) filter (judged) as n, count(*) filter (judged and rank <= 10) as hits, min(rank) filter (judged and rank <= 10) as first from (select *, want = label and abs(item_id - query_id) <= {NEAR} as judged from pairs) group by 1)
+        select query_id, floor(hits::double / least(n, 10) * 1e6 + 0.5) / 1e6 as recall, floor(hits::double / 10 * 1e6 + 0.5) / 1e6 as precision, floor(coalesce(1.0::double / first, 0) * 1e6 + 0.5) / 1e6 as reciprocal_rank from m where n > 0""",
     "latency_snapshot": "select event_type, count(*) as n, floor(avg(value) * 1e6 + 0.5) / 1e6 as mean, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99 from events group by 1",
     "eval_regression": f"""with b as ({_MEANS("ts < timestamp '2024-01-16'")}), c as ({_MEANS("ts >= timestamp '2024-01-16'")}) select metric, b.value as baseline, c.value as current, floor((c.value - b.value) * 1e6 + 0.5) / 1e6 as delta, coalesce(floor((c.value - b.value) * 1e6 + 0.5) / 1e6 < -0.02, true) as regressed from b left join c using (metric)""",
     "slo_eval": f"""with s as ({_MEANS("true")}) select r.rule_id, s.value, case when s.value is null then case when r.required then 'failed' else 'skipped' end

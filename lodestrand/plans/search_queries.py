@@ -37,7 +37,10 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = planning.planned(frames.questions(spark))
+    """Branches of every turn of the conversations (numbered by conversation and turn; of a repeated turn the least text), and of the stated questions."""
+    turns = frames.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("question"))
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "question").unionByName(frames.questions(spark).select((-1 - F.col("query_id")).alias("query_id"), "question"))
+    plans = planning.planned(asked)
     return planning.budgeted(planning.branches(plans).join(plans.select("query_id", "route"), "query_id"), F.col("route")).select("query_id", "branch", "kind", "query", "weight", "top_k", "pool")
 
 
@@ -218,7 +221,7 @@ _BLOCKS = f"""pool as (select r.query_id, r.chunk_id, c.text, r.rank, floor((r.s
             len(list_filter(w.sets, lambda s: len(list_intersect(p.own, s)) >= 0.9 * len(list_distinct(list_concat(p.own, s))))) = 0 as fresh from walk w join placed p on p.query_id = w.query_id and p.place = w.place + 1)))"""
 
 ORACLES = {
-    "planned_queries": f"with {frames.QUESTION_ROWS}, asked_q as (select query_id as key, question as q from questions), {_PLANS}, {_BRANCHES} select *, least(greatest(top_k * 4, 20), 5000)::int as pool from branches",
+    "planned_queries": f"with {frames.QUESTION_ROWS}, asked_q as (select -1 - query_id as key, question as q from questions union all select conv_id * 1000 + turn, min(coalesce(text, '')) from conversations group by conv_id, turn), {_PLANS}, {_BRANCHES} select *, least(greatest(top_k * 4, 20), 5000)::int as pool from branches",
     "intent_classify": f"""with {frames.QUESTION_ROWS}, asked_q as (select -1::bigint as conv_id, query_id as turn, question as q from questions union all select conv_id, turn, coalesce(text, '') from conversations), {_PLANS}
         select conv_id, turn, coalesce(intents[1], 'general') as intent, route, direction, case when len(hints) = 0 then 'docs' else array_to_string(hints, ',') end as source_hints,
           floor((case when len(intents) = 0 then 0.35 else least(0.95, 0.6 + 0.1 * len(intents)) end)::double * 100 + 0.5) / 100 as confidence from plans""",
