@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS, half_up, safety_flags, terms
 from ..functions.vectors import hashed_embedding, max_sim
 from ..operators import access, context, planning, retrieval
+from ..sources.tables import staged
 from . import frames
 from .ingest_queries import _FLAGS
 
@@ -51,8 +52,13 @@ def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.select("conv_id", "turn", "intent", "route", "direction", F.array_join("source_hints", ",").alias("source_hints"), half_up(F.col("confidence"), 2).alias("confidence"))
 
 
-def _keyword(spark, sf_dir, k):
-    chunks = frames.chunks(spark, sf_dir)
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table, written once for a query's passes over it."""
+    return staged(frames.chunks(spark, sf_dir), "chunks")
+
+
+def _keyword(spark, sf_dir, k, chunks=None):
+    chunks = _chunks(spark, sf_dir) if chunks is None else chunks
     return retrieval.ranked(retrieval.keyword_scores(chunks, retrieval.requests_of(frames.requests(spark))), k)
 
 
@@ -61,12 +67,12 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.bm25(frames.chunks(spark, sf_dir), retrieval.requests_of(frames.requests(spark)))
+    found = retrieval.bm25(_chunks(spark, sf_dir), retrieval.requests_of(frames.requests(spark)))
     return retrieval.ranked(found, 10).select("query_id", "chunk_id", "score", "rank")
 
 
 def neighbour_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = retrieval.keyword_scores(frames.chunks(spark, sf_dir), retrieval.requests_of(frames.requests(spark)))
+    scored = retrieval.keyword_scores(_chunks(spark, sf_dir), retrieval.requests_of(frames.requests(spark)))
     return retrieval.ranked(retrieval.neighbour_boost(scored), 20).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -97,7 +103,7 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark, sf_dir):
-    chunks = frames.chunks(spark, sf_dir)
+    chunks = _chunks(spark, sf_dir)
     requests = retrieval.requests_of(frames.requests(spark))
     words = retrieval.ranked(retrieval.keyword_scores(chunks, requests), 80)
     vectors = retrieval.ranked(retrieval.hashed_vector_scores(chunks, requests), 80)
@@ -115,7 +121,7 @@ def planned_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions' planned branches, each searched with its own top_k, and fused by their weights."""
     plans = planning.planned(frames.questions(spark))
     branches = planning.budgeted(planning.branches(plans).join(plans.select("query_id", "route"), "query_id"), F.col("route"))
-    return retrieval.planned_retrieval(frames.chunks(spark, sf_dir), branches).select("query_id", "chunk_id", "score", "rank")
+    return retrieval.planned_retrieval(_chunks(spark, sf_dir), branches).select("query_id", "chunk_id", "score", "rank")
 
 
 def score_norm_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +130,8 @@ def score_norm_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connected_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.connected(_keyword(spark, sf_dir, 10), frames.chunks(spark, sf_dir))
+    chunks = _chunks(spark, sf_dir)
+    found = retrieval.connected(_keyword(spark, sf_dir, 10, chunks), chunks)
     return found.select("query_id", "doc_id", "chunk_index", "score", "origin")
 
 
