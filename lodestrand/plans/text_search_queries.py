@@ -12,11 +12,11 @@ from . import frames
 
 #: Stated full-text requests: words, phrases, alternatives, exclusions; stop words alone find nothing.
 SEARCHES = [(0, "thand hation"), (1, '"la question"'), (2, "entre deux or schichte"), (3, "note contact -password"), (4, "of the"), (5, '"und der" und los'), (6, "token -note"), (7, "threst or the or ciones para")]
-FIELDS = {"title": F.col("title"), "citation": F.concat_ws(" ", F.lit("source"), "source_id", "namespace"), "body": F.col("text")}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> postings.Index:
-    return postings.built(frames.chunks(spark, sf_dir), FIELDS)
+    fields = {"title": F.col("title"), "citation": F.concat_ws(" ", F.lit("source"), "source_id", "namespace"), "body": F.col("text")}
+    return postings.built(frames.chunks(spark, sf_dir), fields)
 
 
 def _best(found: DataFrame) -> DataFrame:
