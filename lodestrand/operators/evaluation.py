@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up
+from ..sources.tables import staged
 
 
 def ir_metrics(results: DataFrame, relevant: DataFrame, k: int, item: str = "item_id") -> DataFrame:
@@ -17,10 +18,32 @@ def ir_metrics(results: DataFrame, relevant: DataFrame, k: int, item: str = "ite
     return rows.select("query_id", half_up(F.col("hits") / F.least(F.col("n"), F.lit(k)), 6).alias("recall"), half_up(F.col("hits") / F.lit(k), 6).alias("precision"), half_up(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
-def snapshot(cases: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Counts, mean and the p50, p95 and p99 (discrete) of a value."""
-    pct = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
-    return cases.groupBy(*by).agg(F.count("*").alias("n"), half_up(F.avg(value), 6).alias("mean"), pct(0.5).alias("p50"), pct(0.95).alias("p95"), pct(0.99).alias("p99"))
+def ranked_values(cases: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, rank, n): every value that is not null with its 1-based place in its group and the group's size.
+
+    Values are dealt by ranges of (group, value) and sorted there; places within a
+    range and the counts of the ranges before it make the rank. A group that holds
+    most rows is many ranges, and no task holds a group's values.
+    """
+    at = F.monotonically_increasing_id()
+    rows = cases.where(F.col(value).isNotNull()).select(*(F.col(c).alias(c) for c in by), F.col(value).alias("value"))
+    n = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *by, "value").sortWithinPartitions(*by, "value")
+    held = staged(dealt.withColumn("_part", F.shiftright(at, 33).cast("int")).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1))), "ranked-values")
+    counts = held.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", *by, (before - F.col("_first") + 1).alias("_offset"), F.sum("_n").over(group).alias("n"))
+    return held.join(offsets, ["_part", *by]).select(*by, "value", (F.col("_at") + F.col("_offset")).alias("rank"), "n")
+
+
+def snapshot(cases: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Counts, mean and the p50, p95 and p99 (discrete) of a value; `by` without nulls."""
+    means = cases.groupBy(*by).agg(F.count("*").alias("n"), half_up(F.avg(value), 6).alias("mean"))
+    # The place of a discrete percentile, at least the first.
+    place = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * p - 1e-9))
+    at = ranked_values(cases, by, value).groupBy(*by).agg(*(F.max(F.when(F.col("rank") == place(p), F.col("value"))).alias(f"p{round(100 * p)}") for p in shares))
+    return means.join(at, by, "left")
 
 
 def regressions(baseline: DataFrame, current: DataFrame, most_drop: float = 0.02, on: str = "metric") -> DataFrame:

@@ -1,7 +1,8 @@
 """Changes over time: source sync, idempotent events, candidate queues, claims, deletes, generations.
 
-Keyed steps are aggregates with partial sums or joins, never a window over a
-key, so a key with a third of all rows does not land in one task.
+Keyed steps are aggregates with partial sums, never a window over a key. Where
+rows meet their key's aggregate, that is copied over salts and the rows are dealt
+over them (`met`), so a key with a third of all rows does not land in one task.
 """
 
 from __future__ import annotations
@@ -30,14 +31,30 @@ def synced(previous: DataFrame, current: DataFrame, full: bool = True) -> DataFr
     return both.select("item_id", status.alias("status"), action.alias("action"), F.when(op == "upsert", F.col("content_hash")).otherwise(F.col("old_hash")).alias("content_hash"))
 
 
+#: Tasks that the rows of one key may be dealt over.
+SALTS = 16
+
+
+def met(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """rows with their key's one row of `groups`; `by` are columns that tell the rows of a key apart."""
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
+
+
 def idempotent(events: DataFrame, key: list[str], order: list[str], payload: str = "payload_hash") -> DataFrame:
-    """events with status: the first of a key is processable; later ones are duplicates, from the first other payload on conflicts."""
-    first = events.groupBy(*key).agg(F.min(F.struct(*order, payload)).alias("_first"))
-    marked = events.join(first, key)
-    clash = marked.where(F.col(payload) != F.col("_first")[payload]).groupBy(*key).agg(F.min(F.struct(*order)).alias("_clash"))
-    out = marked.join(clash, key, "left")
-    own = F.struct(*order)
-    status = F.when(own == F.struct(*(F.col("_first")[c].alias(c) for c in order)), "processable").when(F.col("_clash").isNotNull() & (own >= F.col("_clash")), "conflict").otherwise("duplicate")
+    """events with status: the first of a key is processable; later ones are duplicates, from the first other payload on conflicts.
+
+    Each payload of a key is reduced to its first event; of these the first is the
+    key's, and the second where conflicts begin. Events meet that once.
+    """
+    named = F.struct(*order)
+    firsts = events.groupBy(*key, payload).agg(F.min(named).alias("_o"))
+    best = firsts.groupBy(*key).agg(F.min(F.struct("_o", payload)).alias("_best"))
+    others = met(firsts, best, key, [payload]).where(F.col(payload) != F.col(f"_best.{payload}")).groupBy(*key).agg(F.min("_o").alias("_clash"))
+    judged = best.join(others, key, "left").select(*key, F.col("_best._o").alias("_first"), "_clash")
+    out = met(events, judged, key, order)
+    own = F.struct(*(F.col(c) for c in order))
+    status = F.when(own == F.col("_first"), "processable").when(F.col("_clash").isNotNull() & (own >= F.col("_clash")), "conflict").otherwise("duplicate")
     return out.withColumn("status", status).drop("_first", "_clash")
 
 

@@ -272,7 +272,10 @@ def test_pairs_to_review(spark):
     e = _companies(spark, [("a", "co", "Acme Works", None, 1.0, 1, None), ("b", "co", "Acme Works Bank", None, 1.0, 1, None), ("c", "co", "acme works", None, 1.0, 1, None), ("d", "co", "Acme Works", None, 1.0, 1, None), ("e", "co", "Acme Works West", None, 1.0, 1, None), ("p", "place", "Ohio", None, 1.0, 1, None), ("q", "place", "Utah", None, 1.0, 1, None)])
     edges = spark.createDataFrame([("a", "p", "registered_in"), ("d", "q", "registered_in"), ("e", "q", "registered_in")], "source string, target string, kind string")
     got = {(r.left_id, r.right_id): (r.score, r.material, r.conflict) for r in resolution.review_pairs(e, edges).collect()}
-    assert got == {("a", "b"): (0.8, "bank", False), ("a", "c"): (1.0, "", False), ("a", "d"): (1.0, "", True), ("a", "e"): (0.8, "", True), ("b", "c"): (0.8, "bank", False), ("b", "d"): (0.8, "bank", False), ("c", "d"): (1.0, "", False)}
+    # A pair of names once, and each further class of a name once; the rest follows from the classes of a name.
+    assert got == {("a", "b"): (0.8, "bank", False), ("a", "c"): (1.0, "", False), ("a", "d"): (1.0, "", True), ("a", "e"): (0.8, "", True)}
+    classes = {r.entity_id: (r.class_id, r.name_id) for r in resolution.review_classes(e, edges).collect() if r.entity_id < "p"}
+    assert classes == {"a": ("a", "a"), "b": ("b", "b"), "c": ("c", "a"), "d": ("d", "a"), "e": ("e", "e")}
 
 
 def test_normal_names(spark):
