@@ -1,8 +1,9 @@
 """Changes over time: source sync, idempotent events, candidate queues, claims, deletes, generations.
 
-Keyed steps are aggregates with partial sums, never a window over a key. Where
-rows meet their key's aggregate, that is copied over salts and the rows are dealt
-over them (`met`), so a key with a third of all rows does not land in one task.
+Keyed steps are aggregates with partial sums, or windows that keep a fixed number
+of a key's rows, which Spark prunes before it shuffles. Where rows meet their
+key's aggregate, that is copied over salts and the rows are dealt over them
+(`met`), so a key with a third of all rows does not land in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 
 def synced(previous: DataFrame, current: DataFrame, full: bool = True) -> DataFrame:
     """(item_id, status, action): the ledger after a run.
@@ -31,14 +34,27 @@ def synced(previous: DataFrame, current: DataFrame, full: bool = True) -> DataFr
     return both.select("item_id", status.alias("status"), action.alias("action"), F.when(op == "upsert", F.col("content_hash")).otherwise(F.col("old_hash")).alias("content_hash"))
 
 
-#: Tasks that the rows of one key may be dealt over.
-SALTS = 16
+#: Tasks that the rows of one key may be dealt over, and how many rows a key has to have for it where they were counted.
+SALTS, HOT = 16, 100_000
+
 
+def met(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str], size: str | None = None) -> DataFrame:
+    """rows with their key's one row of `groups`; `by` are columns that tell the rows of a key apart.
 
-def met(rows: DataFrame, groups: DataFrame, on: list[str], by: list[str]) -> DataFrame:
-    """rows with their key's one row of `groups`; `by` are columns that tell the rows of a key apart."""
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
+    `size` names the column of groups (a written table, which is read twice) that
+    counts a key's rows: only keys of more than HOT are copied then, of which
+    there is at most one in HOT rows, so these alone may be broadcast. The copies
+    never are: Spark takes their size for that of the groups.
+    """
+    dealt = F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    if size is not None:
+        hot = groups.where(F.col(size) > HOT).select(*on, F.lit(True).alias("_hot"))
+        rows, dealt = rows.join(F.broadcast(hot), on, "left"), F.when(F.col("_hot"), dealt).otherwise(0)
+        salts = F.when(F.col(size) > HOT, salts).otherwise(F.array(F.lit(0)))
+        groups, salts = groups.withColumn("_salts", salts).drop(size), F.col("_salts")
+    salted = groups.withColumn("_salt", F.explode(salts)).drop("_salts")
+    return rows.withColumn("_salt", dealt).drop("_hot").join(salted.hint("merge"), [*on, "_salt"]).drop("_salt")
 
 
 def idempotent(events: DataFrame, key: list[str], order: list[str], payload: str = "payload_hash") -> DataFrame:
@@ -47,12 +63,12 @@ def idempotent(events: DataFrame, key: list[str], order: list[str], payload: str
     Each payload of a key is reduced to its first event; of these the first is the
     key's, and the second where conflicts begin. Events meet that once.
     """
-    named = F.struct(*order)
-    firsts = events.groupBy(*key, payload).agg(F.min(named).alias("_o"))
-    best = firsts.groupBy(*key).agg(F.min(F.struct("_o", payload)).alias("_best"))
-    others = met(firsts, best, key, [payload]).where(F.col(payload) != F.col(f"_best.{payload}")).groupBy(*key).agg(F.min("_o").alias("_clash"))
-    judged = best.join(others, key, "left").select(*key, F.col("_best._o").alias("_first"), "_clash")
-    out = met(events, judged, key, order)
+    firsts = events.groupBy(*key, payload).agg(F.min(F.struct(*order)).alias("_o"), F.count("*").alias("_n"))
+    two = firsts.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("_o"))).where("_at <= 2")
+    ends = two.groupBy(*key).agg(F.min("_o").alias("_first"), F.max(F.when(F.col("_at") == 2, F.col("_o"))).alias("_clash"))
+    sizes = firsts.groupBy(*key).agg(F.sum("_n").alias("_size"))
+    judged = staged(ends.join(sizes.hint("merge"), key), "judged-keys")
+    out = met(events, judged, key, order, "_size")
     own = F.struct(*(F.col(c) for c in order))
     status = F.when(own == F.col("_first"), "processable").when(F.col("_clash").isNotNull() & (own >= F.col("_clash")), "conflict").otherwise("duplicate")
     return out.withColumn("status", status).drop("_first", "_clash")

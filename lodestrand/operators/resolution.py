@@ -49,9 +49,9 @@ def registered_targets(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _spread(members: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-    """Members with their group's row, dealt over salts."""
+    """Members with their group's row, dealt over salts. The copies are never broadcast: Spark takes their size for that of the groups."""
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return members.withColumn("_salt", F.pmod(F.xxhash64("entity_id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
+    return members.withColumn("_salt", F.pmod(F.xxhash64("entity_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*on, "_salt"]).drop("_salt")
 
 
 def _merged(members: DataFrame, on: list[str]) -> DataFrame:

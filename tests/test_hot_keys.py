@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestrand.operators import evaluation, incremental
+from lodestrand.operators import evaluation, incremental, resolution
 
 
 def test_idempotency_of_a_hot_key(spark):
@@ -35,3 +35,15 @@ def test_percentiles_of_a_hot_group(spark):
     assert (got["few"].n, got["few"].p50, got["few"].p99) == (3, 1.0, 3.0) and got["one"].p50 == 7.0 and got["none"].p50 is None
     ranked = evaluation.ranked_values(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").where("g = 'hot'").collect()
     assert sorted(x["rank"] for x in ranked) == list(range(1, 4001)) and [x.value for x in sorted(ranked, key=lambda x: x["rank"])] == hot
+
+
+def test_salted_copies_are_never_broadcast(spark, monkeypatch):
+    events = spark.range(3000).selectExpr("if(id < 900, 'hot', 'k' || id) as k", "id as t", "if(id % 7 = 5, 'b', 'a') as payload_hash")
+    groups = events.groupBy("k").agg(F.count("*").alias("n"))
+    for joined in (incremental.met(events, groups, ["k"], ["t"]), resolution._spread(events.selectExpr("k", "'e' || t as entity_id"), groups, ["k"])):
+        assert joined.count() == 3000 and "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    # Of counted keys only the hot ones are copied; the statuses stay the same.
+    monkeypatch.setattr(incremental, "HOT", 500)
+    assert incremental.met(events, groups, ["k"], ["t"], "n").count() == 3000
+    got = {r.t: r.status for r in incremental.idempotent(events, ["k"], ["t"]).collect()}
+    assert got == {t: "processable" if t == 0 or t >= 900 else "conflict" if t >= 5 else "duplicate" for t in range(3000)}
