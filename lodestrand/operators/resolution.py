@@ -181,3 +181,27 @@ def review_pairs(entities: DataFrame, edges: DataFrame, least: float = 0.55, ali
     near = again.select("kind", "left_id", F.col("entity_id").alias("right_id"), F.lit(1.0).alias("score"), F.lit("").alias("material"), clash(F.col("_mine"), F.col("targets")).alias("conflict"))
     out = far.unionByName(near)
     return out.where((F.col("score") >= alike) | (F.col("material") != "") | F.col("conflict"))
+
+
+def review_class_pairs(entities: DataFrame, edges: DataFrame, least: float = 0.55, alike: float = 0.82) -> DataFrame:
+    """(kind, left_id, right_id, score, material, conflict): the pairs of review_pairs between all classes, each with its own conflict.
+
+    Entities of one kind, name and set of places are one class, which its smallest
+    id stands for; copies are not expanded, and `review_classes` says who belongs
+    to one. A pair needs a score of `least`, and `alike` or a material word that
+    one name lacks or a place of the left one that the right one, registered
+    elsewhere, lacks.
+    """
+    named = active(entities).select("entity_id", "kind", normal_name(F.col("name")).alias("name")).where("name <> ''")
+    classes = named.join(registered_targets(entities, edges), "entity_id", "left").groupBy("kind", "name", "targets").agg(F.min("entity_id").alias("id"))
+    a, b = (classes.select("kind", F.col("name").alias(f"{s}_name"), F.col("targets").alias(f"{s}_targets"), F.col("id").alias(f"{s}_class")) for s in ("left", "right"))
+    differ = fuzzy_pairs(active(entities), least).join(a, ["kind", "left_name"]).join(b, ["kind", "right_name"])
+    same = a.join(b.withColumn("left_name", F.col("right_name")), ["kind", "left_name"]).where("left_class < right_class").withColumn("score", F.lit(1.0))
+    rows = differ.unionByName(same)
+    turned = F.col("left_class") > F.col("right_class")
+    x, y = F.when(turned, F.col("right_targets")).otherwise(F.col("left_targets")), F.when(turned, F.col("left_targets")).otherwise(F.col("right_targets"))
+    left, right = F.split("left_name", " "), F.split("right_name", " ")
+    extra = F.array_sort(F.filter(F.array_union(F.array_except(left, right), F.array_except(right, left)), lambda w: w.isin(QUALIFIERS)))
+    conflict = F.coalesce(F.size(F.array_except(x, y)) > 0, F.lit(False)) & x.isNotNull() & y.isNotNull()
+    out = rows.select("kind", F.least("left_class", "right_class").alias("left_id"), F.greatest("left_class", "right_class").alias("right_id"), "score", F.array_join(extra, ",").alias("material"), conflict.alias("conflict"))
+    return out.where((F.col("score") >= alike) | (F.col("material") != "") | F.col("conflict"))

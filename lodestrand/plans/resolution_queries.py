@@ -53,8 +53,13 @@ def rewired_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose names are much alike."""
-    return resolution.review_pairs(_entities(spark, sf_dir, ("part", "region")), _edges(spark, sf_dir))
+    """Classes of parts whose names are much alike; who belongs to a class says review_classes."""
+    return resolution.review_class_pairs(_entities(spark, sf_dir, ("part", "region")), _edges(spark, sf_dir))
+
+
+def review_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part and region with its class and name."""
+    return resolution.review_classes(_entities(spark, sf_dir, ("part", "region")), _edges(spark, sf_dir))
 
 
 def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.readiness(counts).withColumn("warnings", F.array_join("warnings", ",")).fillna("", ["post_status"])
 
 
-QUERIES = {f.__name__: f for f in (identifier_resolution, full_resolution, rewired_edges, review_pairs, page_audit, readiness)}
+QUERIES = {f.__name__: f for f in (identifier_resolution, full_resolution, rewired_edges, review_pairs, review_classes, page_audit, readiness)}
 
 _ENTITIES = f"""ents as (select *, {frames.NORMAL_NAME} as norm from (
     select 'customer:' || c_custkey as entity_id, 'customer' as kind, c_mktsegment || ' ' || c_custkey % 50 || case c_custkey % 3 when 0 then ', Inc.' when 1 then ' Global' else '' end as name, case when c_custkey % 5 < 2 then '00' || c_nationkey || c_custkey % 3 end as cik,
@@ -107,14 +112,13 @@ ORACLES = {
         two as (select entity_id, first_value(entity_id) over w as canonical_id from rest left join at2 using (entity_id) window w as (partition by kind, norm, coalesce(places, '') order by confidence desc, n desc, entity_id) qualify count(*) over (partition by kind, norm, coalesce(places, '')) > 1)
         select e.entity_id, coalesce(two.canonical_id, one.canonical_id, e.entity_id) as canonical_id, case when one.canonical_id is not null then 'identifier' when two.canonical_id is not null then 'name' else 'none' end as merged_by
         from ents e left join one using (entity_id) left join two on two.entity_id = coalesce(one.canonical_id, e.entity_id)""",
-    "review_pairs": f"""with recursive {_ENTITIES}, c as (select kind, norm, places, min(entity_id) as id, string_split(norm, ' ') as t, case when places is not null then string_split(places, '|') end as ps from ents left join reg using (entity_id) where kind in ('part', 'region') and norm <> '' group by kind, norm, places),
-        heads as (select kind, norm, any_value(t) as t, min(id) as id from c group by all),
-        clashes as (select distinct a.kind, a.norm as x, b.norm as y from c a join c b on a.kind = b.kind and len(list_filter(a.ps, lambda v: not list_contains(b.ps, v))) > 0),
-        p as (select a.kind, a.id as left_id, b.id as right_id, a.norm as x, b.norm as y, len(list_intersect(a.t, b.t)) as both_n, len(a.t) as na, len(b.t) as nb, k.x is not null as conflict,
-          list_sort(list_filter(list_distinct(list_concat(a.t, b.t)), lambda w: (list_contains(a.t, w) <> list_contains(b.t, w)) and list_contains({resolution.QUALIFIERS!r}, w))) as extra from heads a join heads b on a.kind = b.kind and a.id < b.id left join clashes k on k.kind = a.kind and k.x = a.norm and k.y = b.norm),
-        s as (select *, floor(greatest(both_n::double / (na + nb - both_n), both_n::double / least(na, nb) * 0.72::double + case when starts_with(x, y || ' ') or starts_with(y, x || ' ') then 0.08::double else 0.0::double end) * 1000 + 0.5) / 1000 as score from p)
-        select kind, left_id, right_id, score, array_to_string(extra, ',') as material, conflict from s where score >= 0.55 and (score >= 0.82 or len(extra) > 0 or conflict)
-        union all select c.kind, f.id, c.id, 1.0::double, '', coalesce(len(list_filter(m.ps, lambda v: not list_contains(c.ps, v))) > 0, false) from c join heads f on f.kind = c.kind and f.norm = c.norm and f.id <> c.id join c m on m.id = f.id""",
+    "review_pairs": f"""with recursive {_ENTITIES}, c as (select kind, norm, places, min(entity_id) as id, string_split(norm, ' ') as t from ents left join reg using (entity_id) where kind in ('part', 'region') group by kind, norm, places),
+        p as (select a.kind, a.id as left_id, b.id as right_id, a.norm as x, b.norm as y, len(list_intersect(a.t, b.t)) as both_n, len(a.t) as na, len(b.t) as nb, coalesce(len(list_filter(string_split(a.places, '|'), lambda v: not list_contains(string_split(b.places, '|'), v))) > 0, false) as conflict,
+          list_sort(list_filter(list_distinct(list_concat(a.t, b.t)), lambda w: (list_contains(a.t, w) <> list_contains(b.t, w)) and list_contains({resolution.QUALIFIERS!r}, w))) as extra from c a join c b on a.kind = b.kind and a.id < b.id),
+        s as (select *, case when x = y then 1.0::double else floor(greatest(both_n::double / (na + nb - both_n), both_n::double / least(na, nb) * 0.72::double + case when starts_with(x, y || ' ') or starts_with(y, x || ' ') then 0.08::double else 0.0::double end) * 1000 + 0.5) / 1000 end as score from p)
+        select kind, left_id, right_id, score, array_to_string(extra, ',') as material, conflict from s where score >= 0.55 and (score >= 0.82 or len(extra) > 0 or conflict)""",
+    "review_classes": f"""with recursive {_ENTITIES} select entity_id, min(entity_id) over (partition by kind, norm, coalesce(places, '')) as class_id, min(entity_id) over (partition by kind, norm) as name_id
+        from ents left join reg using (entity_id) where kind in ('part', 'region') and norm <> ''""",
     "page_audit": """with g as (select l_orderkey as doc_id, l_linenumber as page_number, sum(case when l_linestatus = 'O' then floor(l_quantity / 2)::bigint else 0 end)::bigint as n_chars, count(*) filter (l_tax > 0.04) as n_assets, bool_or(l_discount > 0.05) as image from lineitem group by all),
         r as (select *, concat_ws(',', case when n_assets > 0 and n_chars = 0 then 'page_has_visual_asset_without_text' end, case when image and n_chars = 0 then 'page_has_page_image_region_without_text' end,
           case when n_chars = 0 then 'layout_page_without_text' end, case when (n_assets > 0 or image) and n_chars > 0 and n_chars < 20 then 'page_text_below_threshold' end) as reasons from g)

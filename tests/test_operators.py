@@ -278,6 +278,15 @@ def test_pairs_to_review(spark):
     assert classes == {"a": ("a", "a"), "b": ("b", "b"), "c": ("c", "a"), "d": ("d", "a"), "e": ("e", "e")}
 
 
+def test_pairs_of_all_classes_to_review(spark):
+    rows = [("a", "Acme Works"), ("b", "Acme Works Bank"), ("d", "Acme Works"), ("e", "Acme Works Bank"), ("f", "acme works")]
+    e = _companies(spark, [(i, "co", n, None, 1.0, 1, None) for i, n in rows] + [("p", "place", "Ohio", None, 1.0, 1, None), ("q", "place", "Utah", None, 1.0, 1, None)])
+    edges = spark.createDataFrame([("a", "p", "registered_in"), ("d", "q", "registered_in"), ("f", "p", "registered_in"), ("e", "q", "registered_in")], "source string, target string, kind string")
+    got = {(r.left_id, r.right_id): (r.score, r.material, r.conflict) for r in resolution.review_class_pairs(e, edges).where("kind = 'co'").collect()}
+    assert got == {("a", "b"): (0.8, "bank", False), ("a", "e"): (0.8, "bank", True), ("b", "d"): (0.8, "bank", False), ("d", "e"): (0.8, "bank", False), ("a", "d"): (1.0, "", True), ("b", "e"): (1.0, "", False)}
+    assert {r.class_id for r in resolution.review_classes(e, edges).where("entity_id = 'f'").collect()} == {"a"}
+
+
 def test_normal_names(spark):
     names = {"Acme, Inc.": "acme", "O’Neil & Sons L.L.C.": "oneil & sons", "Limited Liability Company": "", "Corporation X incline": "x incline", "The  Co": "the co"}
     df = spark.createDataFrame([(n,) for n in names], "name string")
