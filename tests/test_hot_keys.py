@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestrand.operators import evaluation, incremental, resolution
+from lodestrand.plans import frames
 
 
 def test_idempotency_of_a_hot_key(spark):
@@ -47,3 +48,12 @@ def test_salted_copies_are_never_broadcast(spark, monkeypatch):
     assert incremental.met(events, groups, ["k"], ["t"], "n").count() == 3000
     got = {r.t: r.status for r in incremental.idempotent(events, ["k"], ["t"]).collect()}
     assert got == {t: "processable" if t == 0 or t >= 900 else "conflict" if t >= 5 else "duplicate" for t in range(3000)}
+
+
+def test_order_lines_are_dealt_by_their_number(spark, monkeypatch):
+    few = frames.edges(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(frames, "TASK_LINES", 100)
+    many = frames.edges(spark, "/root/testdata/sf0.001")
+    n = -(-frames.table(spark, "/root/testdata/sf0.001", "lineitem").count() // 100)
+    sizes = many.where("kind = 'supplies'").groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(many.collect()) == sorted(few) and n > 10 and len(sizes) > n // 2 and max(r["count"] for r in sizes) < 200
