@@ -27,6 +27,8 @@ from ..functions.vectors import hashed_counts, unit
 BLOCK = 64
 #: Vectors that are compared to a block of queries at once.
 PART = 1024
+#: Queries of a block that are compared at once: their scores and orders are all that a worker holds beside its best.
+ASKED = 256
 ORDER = ("doc_id", "chunk_index", "chunk_id")
 #: Trust weights of the reranker.
 TRUST_WEIGHT = {"trusted_internal": 1.0, "verified_partner": 0.9, "user_provided": 0.7, "generated_or_derived": 0.45, "external_untrusted": 0.25, "unknown": 0.0}
@@ -157,7 +159,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             n = len(ids)
-            best, owner = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
+            best, owner = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
             for batch in batches:
                 for part in (batch.slice(at, PART) for at in range(0, batch.num_rows, PART)):
                     part = part.filter(pc.fill_null(pc.and_(pc.is_valid(part.column(0)), pc.equal(pc.list_value_length(part.column(1)), matrix.shape[1])), False))
@@ -167,10 +169,12 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
                         own, flat = np.array([i for i, _ in rows], np.int64), [x for _, v in rows for x in v]
                     x = np.asarray(flat, np.float64).reshape(len(own), matrix.shape[1])
                     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    scores = np.concatenate((best, np.floor(matrix @ x.T * 1e6 + 0.5) / 1e6), axis=1)
-                    owners = np.concatenate((owner, np.broadcast_to(own, (n, len(own)))), axis=1)
-                    order = np.lexsort((owners, -scores), axis=1)[:, :k]
-                    best, owner = np.take_along_axis(scores, order, 1), np.take_along_axis(owners, order, 1)
+                    for at in range(0, n, ASKED):
+                        here = slice(at, at + ASKED)
+                        scores = np.concatenate((best[here], np.floor(matrix[here] @ x.T * 1e6 + 0.5) / 1e6), axis=1)
+                        owners = np.concatenate((owner[here], np.broadcast_to(own, (len(scores), len(own)))), axis=1)
+                        order = np.lexsort((owners, -scores), axis=1)[:, :k]
+                        best[here], owner[here] = np.take_along_axis(scores, order, 1), np.take_along_axis(owners, order, 1)
             keep = (best >= min_score).ravel()
             q = np.repeat(np.arange(n), best.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(ids[q][keep]), pa.array(owner.ravel()[keep]), pa.array(best.ravel()[keep])], ["query_id", "vec_id", "score"])

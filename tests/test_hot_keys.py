@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestrand.operators import evaluation, incremental, resolution
+from lodestrand.operators import evaluation, incremental, planning, resolution, retrieval
 from lodestrand.plans import frames
 
 
@@ -57,3 +57,19 @@ def test_order_lines_are_dealt_by_their_number(spark, monkeypatch):
     n = -(-frames.table(spark, "/root/testdata/sf0.001", "lineitem").count() // 100)
     sizes = many.where("kind = 'supplies'").groupBy(F.spark_partition_id()).count().collect()
     assert sorted(many.collect()) == sorted(few) and n > 10 and len(sizes) > n // 2 and max(r["count"] for r in sizes) < 200
+
+
+def test_branches_need_no_shuffle(spark):
+    plans = planning.planned(spark.createDataFrame([(1, "Who owns Acme?"), (2, "acme"), (3, "")], "query_id long, question string"))
+    made = planning.branches(plans, keep=("route",))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in made.where("query_id = 2").collect()] == [(2, 1, "original", "acme", 1.0, "none")]
+    assert [(r.branch, r.kind, r.route) for r in made.where("query_id = 1").collect()] == [(1, "original", "graph_required"), (2, "low_level", "graph_required"), (3, "high_level", "graph_required")]
+
+
+def test_neighbours_are_the_same_in_parts_of_a_block(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, r.integers(-2, 3, 8).astype(float).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    whole = retrieval.vector_topk(v, v, 5).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(retrieval, "ASKED", 7)
+    assert retrieval.vector_topk(v, v, 5).orderBy("query_id", "rank").collect() == whole and len(whole) == 1500
