@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bounded
@@ -83,8 +83,8 @@ def planned(questions: DataFrame, question: str = "question") -> DataFrame:
     ).drop("_hints")
 
 
-def branches(plans: DataFrame, question: str = "question", most: int = 3, key: str = "query_id") -> DataFrame:
-    """(query_id, branch, kind, query, weight): the question and its keyword and graph variants, distinct by text, the first `most`."""
+def branches(plans: DataFrame, question: str = "question", most: int = 3, key: str = "query_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, branch, kind, query, weight, and the columns of `keep`) of plans, one row for each query_id: the question and its keyword and graph variants, distinct by text, the first `most`."""
     variant = lambda kind, text, weight: F.struct(F.lit(kind).alias("kind"), text.alias("query"), weight.cast("double").alias("weight"))
     low, high = F.array_join("low_level", " "), F.array_join("high_level", " ")
     made = F.filter(
@@ -93,9 +93,11 @@ def branches(plans: DataFrame, question: str = "question", most: int = 3, key: s
             variant("graph", F.when(F.col("route") != "none", F.concat_ws(" ", F.array_join("relation_kinds", " "), low)).otherwise(F.lit("")), F.when(F.col("route") == "graph_required", 0.95).otherwise(0.8)),
         ), lambda b: F.trim(b["query"]) != "",
     )
-    rows = plans.select(key, F.posexplode(made).alias("at", "b")).select(key, "at", "b.*")
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, F.lower("query")).orderBy("at"))).where("_n = 1")
-    return first.withColumn("branch", F.row_number().over(Window.partitionBy(key).orderBy("at"))).where(F.col("branch") <= most).select(key, "branch", "kind", "query", "weight")
+    # A question's variants are told apart in its own row: nothing is shuffled. A lambda binds them, which are read several times.
+    lower = lambda b: F.lower(b["query"])
+    first = F.get(F.transform(F.array(made), lambda m: F.slice(F.filter(m, lambda b, i: F.array_position(F.transform(m, lower), lower(b)) == i + 1), 1, most)), 0)
+    rest = [c for c in keep if c != key]
+    return plans.select(key, *rest, F.posexplode(first).alias("_at", "b")).select(key, (F.col("_at") + 1).alias("branch"), "b.*", *rest)
 
 
 def rewritten(plans: DataFrame, rewrite: Callable[[str], str | None], kind: str, weight: float, most_chars: int = 1200, question: str = "question", key: str = "query_id") -> DataFrame:

@@ -42,7 +42,7 @@ def planned_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = frames.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("question"))
     asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "question").unionByName(frames.questions(spark).select((-1 - F.col("query_id")).alias("query_id"), "question"))
     plans = planning.planned(asked)
-    return planning.budgeted(planning.branches(plans).join(plans.select("query_id", "route"), "query_id"), F.col("route")).select("query_id", "branch", "kind", "query", "weight", "top_k", "pool")
+    return planning.budgeted(planning.branches(plans, keep=("route",)), F.col("route")).select("query_id", "branch", "kind", "query", "weight", "top_k", "pool")
 
 
 def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planned_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The questions' planned branches, each searched with its own top_k, and fused by their weights."""
     plans = planning.planned(frames.questions(spark))
-    branches = planning.budgeted(planning.branches(plans).join(plans.select("query_id", "route"), "query_id"), F.col("route"))
+    branches = planning.budgeted(planning.branches(plans, keep=("route",)), F.col("route"))
     return retrieval.planned_retrieval(_chunks(spark, sf_dir), branches).select("query_id", "chunk_id", "score", "rank")
 
 
