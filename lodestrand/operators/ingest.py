@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bounded, safety_flags
+from ..functions.text import of_words, safety_flags
 from .access import trust_rank
 
 MOST_CHARS, OVERLAP, LEAST_CHARS = 1800, 180, 120
@@ -147,14 +147,15 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 def classified(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_type, confidence, signals) from the patterns above, in title and body."""
     low = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
-    shown = docs.select("doc_id", low.alias("_low"), F.array_compact(F.array(*(F.when(F.rlike(low, F.lit(bounded(p))), F.lit(s)) for s, p in SIGNALS.items()))).alias("signals"))
+    found = F.array_compact(F.array(*(F.when(F.rlike("_low", F.lit(of_words(p))), F.lit(s)) for s, p in SIGNALS.items())))
+    shown = docs.select("doc_id", low.alias("_low")).withColumn("signals", found)
     kind = None
     for name, signal, pattern in TYPES:
         test = F.lit(True)
         if signal:
             test = test & F.array_contains("signals", signal)
         if pattern:
-            test = test & F.rlike(F.col("_low"), F.lit(bounded(pattern)))
+            test = test & F.rlike(F.col("_low"), F.lit(of_words(pattern)))
         kind = F.when(test, name) if kind is None else kind.when(test, name)
     out = shown.withColumn("doc_type", kind.otherwise("generic_document"))
     sure = F.when(F.col("doc_type") == "generic_document", F.lit(0.45)).otherwise(F.least(F.lit(0.95), F.lit(0.65) + F.size("signals") * F.lit(0.06)))

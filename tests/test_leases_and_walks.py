@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.operators import graph, leases
-from lodestrand.functions.text import REDACTIONS, bounded, redacted, redaction
+from lodestrand.operators.ingest import SIGNALS, TYPES
+from lodestrand.functions.text import REDACTIONS, bounded, of_words, redacted, redaction
 
 MINUTE = 60_000_000
 #: A stream has no watermark before 1970, and takes nothing at that moment.
@@ -131,3 +132,10 @@ def test_redaction_finds_what_its_patterns_find_in_linear_time(spark):
     got = {r.i: (r.r.out, r.r.n) for r in rows.select("i", redaction(F.col("t")).alias("r")).collect()}
     assert time.time() - began < 20  # the run of 300,000 address characters took minutes
     assert got == plain | {len(texts) - 1: (texts[-1], 0)}
+
+
+def test_whole_words_are_found_as_by_their_pattern(spark):
+    texts = ["owns", "owned by", "xowns", "owns_", "éownsé", "co-owns.", "shareholders", "the parent company", "policy\nrefund", "ownership percentage", "owned  by", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in [*SIGNALS.values(), *(p for _, _, p in TYPES if p)]:
+        assert "(?=[" in of_words(pattern) and rows.where(F.rlike("t", F.lit(of_words(pattern))) != F.rlike("t", F.lit(bounded(pattern)))).count() == 0
