@@ -1,15 +1,17 @@
 """A positional inverted index, and full-text search over it.
 
-Chunks are read once. Every token of every field becomes an occurrence (term,
-doc_id, chunk_index, field, pos), dealt by ranges of (term, doc_id, chunk_index)
-and written sorted, so that a term's occurrences stand together, a reader of few
-terms skips the other files, and a term that holds a large part of all tokens is
-split over ranges. Fields follow one another in one count of positions with a gap
+Chunks are dealt evenly over segments, and every token of every field becomes an
+occurrence (term, doc_id, chunk_index, field, pos) in its chunk's segment, which
+one task sorts by term and writes. So texts are shuffled, not their tokens; a
+term's occurrences stand together in each segment; and a term that holds a large
+part of all tokens is as evenly spread as the chunks. Fields follow one another in one count of positions with a gap
 between them, so phrases do not span fields. A dictionary (term, stem, prefixes
 by lookup) is the only place where words are stemmed.
 
 Searches state any number of queries. Their clauses are rows; they meet the
-dictionary first and then, by term, the occurrences. Nothing is collected.
+dictionary first and then, by term, the occurrences. Nothing is collected: what
+is small (clauses, wanted terms, hits) is written once, so that it is computed
+once, and Spark knows its size and leaves the occurrences where they are.
 
 Defined cases: null fields have no tokens; a query without a usable term finds
 nothing; repeated queries are answered by their ids.
@@ -33,6 +35,8 @@ COVER_WEIGHTS = {"title": 1.0, "citation": 0.4, "body": 0.2}
 #: What a phrase in the text and a term in a title add.
 PHRASE_BONUS, TITLE_BONUS = 0.25, 0.1
 K1, B = 1.2, 0.75
+#: Chunks of one segment: their occurrences are sorted in the memory of a task.
+SEGMENT_CHUNKS = 4_096
 
 
 @dataclass(frozen=True)
@@ -58,20 +62,25 @@ def stemmed(words: DataFrame, word: str = "term") -> DataFrame:
     return words.withColumn("stem", F.when(F.length(word) > 2, F.expr(whole)).otherwise(F.col(word)))
 
 
-def built(chunks: DataFrame, fields: dict[str, Column], ranges: int | None = None) -> Index:
+def built(chunks: DataFrame, fields: dict[str, Column], most_chunks: int = SEGMENT_CHUNKS) -> Index:
     """The index of chunks (KEY, ...), whose fields are expressions over their columns, in order of position."""
     names = tuple(fields)
-    texts = staged(chunks.select(*KEY, *(c.alias(n) for n, c in fields.items())).withColumn("n_tokens", sum((F.size(tokens(F.col(n))) for n in names[1:]), F.size(tokens(F.col(names[0]))))), "index-texts")
-    cut = texts.select(*KEY, *(tokens(F.col(n)).alias(n) for n in names))
-    # A token's place counts on from the fields before it, one place left free.
-    placed = lambda n, before: F.transform(n, lambda t, i: F.struct(t.alias("term"), F.lit(n).alias("field"), (before + i).cast("int").alias("pos")))
-    parts, before = [], F.lit(0)
-    for n in names:
-        parts.append(placed(n, before))
-        before = before + F.size(n) + 1
-    rows = cut.select(*KEY, F.explode(F.concat(*parts)).alias("o")).select(*KEY, "o.*")
-    spark = chunks.sparkSession
-    dealt = rows.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), "term", *KEY).sortWithinPartitions("term", *KEY, "pos")
+    texts = chunks.select(*KEY, *(c.alias(n) for n, c in fields.items()))
+    texts = staged(texts.withColumn("n_tokens", sum((F.size(tokens(F.col(n))) for n in names[1:]), F.size(tokens(F.col(names[0]))))), "index-texts")
+    # An empty token between two fields takes the place left free, so that a token's place is its own in the whole array.
+    parts = [part for n in names for part in (tokens(F.col(n)), F.array(F.lit("")))][:-1]
+    sizes = [F.size(tokens(F.col(n))).alias(f"_size{k}") for k, n in enumerate(names[:-1])]
+    segments = max(1, -(-texts.count() // most_chunks))
+    cut = texts.repartition(segments, *KEY).select(*KEY, *sizes, F.concat(*parts).alias("_terms"))
+    rows = cut.select(*KEY, *(f"_size{k}" for k in range(len(sizes))), F.posexplode("_terms").alias("pos", "term")).where("term <> ''")
+    field, end = F.lit(names[-1]), F.lit(0)
+    ends = []
+    for k in range(len(sizes)):
+        end = end + F.col(f"_size{k}") + 1
+        ends.append(end)
+    for name, end in reversed(list(zip(names, ends))):
+        field = F.when(F.col("pos") < end, F.lit(name)).otherwise(field)
+    dealt = rows.select(*KEY, "term", field.alias("field"), "pos").sortWithinPartitions("term", *KEY, "pos")
     occurrences = staged(dealt, "index-occurrences")
     dictionary = staged(stemmed(occurrences.select("term").distinct()), "index-terms")
     return Index(texts, occurrences, dictionary, names)
@@ -90,12 +99,12 @@ def clauses(queries: DataFrame) -> DataFrame:
     found = F.transform(tokens(F.col("_part")), lambda t, i: F.struct(t.alias("term"), i.alias("offset")))
     rows = rows.withColumn("_terms", F.filter(found, lambda t: ~t["term"].isin(STOP_WORDS))).where(F.size("_terms") > 0)
     out = rows.select("query_id", "alternative", "clause", "negated", F.size("_terms").alias("n_terms"), F.explode("_terms").alias("t")).select("query_id", "alternative", "clause", "negated", "n_terms", "t.offset", "t.term")
-    return stemmed(out).drop("term")
+    return staged(stemmed(out).drop("term"), "index-clauses")
 
 
 def occurrences_of(index: Index, wanted: DataFrame) -> DataFrame:
-    """Occurrences that wanted (term, ...) names, beside its other columns. Occurrences are the large side and stay where they are if Spark finds wanted small."""
-    return index.occurrences.join(wanted, "term")
+    """Occurrences that wanted (term, ...) names, beside its other columns, written once. Occurrences are the large side and stay where they are if wanted, as written, is small."""
+    return staged(index.occurrences.join(staged(wanted, "index-wanted"), "term"), "index-hits")
 
 
 def matched(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +165,7 @@ def full_text(index: Index, queries: DataFrame, weights: dict[str, float] = COVE
 def with_bonuses(index: Index, found: DataFrame, queries: DataFrame, title: float, haystack: list[str]) -> DataFrame:
     """found (query_id, KEY, _rank) with a bonus where the haystack holds the query as it stands, or a title one of its terms. Only texts of found chunks are looked at."""
     own = queries.select("query_id", F.lower(F.coalesce("query", F.lit(""))).alias("_query"), terms(F.coalesce("query", F.lit(""))).alias("_words"))
-    rows = found.join(own, "query_id").join(index.texts, list(KEY))
+    rows = staged(found, "index-found").join(staged(own, "index-queries"), "query_id").join(index.texts, list(KEY))
     text = F.lower(F.concat_ws("\n", *haystack))
     titles = F.lower(F.concat_ws(" ", *(n for n in index.fields if n != "body")))
     score = F.col("_rank") + F.when((F.col("_query") != "") & F.contains(text, F.col("_query")), PHRASE_BONUS).otherwise(0.0)

@@ -80,6 +80,18 @@ def test_index_files_hold_ranges_of_terms(spark, index):
     assert plan.count() == 8 and "PushedFilters" in index.occurrences.where("term = 'days'")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_segments_hold_whole_chunks_sorted_by_term(spark):
+    rows = spark.createDataFrame([(k, c, "Title b", None, f"b a{k} the b\u00e9 c") for k in range(20) for c in range(2)], "doc_id long, chunk_index int, t string, c string, b string")
+    made = postings.built(rows, {"title": F.col("t"), "citation": F.col("c"), "body": F.col("b")}, most_chunks=10)
+    held = made.occurrences.withColumn("file", F.input_file_name())
+    assert held.groupBy("doc_id", "chunk_index").agg(F.countDistinct("file").alias("n")).where("n <> 1").count() == 0 and held.select("file").distinct().count() > 1
+    for file in [r.file for r in held.select("file").distinct().collect()]:
+        order = [(r.term, r.doc_id, r.chunk_index, r.pos) for r in spark.read.parquet(file).collect()]
+        assert order == sorted(order)
+    one = made.occurrences.where("doc_id = 3 and chunk_index = 1").orderBy("pos").collect()
+    assert [(r.term, r.field, r.pos) for r in one] == [("title", "title", 0), ("b", "title", 1), ("b", "body", 4), ("a3", "body", 5), ("the", "body", 6), ("b", "body", 7), ("c", "body", 8)]
+
+
 # Approximate neighbours
 
 
