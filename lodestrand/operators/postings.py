@@ -177,15 +177,15 @@ def with_bonuses(index: Index, found: DataFrame, queries: DataFrame, title: floa
 def bm25_prefix(index: Index, queries: DataFrame, weights: dict[str, float] = BM25_WEIGHTS) -> DataFrame:
     """(query_id, KEY, score) by BM25 over three weighted fields, where each term of a query stands for all stems that begin with its own; any term will do."""
     words = queries.select("query_id", F.explode(terms(F.coalesce("query", F.lit("")))).alias("term"))
-    asked = stemmed(words).select("query_id", F.col("stem").alias("prefix")).distinct()
+    asked = staged(stemmed(words).select("query_id", F.col("stem").alias("prefix")).distinct(), "index-prefixes")
     # Every stem under each of its beginnings meets the wanted ones by equality: a table of words, not of occurrences.
     beginnings = index.dictionary.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("stem")), lambda n: F.left("stem", n))).alias("prefix"))
     hits = occurrences_of(index, beginnings.join(asked, "prefix"))
     weight = F.lit(0.0)
     for name, w in weights.items():
         weight = F.when(F.col("field") == name, w).otherwise(weight)
-    often = hits.groupBy("query_id", "prefix", *KEY).agg(F.sum(weight).alias("_f"))
-    spread = often.groupBy("query_id", "prefix").agg(F.count("*").alias("_df"))
+    often = staged(hits.groupBy("query_id", "prefix", *KEY).agg(F.sum(weight).alias("_f")), "index-frequencies")
+    spread = staged(often.groupBy("query_id", "prefix").agg(F.count("*").alias("_df")), "index-spread")
     seen = index.texts.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg")).first()
     n, average = seen.n, seen.avg or 1.0
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
