@@ -26,9 +26,10 @@ repeated rows and ids do not matter; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
-import struct
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ from .shared import as_bytes, slices
 
 #: Chunks end where the lowest bits of the hash are zero: 2**11 bytes long on average.
 MASK_BITS, WINDOW = 11, 14
-WORD_TABLE_BYTES, CHUNK_TABLE_BYTES = 40 << 20, 12 << 20
+WORD_TABLE_BYTES, CHUNK_TABLE_BYTES = 160 << 20, 12 << 20
+#: New words that the tokenizer encodes in one call.
+WORDS_A_CALL = 8192
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -56,7 +59,10 @@ class Reuse:
         return found
 
     def put(self, key, value, size: int) -> None:
-        self.young[key] = value
+        self.put_all({key: value}, size)
+
+    def put_all(self, entries: dict, size: int) -> None:
+        self.young.update(entries)
         self.held += size
         if self.held > self.most // 2:
             self.old, self.young, self.held = self.young, {}, 0
@@ -118,17 +124,36 @@ class Codec:
         """(ids, decoded text) of each word; words that the table lacks are encoded in one batch."""
         found = list(map(self.words.young.get, words))
         if None in found:
-            made = {w: self.words.old.get(w) for w, x in zip(words, found) if x is None}
-            new = [w for w, x in made.items() if x is None]
-            if new:
-                ids = self.ids_of([w.decode() for w in new])
-                for w, i, t in zip(new, ids, self.decoded(ids)):
-                    made[w] = (struct.pack(f"<{len(i)}I", *i), t.encode())
-            for w, x in made.items():
-                self.words.put(w, x, 4 * len(x[0]) + 330)
+            made = self.learn({w for w, x in zip(words, found) if x is None})
             found = [x or made[w] for w, x in zip(words, found)]
         return found
 
+    def learn(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """(ids, decoded text) of words that the young table lacks, which holds them then."""
+        made = {w: self.words.old.get(w) for w in words}
+        new = [w for w, x in made.items() if x is None]
+        for at in range(0, len(new), WORDS_A_CALL):
+            some = new[at : at + WORDS_A_CALL]
+            ids = self.ids_of([w.decode() for w in some])
+            flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+            ends = [4 * n for n in accumulate(map(len, ids), initial=0)]
+            for w, a, b, t in zip(some, ends, ends[1:], self.decoded(ids)):
+                made[w] = (flat[a:b], t.encode())
+        self.words.put_all(made, 330 * len(made) + 4 * sum(len(x[0]) for x in made.values()))
+        return made
+
+    def learn_chunks(self, texts: list[bytes], cuts: list[list[int]]) -> None:
+        """The words of all chunks that the chunk table lacks go to the tokenizer together, not chunk by chunk."""
+        words, looked = set(), set()
+        for text, ends in zip(texts, cuts):
+            bounds = [0, *ends, len(text)]
+            for a, b in zip(bounds, bounds[1:]):
+                data = text[a:b]
+                if data not in looked and self.chunks.get(data) is None:
+                    looked.add(data)
+                    words.update(data.split())
+        self.learn(words - self.words.young.keys())
+
     def chunk(self, data: bytes) -> tuple[bytes, bytes, bytes, bytes, int]:
         """The chunk encoded by itself: ids, decoded text, first word, last word, number of words."""
         entry = self.chunks.get(data)
@@ -191,14 +216,17 @@ class Codec:
         if not self.local:
             return [self._whole(t) for t in texts]
         data = np.frombuffer(b"".join(texts), np.uint8)
-        cuts, at, out, open_joins = cut_points(data, self.gear), 0, [], []
-        for k, text in enumerate(texts):
+        found, at, cuts, out, open_joins = cut_points(data, self.gear), 0, [], [], []
+        for text in texts:
             # A hash that reaches back into the text before says nothing about this one.
-            lo, hi = np.searchsorted(cuts, (at + WINDOW, at + len(text)))
-            ids, decoded, inside = self.joined(text, (cuts[lo:hi] - at).tolist())
+            lo, hi = np.searchsorted(found, (at + WINDOW, at + len(text)))
+            cuts.append((found[lo:hi] - at).tolist())
+            at += len(text)
+        self.learn_chunks(texts, cuts)
+        for k, text in enumerate(texts):
+            ids, decoded, inside = self.joined(text, cuts[k])
             out.append((ids, decoded))
             open_joins += [(k, cut) for cut in inside]
-            at += len(text)
         reach = 16
         while open_joins:
             windows = [(k, cut, *self.window(texts[k], cut, reach)) for k, cut in open_joins]
@@ -249,7 +277,11 @@ def _mapped(docs: DataFrame, path: str, doc_id: str, text: str, schema: str, of)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for batch in slices(batches, "text"):
-            rows = [of(*x) for x in codec.encode_many([t or b"" for t in as_bytes(batch.column("text"))])]
+            gc.disable()  # the tables hold no cycles, and each collection would walk through new entries
+            try:
+                rows = [of(*x) for x in codec.encode_many([t or b"" for t in as_bytes(batch.column("text"))])]
+            finally:
+                gc.enable()
             columns = [pa.array([r[k] for r in rows], kinds[k + 1]) for k in range(len(kinds) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 

@@ -556,3 +556,16 @@ def test_pipeline_on_awkward_rows(spark, awkward, empty, tmp_path):
     for _, f in pipeline.STAGES:
         stage = f(spark, stage, str(tmp_path))
     assert stage.count() == 0
+
+
+def test_new_words_of_many_chunks_reach_the_tokenizer_together():
+    codec = bpe.Codec(queries.tokenizer_path("word_bpe_49k.json"))
+    calls, ids_of = [], codec.ids_of
+    codec.ids_of = lambda texts: calls.append(len(texts)) or ids_of(texts)
+    texts = [" ".join(f"w{k}x{j}, don't é{j}" for j in range(400)).encode() for k in range(40)]
+    got = codec.encode_many(texts)
+    # One call a block of new words and one for the joins, beside single words that lie across a cut; it was one a chunk.
+    assert len([n for n in calls if n > 2]) <= 4
+    whole = ids_of([t.decode() for t in texts])
+    assert [g for g, _ in got] == [np.array(i, "<u4").tobytes() for i in whole]
+    assert [d.decode() for _, d in got] == codec.decoded(whole)
