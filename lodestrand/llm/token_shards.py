@@ -13,7 +13,10 @@ places. The length of a shard's file says how many records it holds, so a reader
 finds any slot with one table of lengths and a multiplication, reads on from
 there in sequence, and can resume anywhere (`resumed`).
 
-Texts are tokenised once and sequences shuffled once, unpadded, whatever keys or
+Texts are tokenised a run of rows at a time: cut where a space precedes anything
+but white space, where tokens never cross, so that each distinct word of the run
+reaches the tokenizer once. With a pattern for which `words_start_at_space` finds
+that untrue, texts are encoded whole. Texts are tokenised once and sequences shuffled once, unpadded, whatever keys or
 copies the documents hold; nothing else is written, and the driver receives a
 total of bytes and a length for each shard. A lost executor costs its tasks.
 
@@ -34,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Reuse
 from .shared import slices
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 512, 4096, 0x5EED, 4
@@ -47,6 +50,11 @@ PLACE_BITS = 40
 TASK_BYTES, TASKS = 256 << 20, 200
 #: Bytes of text that one token takes, about; it sets the number of shards and nothing else.
 BYTES_PER_TOKEN = 3
+#: Bytes of text, about, whose distinct words are encoded together.
+RUN_BYTES = 8 << 20
+SPACE = 0x20
+#: Bytes that can start a character other than white space, and none that is (all white space beyond ASCII starts with one of the four).
+WORD_BYTES = np.array([b > SPACE and b not in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
 
 def feistel(index: Column, half_bits: int, key: int = KEY) -> Column:
@@ -68,33 +76,96 @@ def slots(sequences: DataFrame, n: int, index: str = "index", key: int = KEY) ->
     return out.withColumn("slot", walked).withColumn("slot", F.when(F.col("slot") < n, F.col("slot")).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long")))
 
 
-def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, doc_id: str, text: str) -> DataFrame:
-    """(number, doc_id, n_tokens, ids): byte-level BPE ids as little-endian unsigned 16-bit integers, an end mark last; number is a hash of id and text."""
+class Coder:
+    """Byte-level BPE of whole runs of texts: each distinct word of a run is encoded once, all new words in one call."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, ranks_path: str, pattern: str):
         import base64
 
-        import regex
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        pieces, table, end = regex.compile(pattern), Reuse(96 << 20), np.array([end_id], "<u2").tobytes()
-        for batch in slices(batches, "text"):
-            ids = []
-            for t in batch.column("text").to_pylist():
-                words = pieces.findall(t or "")
-                found = list(map(table.young.get, words))
-                if None in found:
-                    made = {w: table.old.get(w) for w, x in zip(words, found) if x is None}
-                    for w, x in made.items():
-                        if x is None:
-                            x = made[w] = np.array(coder.encode_ordinary(w), "<u2").tobytes()
-                        table.put(w, x, len(x) + 260)
-                    found = [made[w] if x is None else x for w, x in zip(words, found)]
-                ids.append(b"".join(found) + end)
-            yield pa.RecordBatch.from_arrays([batch.column("number"), batch.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["number", "doc_id", "n_tokens", "ids"])
+        self.coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        self.local = self.words_start_at_space()
+
+    def ids_of(self, text: bytes) -> np.ndarray:
+        return np.array(self.coder.encode_ordinary(text.decode()), "<u2")
+
+    def words_start_at_space(self) -> bool:
+        """Whether a space before a character other than white space starts a token, whatever stands before it."""
+        lefts = ["It's", "don't", "a1b2", "...", "x,y", "É", "42%", "a ", "b \n", "\n\n", "\t", "  ", "ß\r\n", "\u00a0", "\u3000 ", "'"]
+        rights = [" It's", " 's", " 1", " ...", " ,x", " É", " %\n", " a ", " ß\t", " 'll", " _"]
+        alone = {x: self.coder.encode_ordinary(x) for x in lefts + rights}
+        return all(self.coder.encode_ordinary(a + b) == alone[a] + alone[b] for a in lefts + rights for b in rights)
+
+    def word_bounds(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where words start: at a space before a character other than white space, and where a text starts; then the end of the data."""
+        at = np.zeros(len(data), bool)
+        if self.local and len(data):
+            at[:-1] = (data[:-1] == SPACE) & WORD_BYTES[data[1:]]
+            at[starts[starts > 0] - 1] = False  # the space that ends a text says nothing about the next one
+        at[starts[starts < len(data)]] = True
+        return np.append(np.flatnonzero(at), len(data))
+
+    def encoded_words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct words, and at which place of them each word's are."""
+        offsets, data = parts_of(words)
+        first, second = offsets[:-1], np.minimum(offsets[:-1] + 1, len(data) - 1)
+        # Words that start with a space follow one another as they would in a text; those that start a text stand alone.
+        joins = (data[first] == SPACE) & WORD_BYTES[data[second]] & (np.diff(offsets) > 1) & self.local
+        bounds, joined = parts_of(words.filter(pa.array(joins)))
+        ids = self.ids_of(joined.tobytes())
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), bounds, side="right")
+        single = [self.ids_of(w) for w in words.filter(pa.array(~joins)).to_pylist()]
+        ends = np.append(ends, ends[-1] + np.cumsum([len(x) for x in single], dtype=np.int64))
+        return binaries(2 * ends, np.concatenate([ids, *single])), np.where(joins, np.cumsum(joins) - 1, np.cumsum(~joins) - 1 + joins.sum())
+
+    def encode_many(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of ids and ids of each whole text, an end mark last; null is taken as empty."""
+        offsets, data = parts_of(pc.fill_null(texts, "").cast(pa.large_binary()))
+        bounds = self.word_bounds(data, offsets[:-1])
+        words = binaries(bounds, data).dictionary_encode()
+        known, place = self.encoded_words(words.dictionary)
+        at, ids = parts_of(known.take(pa.array(place[words.indices.to_numpy()])))
+        ends = at[np.searchsorted(bounds, offsets[1:])] // 2
+        n = np.diff(ends, prepend=0) + 1
+        return n, binaries(2 * np.append(0, np.cumsum(n)), np.insert(ids.view("<u2"), ends, end_id)).cast(pa.binary())
+
+
+def parts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, from 0 on, and bytes of a column of large binaries without nulls."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return offsets - offsets[0], np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+def binaries(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
+CODERS: dict[tuple[str, str], Coder] = {}
+
+
+def coder_of(ranks_path: str, pattern: str) -> Coder:
+    """The coder of this worker process, whose tasks share it."""
+    if (ranks_path, pattern) not in CODERS:
+        CODERS.clear()
+        CODERS[ranks_path, pattern] = Coder(ranks_path, pattern)
+    return CODERS[ranks_path, pattern]
+
+
+def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, doc_id: str, text: str) -> DataFrame:
+    """(number, doc_id, n_tokens, ids): byte-level BPE ids as little-endian unsigned 16-bit integers, an end mark last; number is a hash of id and text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = coder_of(ranks_path, pattern)
+        for batch in slices(batches, "text", RUN_BYTES):
+            n, ids = coder.encode_many(batch.column("text"), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column("number"), batch.column("doc_id"), pa.array(n, pa.int64()), ids], ["number", "doc_id", "n_tokens", "ids"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     source = own.select(F.xxhash64("doc_id", "text").alias("number"), "doc_id", "text")
