@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up, normal_name, terms
+from ..sources.tables import staged
 
 
 def entity_matches(entities: DataFrame, requests: list, k: int = 4) -> DataFrame:
@@ -35,14 +36,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("node", "direction", "kind").agg(F.count("*").alias("n"))
 
 
-def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 8) -> DataFrame:
-    """(seed, node, depth, path): nodes within `depth` hops of each seed, with the first path of those that are shortest."""
-    steps = first_neighbours(edges, limit).select("node", "other").distinct()
+def bounded_bfs(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """(seed, node, depth, path): all nodes within `depth` hops of each seed, with the first path of those that are shortest.
+
+    Every neighbour is followed, also of hubs: only the depth bounds it. Edges are
+    read once for each level, as they are, and meet the level before; that is a
+    written table, so its size is known and edges move only if it is large.
+    """
+    ends = F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("other")), F.struct(F.col("target").alias("node"), F.col("source").alias("other")))
+    steps = edges.select(F.inline(ends)).where("node is not null and other is not null")
     reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth"), F.col("node").alias("path"))
     front = reached
     for d in range(1, depth + 1):
         moved = front.join(steps, "node").groupBy("seed", F.col("other").alias("node")).agg(F.min(F.concat(F.col("path"), F.lit(">"), F.col("other"))).alias("path"))
         front = moved.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(d).alias("depth"), "path")
+        if d < depth:
+            front = staged(front, "graph-level")
         reached = reached.unionByName(front)
     return reached
 

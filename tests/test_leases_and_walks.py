@@ -105,6 +105,30 @@ def test_walks_keep_order_budget_and_path(spark):
     assert {r.node for r in graph.bounded_walk(seeds, edges, 3, 8, 64, ["x"], "outgoing").collect()} == {"a", "b0", "b1", "b2", "b3", "b4", "c0", "d"}
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
+def test_searches_in_breadth_follow_every_neighbour(spark, depth):
+    r = random.Random(4)
+    edges = [(f"n{k}", "hub", "x") for k in range(40)] + [("hub", "far", "x"), ("far", "hub", "y"), ("far", "far", "x"), (None, "hub", "x"), ("far", None, "x")]
+    edges += [(f"n{r.randrange(40)}", f"m{r.randrange(60)}", r.choice("xy")) for _ in range(90)]
+    near = {}
+    for a, b, _ in edges:
+        if a and b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for seed in ("hub", "m1", "alone"):
+        found = front = {seed: (0, seed)}
+        for d in range(1, depth + 1):
+            met = sorted((f"{path}>{o}", o) for node, (_, path) in front.items() for o in near.get(node, ()) if o not in found)
+            front = {o: (d, path) for path, o in reversed(met)}
+            found = found | front
+        want |= {(seed, node): v for node, v in found.items()}
+    seeds = spark.createDataFrame([("hub",), ("m1",), ("alone",)], "node string")
+    got = graph.bounded_bfs(seeds, spark.createDataFrame(edges, "source string, target string, kind string"), depth).collect()
+    assert {(x.seed, x.node): (x.depth, x.path) for x in got} == want and len(got) == len(want)
+    assert depth == 0 or sum(k[0] == "hub" and v[0] == 1 for k, v in want.items()) == 41
+
+
 def test_graph_candidates_take_relation_chunks(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x")], "source string, target string, kind string")
     matches = spark.createDataFrame([(0, "a", 0.8)], "query_id long, entity_id string, score double")
